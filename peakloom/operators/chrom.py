@@ -12,14 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from peakloom.scale import islands, ordered_totals, small_side
+from peakloom.session import cut_lineage
 
 CHUNK = 65536
 CELL = 256
 
-_SCAN_SCHEMA = (
-    "sample string, peak_idx long, side int, found long, low double, y_found double, y_inner double"
-)
-
 
 def _chunked(tic: DataFrame, chunk: int) -> DataFrame:
     return tic.filter(F.col("y").isNotNull()).select(
@@ -77,102 +74,143 @@ def _maxima(points: DataFrame, chunk: int) -> DataFrame:
     )
 
 
+def _walk(y: np.ndarray, start: int, step: int, level: float, above: bool) -> tuple[int, float]:
+    """First position from ``start`` on whose value is above (or not above) the level, -1 if none, and the lowest passed."""
+    path = y[start::step] if step > 0 else y[start::-1]
+    stop = path > level if above else path <= level
+    at = int(np.argmax(stop)) if stop.any() else -1
+    passed = path if at < 0 else path[:at]
+    return (-1 if at < 0 else start + step * at), (float(passed.min()) if len(passed) else np.inf)
+
+
+def _crossing(y: np.ndarray, at: int, step: int, level: float, inner: float) -> float:
+    """Place between a point not above the level and its neighbour towards the peak where the level is met."""
+    return at - step * ((level - y[at]) / (inner - y[at]) if y[at] < level else 0.0)
+
+
+def _measure_chunk(tops: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+    """Saddle and half-height places of the peaks of one chunk; a side that leaves the chunk stays open."""
+    points = points.sort_values("idx")
+    y, base = points["y"].to_numpy(), int(points["idx"].iloc[0]) if len(points) else 0
+    rows = []
+    for top in tops.itertuples(index=False):
+        at, height = int(top.peak_idx) - base, top.height
+        left, low_l = _walk(y, at, -1, height, True)
+        right, low_r = _walk(y, at, 1, height, True)
+        open_l, open_r = left < 0 and not top.is_first, right < 0 and not top.is_last
+        ips = (None, None)
+        if not (open_l or open_r):
+            level = height - (height - max(low_l, low_r)) * 0.5
+            l, _ = _walk(y, at, -1, level, False)
+            r, _ = _walk(y, at, 1, level, False)
+            ips = (base + _crossing(y, l, -1, level, y[l + 1]), base + _crossing(y, r, 1, level, y[r - 1]))
+        rows.append((top.sample, top.chunk, top.peak_idx, height, low_l, low_r, open_l, open_r, *ips))
+    names = ["sample", "chunk", "peak_idx", "height", "low_l", "low_r", "open_l", "open_r", "left_ip", "right_ip"]
+    return pd.DataFrame(rows, columns=names).astype({"left_ip": float, "right_ip": float})
+
+
+_MEASURED = (
+    "sample string, chunk long, peak_idx long, height double, low_l double, low_r double, open_l boolean, open_r boolean, "
+    "left_ip double, right_ip double"
+)
+_SCANNED = "sample string, peak_idx long, side int, place double, low double"
+
+
 def _scan_chunk(requests: pd.DataFrame, points: pd.DataFrame, above: bool) -> pd.DataFrame:
-    """Walk from each start away from its peak to the first value above (or not above) the level, inside one chunk."""
+    """Answer walks that enter a chunk at its edge (``from_edge``) or start at a peak inside it."""
     points = points.sort_values("idx")
     y, base = points["y"].to_numpy(), int(points["idx"].iloc[0]) if len(points) else 0
     rows = []
     for r in requests.itertuples(index=False):
         step = int(r.side)
-        if step < 0:
-            walk = y[::-1] if r.from_edge else y[: int(r.peak_idx) - base + 1][::-1]
-        else:
-            walk = y if r.from_edge else y[int(r.peak_idx) - base:]
-        stop = walk > r.level if above else walk <= r.level
-        at = int(np.argmax(stop)) if stop.any() else -1
-        passed = walk if at < 0 else walk[:at]
-        start = (base + len(y) - 1 if step < 0 else base) if r.from_edge else int(r.peak_idx)
-        inner = r.edge_y if at == 0 else (walk[at - 1] if at > 0 else np.nan)
-        rows.append((
-            r.sample, r.peak_idx, step, None if at < 0 else start + step * at,
-            float(passed.min()) if len(passed) else np.inf, None if at < 0 else float(walk[at]), float(inner),
-        ))
-    out = pd.DataFrame(rows, columns=["sample", "peak_idx", "side", "found", "low", "y_found", "y_inner"])
-    return out.astype({"found": "Int64"})
+        start = (len(y) - 1 if step < 0 else 0) if r.from_edge else int(r.peak_idx) - base
+        at, low = _walk(y, start, step, r.level, above)
+        place = np.nan
+        if at >= 0 and not above:
+            inner = r.edge_y if at == start else y[at - step]
+            place = base + _crossing(y, at, step, r.level, inner)
+        rows.append((r.sample, r.peak_idx, step, place, low))
+    return pd.DataFrame(rows, columns=["sample", "peak_idx", "side", "place", "low"])
+
+
+def _cogroup(requests: DataFrame, points: DataFrame, run, schema: str) -> DataFrame:
+    need = requests.select("sample", "chunk").distinct()
+    # both sides stem from the same trace; renamed columns keep them apart
+    points = points.select(*[F.col(c).alias(c) for c in ("sample", "chunk", "idx", "y")])
+    points = points.join(small_side(need), ["sample", "chunk"], "left_semi")
+    return requests.groupBy("sample", "chunk").cogroup(points.groupBy("sample", "chunk")).applyInPandas(run, schema)
 
 
 def _scan(requests: DataFrame, points: DataFrame, above: bool) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _scan_chunk(left, right, above)
 
-    return (
-        requests.groupBy("sample", "chunk")
-        .cogroup(points.select("sample", "chunk", "idx", "y").groupBy("sample", "chunk"))
-        .applyInPandas(run, _SCAN_SCHEMA)
-    )
+    return _cogroup(requests, points, run, _SCANNED)
 
 
-def _reach(peaks: DataFrame, level: Column, points: DataFrame, chunks: DataFrame, above: bool) -> DataFrame:
-    """Per peak and side: the nearest point above (or not above) the level, and the lowest value passed on the way."""
-    requests = peaks.select(
-        "sample", "chunk", "peak_idx", level.alias("level"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"),
-        F.lit(False).alias("from_edge"), F.lit(None).cast("double").alias("edge_y"),
-    )
-    own = _scan(requests, points, above)
-    key = ["sample", "peak_idx", "side"]
-    # a trace of one chunk has nowhere else to look
-    table = chunks.groupBy("sample").agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "cmax", "cmin", F.col("first.y").alias("y_lo"), F.col("last.y").alias("y_hi")))).alias("table")
-    ).filter(F.size("table") > 1)
-    open_ = own.filter(F.col("found").isNull()).select(*key, F.col("low").alias("low_own"))
-    open_ = open_.join(requests.select(*key, "chunk", "level"), key).join(table, "sample")
+def _aim(sides: DataFrame, table: DataFrame, above: bool) -> DataFrame:
+    """The one other chunk where a walk that left its chunk can end, the lowest value of the chunks crossed on the way there,
+    and the value met just before entering it. ``table``: per sample the chunk extremes in order."""
     left = F.col("side") < 0
 
     def beyond(p: Column) -> Column:
         return F.when(left, p["chunk"] < F.col("chunk")).otherwise(p["chunk"] > F.col("chunk"))
 
-    def hit(p: Column) -> Column:
+    def able(p: Column) -> Column:
         return p["cmax"] > F.col("level") if above else p["cmin"] <= F.col("level")
 
-    ahead = F.filter("table", beyond)
-    able = F.filter(ahead, hit)
-    target = F.when(left, F.try_element_at(able, F.lit(-1))).otherwise(F.try_element_at(able, F.lit(1)))
-    open_ = open_.select(*key, "low_own", "chunk", "level", ahead.alias("ahead"), target.alias("target"), left.alias("left"))
+    df = sides.join(table, "sample").withColumn("ahead", F.filter("table", beyond))
+    hits = F.filter("ahead", able)
+    df = df.withColumn("target", F.when(left, F.try_element_at(hits, F.lit(-1))).otherwise(F.try_element_at(hits, F.lit(1)))["chunk"])
     crossed = F.filter(
         "ahead",
-        lambda p: F.col("target").isNull()
-        | F.when(F.col("left"), p["chunk"] > F.col("target.chunk")).otherwise(p["chunk"] < F.col("target.chunk")),
+        lambda p: F.col("target").isNull() | F.when(left, p["chunk"] > F.col("target")).otherwise(p["chunk"] < F.col("target")),
     )
-    step = F.when(F.col("left"), F.col("target.chunk") + 1).otherwise(F.col("target.chunk") - 1)
-    next_door = F.get(F.filter("ahead", lambda p: p["chunk"] == step), F.lit(0))
-    open_ = open_.select(
-        *key, "low_own", "level", "left", F.col("chunk").alias("from_chunk"), F.col("target.chunk").alias("chunk"),
-        F.array_min(F.transform(crossed, lambda p: p["cmin"])).alias("low_crossed"), step.alias("step_chunk"),
-        F.when(F.col("left"), next_door["y_lo"]).otherwise(next_door["y_hi"]).alias("door_y"),
+    door = F.get(F.filter("table", lambda p: p["chunk"] == F.col("target") - F.col("side")), F.lit(0))
+    return df.withColumns(
+        {
+            "low_crossed": F.array_min(F.transform(crossed, lambda p: p["cmin"])),
+            "edge_y": F.when(left, door["y_lo"]).otherwise(door["y_hi"]),
+        }
+    ).drop("table", "ahead")
+
+
+def _settle(open_: DataFrame, points: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Finish peaks whose walk leaves their chunk. Peak-sized tables are cut between the steps."""
+    need = small_side(open_.select("sample").distinct())
+    table = chunks.join(need, "sample", "left_semi").groupBy("sample").agg(
+        F.array_sort(
+            F.collect_list(F.struct("chunk", "cmax", "cmin", F.col("first.y").alias("y_lo"), F.col("last.y").alias("y_hi")))
+        ).alias("table")
     )
-    # the neighbour of the target chunk may be the chunk the walk came from
-    home = chunks.select("sample", F.col("chunk").alias("from_chunk"), F.col("first.y").alias("home_lo"), F.col("last.y").alias("home_hi"))
-    open_ = open_.join(home, ["sample", "from_chunk"]).withColumn(
-        "edge_y",
-        F.coalesce("door_y", F.when(F.col("left"), F.col("home_lo")).otherwise(F.col("home_hi"))),
+    key = ["sample", "peak_idx", "side"]
+    both = F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")
+    sides = open_.select("sample", "chunk", "peak_idx", "height", F.col("height").alias("level"), "low_l", "low_r", "open_l", "open_r", both)
+    is_left = F.col("side") < 0
+    sides = sides.withColumns(
+        {"low_own": F.when(is_left, F.col("low_l")).otherwise(F.col("low_r")), "open": F.when(is_left, F.col("open_l")).otherwise(F.col("open_r"))}
     )
-    far = _scan(
-        open_.filter(F.col("chunk").isNotNull()).select(
-            "sample", "chunk", "peak_idx", "level", "side", F.lit(True).alias("from_edge"), "edge_y"
-        ),
-        points, above,
+    aimed = cut_lineage(_aim(sides.filter("open"), table, above=True))
+    there = aimed.filter(F.col("target").isNotNull()).select(
+        "sample", F.col("target").alias("chunk"), "peak_idx", "level", "side", F.lit(True).alias("from_edge"), "edge_y"
     )
-    far = far.select(*key, F.col("found").alias("f2"), F.col("low").alias("low2"), F.col("y_found").alias("yf2"), F.col("y_inner").alias("yi2"))
-    return (
-        own.join(open_.select(*key, "low_crossed"), key, "left").join(far, key, "left")
-        .select(
-            *key,
-            F.coalesce("found", "f2").alias("found"),
-            F.least("low", "low_crossed", "low2").alias("low"),
-            F.coalesce("y_found", "yf2").alias("y_found"),
-            F.when(F.col("found").isNotNull(), F.col("y_inner")).otherwise(F.col("yi2")).alias("y_inner"),
-        )
+    far = _scan(there, points, above=True).select(*key, F.col("low").alias("low_far"))
+    saddles = (
+        sides.join(aimed.select(*key, "low_crossed"), key, "left").join(far, key, "left")
+        .groupBy("sample", "chunk", "peak_idx", "height")
+        .agg(F.max(F.least("low_own", "low_crossed", "low_far")).alias("saddle"))
     )
+    levels = cut_lineage(saddles.withColumn("level", F.col("height") - (F.col("height") - F.col("saddle")) * 0.5))
+    walks = levels.select("sample", "chunk", "peak_idx", "level", both)
+    start = walks.withColumns({"from_edge": F.lit(False), "edge_y": F.lit(None).cast("double")})
+    near = cut_lineage(_scan(start, points, above=False).withColumn("place", F.nanvl("place", F.lit(None).cast("double"))))
+    beyond = _aim(walks.join(near.filter(F.col("place").isNull()).select(*key), key), table, above=False)
+    there = beyond.select("sample", F.col("target").alias("chunk"), "peak_idx", "level", "side", F.lit(True).alias("from_edge"), "edge_y")
+    places = near.filter(F.col("place").isNotNull()).select(*key, "place").unionByName(_scan(there, points, above=False).select(*key, "place"))
+    ips = places.groupBy("sample", "peak_idx").agg(
+        F.max(F.when(is_left, F.col("place"))).alias("left_ip"), F.max(F.when(~is_left, F.col("place"))).alias("right_ip")
+    )
+    return levels.join(ips, ["sample", "peak_idx"]).select("sample", "peak_idx", "height", "saddle", "left_ip", "right_ip")
 
 
 def find_peaks(
@@ -185,42 +223,39 @@ def find_peaks(
     """Peaks by height, prominence and width at half prominence.
 
     ``tic``: sample, idx (0, 1, ... per sample), t, y. The prominence limit is the larger of a share of the signal range of
-    the sample and a tenth of the minimum height.
+    the sample and a tenth of the minimum height. Peaks settled inside their chunk, all of them for traces of one chunk,
+    need one pass over the points; the others are few and take the extra steps of ``_settle``.
     """
     points = _chunked(tic, chunk)
     chunks = _chunk_table(points)
     tops = _maxima(_with_neighbours(points, chunks), chunk).filter(F.col("height") >= min_height)
-    sides = _reach(tops, F.col("height"), points, chunks, above=True)
-    lows = sides.groupBy("sample", "peak_idx").agg(
-        F.max("low").alias("saddle")  # the higher of the two sides
+    ends = chunks.select("sample", "chunk", F.col("before").isNull().alias("is_first"), F.col("after").isNull().alias("is_last"))
+    local = cut_lineage(_cogroup_all(tops.join(ends, ["sample", "chunk"]), points))
+    settled = local.filter(F.col("left_ip").isNotNull()).select(
+        "sample", "peak_idx", "height", F.greatest("low_l", "low_r").alias("saddle"), "left_ip", "right_ip"
     )
-    ranges = chunks.groupBy("sample").agg((F.max("cmax") - F.min("cmin")).alias("range"))
+    open_ = local.filter(F.col("left_ip").isNull())
+    if not open_.isEmpty():
+        settled = settled.unionByName(_settle(open_, points, chunks))
+    ranges = points.groupBy("sample").agg((F.max("y") - F.min("y")).alias("range"))
     limit = F.greatest(F.col("range") * float(prominence), F.lit(float(min_height) * 0.1))
-    kept = (
-        tops.join(lows, ["sample", "peak_idx"]).join(ranges, "sample")
+    return (
+        settled.join(ranges, "sample")
         .withColumn("prominence", F.col("height") - F.col("saddle"))
         .filter(F.col("prominence") >= limit)
-        .withColumn("width_height", F.col("height") - F.col("prominence") * 0.5)
-        .drop("saddle", "range")
-    )
-    crossings = _reach(kept, F.col("width_height"), points, chunks, above=False)
-    joined = crossings.join(kept.select("sample", "peak_idx", "width_height"), ["sample", "peak_idx"])
-    part = F.when(
-        F.col("y_found") < F.col("width_height"),
-        F.try_divide(F.col("width_height") - F.col("y_found"), F.col("y_inner") - F.col("y_found")),
-    ).otherwise(F.lit(0.0))
-    place = F.col("found") - F.col("side") * part
-    ips = joined.groupBy("sample", "peak_idx").agg(
-        F.max(F.when(F.col("side") < 0, place)).alias("left_ip"), F.max(F.when(F.col("side") > 0, place)).alias("right_ip")
-    )
-    return (
-        kept.join(ips, ["sample", "peak_idx"])
-        .withColumn("width_50pct", F.col("right_ip") - F.col("left_ip"))
+        .withColumns(
+            {"width_height": F.col("height") - F.col("prominence") * 0.5, "width_50pct": F.col("right_ip") - F.col("left_ip")}
+        )
         .filter(F.col("width_50pct") >= min_width)
-        .drop("chunk")
+        .drop("saddle", "range")
     )
 
 
+def _cogroup_all(tops: DataFrame, points: DataFrame) -> DataFrame:
+    points = points.select(*[F.col(c).alias(c) for c in ("sample", "chunk", "idx", "y")])
+    return tops.groupBy("sample", "chunk").cogroup(points.groupBy("sample", "chunk")).applyInPandas(_measure_chunk, _MEASURED)
+
+
 def integrate_peaks(tic: DataFrame, peaks: DataFrame, min_area: float = 10000, margin: int = 5, chunk: int = CHUNK) -> DataFrame:
     """Area above the lowest value of the window around each peak, by the trapezoid rule, and its share of the sample.
 
@@ -280,7 +315,8 @@ def detect_peaks(
     chunk: int = CHUNK,
 ) -> DataFrame:
     """W3 and W4 together: the peak table of every trace."""
-    found = find_peaks(tic, prominence, min_width, min_height, chunk)
+    # one row per peak, read three times by the integration
+    found = cut_lineage(find_peaks(tic, prominence, min_width, min_height, chunk))
     return integrate_peaks(tic, found, min_area, chunk=chunk)
 
 

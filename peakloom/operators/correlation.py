@@ -106,8 +106,11 @@ def spearman(peaks: DataFrame) -> DataFrame:
         pairs.join(_ranks(pairs, key, "xa", "ra"), [*key, "xa"])
         .join(_ranks(pairs, key, "xb", "rb"), [*key, "xb"])
         .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("r"))
-        .withColumn("r", F.nanvl("r", F.lit(None).cast("double")))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.covar_pop("ra", "rb").alias("c"),
+            (F.stddev_pop("ra") * F.stddev_pop("rb")).alias("s"),
+        )
+        .select(*key, "n", (F.col("c") / F.nullif("s", F.lit(0.0))).alias("r"))
     )
 
 

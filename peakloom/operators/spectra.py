@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from peakloom.scale import is_small, near_join, small_side
+from peakloom.session import cut_lineage
 
 ION_ROWS = 4_000_000
 SALTS = 16
@@ -51,33 +52,47 @@ def _ions(spectra: DataFrame, key: str, prefix: str, *extra: str) -> DataFrame:
     )
 
 
-def _postings(library: DataFrame, query_ions: DataFrame, tolerance: float, both: bool) -> DataFrame:
-    """Library ions keyed by the m/z a query can bring: kind 0 their own, kind 1 every distinct query m/z near them."""
+def _postings(library: DataFrame, query_mz: DataFrame | None, tolerance: float) -> DataFrame:
+    """Library ions keyed by m/z: w_own and n_own for the entry's own ions at that m/z, w_near for the nearest ion to a query
+    ion of that m/z. Where both m/z agree, which is the rule for unit masses, one row carries both."""
     ions = _ions(library, "lib_id", "l", "base_peak_mz")
-    out = ions.select("lib_id", "base_peak_mz", F.lit(0).alias("kind"), F.col("l_mz").alias("key_mz"), F.col("l_int").alias("weight"))
-    if both:
-        seen = query_ions.select("q_mz").distinct()
+    own = ions.select(
+        "lib_id", "base_peak_mz", F.col("l_mz").alias("key_mz"), F.col("l_int").alias("w_own"), F.lit(1).alias("n_own"),
+        F.lit(None).cast("long").alias("w_near"),
+    )
+    if query_mz is not None:
         near = (
-            near_join(seen, ions, "q_mz", "l_mz", tolerance)
-            .groupBy("q_mz", "lib_id", "base_peak_mz")
-            .agg(F.min_by("l_int", F.struct(F.abs(F.col("q_mz") - F.col("l_mz")), "l_idx")).alias("weight"))
+            near_join(query_mz, ions, "q_mz", "l_mz", tolerance)
+            .groupBy("lib_id", "base_peak_mz", F.col("q_mz").alias("key_mz"))
+            .agg(F.min_by("l_int", F.struct(F.abs(F.col("q_mz") - F.col("l_mz")), "l_idx")).alias("w_near"))
         )
-        out = out.unionByName(near.select("lib_id", "base_peak_mz", F.lit(1).alias("kind"), F.col("q_mz").alias("key_mz"), "weight"))
-    return out
+        own = own.unionByName(near.withColumns({"w_own": F.lit(0).cast("long"), "n_own": F.lit(0)}))
+    return own.groupBy("lib_id", "base_peak_mz", "key_mz").agg(
+        F.sum("w_own").alias("w_own"), F.sum("n_own").alias("n_own"), F.max("w_near").alias("w_near")
+    )
 
 
-def _query_rows(query_ions: DataFrame, library_mz: DataFrame, tolerance: float, both: bool, *extra: str) -> DataFrame:
+def _query_rows(query_ions: DataFrame, library_mz: DataFrame, tolerance: float, both: bool, carried: Sequence[str]) -> DataFrame:
+    """The same for queries: v_near for the query ion nearest to a library m/z, v_own and n_mine for its own ions."""
     near = (
         near_join(query_ions, small_side(library_mz), "q_mz", "l_mz", tolerance)
-        .groupBy("query_id", *extra, "l_mz")
-        .agg(F.min_by("q_int", F.struct(F.abs(F.col("q_mz") - F.col("l_mz")), "q_idx")).alias("value"))
-        .select("query_id", *extra, F.lit(0).alias("kind"), F.col("l_mz").alias("key_mz"), "value")
+        .groupBy("query_id", *carried, F.col("l_mz").alias("key_mz"))
+        .agg(F.min_by("q_int", F.struct(F.abs(F.col("q_mz") - F.col("l_mz")), "q_idx")).alias("v_near"))
     )
     if not both:
-        return near
-    return near.unionByName(
-        query_ions.select("query_id", *extra, F.lit(1).alias("kind"), F.col("q_mz").alias("key_mz"), F.col("q_int").alias("value"))
+        return near.withColumns({"v_own": F.lit(0).cast("long"), "n_mine": F.lit(0).cast("long")})
+    mine = query_ions.select(
+        "query_id", *carried, F.col("q_mz").alias("key_mz"), F.lit(None).cast("long").alias("v_near"),
+        F.col("q_int").alias("v_own"), F.lit(1).alias("n_mine"),
     )
+    return (
+        near.withColumns({"v_own": F.lit(0).cast("long"), "n_mine": F.lit(0)}).unionByName(mine)
+        .groupBy("query_id", *carried, "key_mz")
+        .agg(F.max("v_near").alias("v_near"), F.sum("v_own").alias("v_own"), F.sum("n_mine").alias("n_mine"))
+    )
+
+
+_QUERY_COLUMNS = ["n_query", "query_sq", "query_max_mz", "ri_expected"]
 
 
 def ion_sums(
@@ -90,43 +105,48 @@ def ion_sums(
 ) -> DataFrame:
     """J5 for every (query, entry) pair sharing an ion; with ``base_peak_filter`` only the J4 candidates.
 
-    Returns query_id, lib_id, dot (reference x nearest query ion), matched, and with ``both`` dot_back (query x nearest
-    reference ion) and matched_back. Pairs that share no ion score 0 in every measure and have no row. ``queries`` and
-    ``library`` carry peaks and, for the filter, top_mz and base_peak_mz.
+    Returns query_id, lib_id, dot (reference x nearest query ion), matched, with ``both`` dot_back (query x nearest
+    reference ion) and matched_back, and the query columns n_query, query_sq, query_max_mz, ri_expected. Pairs that share no
+    ion score 0 in every measure and have no row.
     """
     library = library.select("lib_id", "base_peak_mz", "peaks")
-    queries = queries.select("query_id", "peaks", "top_mz").repartition("query_id")
-    bases = None
+    queries = queries.select("query_id", "peaks", "top_mz", *_QUERY_COLUMNS).repartition("query_id")
+    carried = list(_QUERY_COLUMNS)
     if base_peak_filter:
         near_tops = F.array_distinct(F.flatten(F.transform("top_mz", lambda m: F.array(m - 1, m, m + 1))))
         bases = library.agg(F.collect_set("base_peak_mz").alias("b")).scalar()
         queries = queries.withColumn("cand", F.array_intersect(near_tops, bases))
-    extra = ("cand",) if base_peak_filter else ()
-    query_ions = _ions(queries, "query_id", "q", *extra)
-    postings = _postings(library, query_ions, tolerance, both)
+        carried.append("cand")
+    query_ions = _ions(queries, "query_id", "q", *carried)
+    query_mz = query_ions.select("q_mz").distinct() if both else None
+    # library-sized; written once, then counted and broadcast from there
+    postings = cut_lineage(_postings(library, query_mz, tolerance))
     library_mz = _ions(library, "lib_id", "l").select("l_mz").distinct()
-    rows = _query_rows(query_ions, library_mz, tolerance, both, *extra)
+    rows = _query_rows(query_ions, library_mz, tolerance, both, carried)
 
     small = is_small(postings, broadcast_rows)
-    salt = F.lit(0)
+    key = ["key_mz"]
     if small:
-        # one partition per query, so that the sums below need no second exchange
+        # all rows of a query in one partition, so that the sums below need no exchange of pairs
         rows = rows.repartition("query_id")
     else:
         # a library too large to broadcast: entries are spread over salts, so a frequent m/z is shared by many tasks
-        salt = F.pmod(F.xxhash64("lib_id"), F.lit(SALTS)).cast("int")
         rows = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        postings = postings.withColumn("salt", salt)
-    key = ["kind", "key_mz"] + ([] if small else ["salt"])
+        postings = postings.withColumn("salt", F.pmod(F.xxhash64("lib_id"), F.lit(SALTS)).cast("int"))
+        key.append("salt")
 
     def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         right = F.broadcast(right) if small else right
-        back = F.col("kind") == 1
-        product = F.col("value") * F.col("weight")
-        sums = [F.sum(F.when(~back, product)).alias("dot"), F.count_if(~back).alias("matched")]
+        sums = [
+            F.sum(F.coalesce(F.col("v_near"), F.lit(0)) * F.col("w_own")).alias("dot"),
+            F.sum(F.when(F.col("v_near").isNotNull(), F.col("n_own")).otherwise(0)).alias("matched"),
+        ]
         if both:
-            sums += [F.sum(F.when(back, product)).alias("dot_back"), F.count_if(back).alias("matched_back")]
-        return left.join(right, on).groupBy("query_id", "lib_id").agg(*sums).fillna(0)
+            sums += [
+                F.sum(F.col("v_own") * F.coalesce(F.col("w_near"), F.lit(0))).alias("dot_back"),
+                F.sum(F.when(F.col("w_near").isNotNull(), F.col("n_mine")).otherwise(0)).alias("matched_back"),
+            ]
+        return left.join(right, on).groupBy("query_id", "lib_id").agg(*sums, *[F.max(c).alias(c) for c in _QUERY_COLUMNS])
 
     if not base_peak_filter:
         return pairs(rows, postings, key)
@@ -208,15 +228,17 @@ def _scored(queries: DataFrame, library: DataFrame, tolerance: float, both: bool
     queries = with_spectrum_columns(queries).filter(F.col("sum_sq") > 0)
     if "ri_expected" not in queries.columns:
         queries = queries.withColumn("ri_expected", F.lit(None).cast("double"))
-    library = library.filter(F.col("sum_sq") > 0)
-    sums = ion_sums(queries, library, tolerance, both, base_peak_filter, broadcast_rows)
+    queries = queries.select(
+        "query_id", "peaks", "top_mz", F.col("n_peaks").alias("n_query"), F.col("sum_sq").alias("query_sq"),
+        F.col("max_mz").alias("query_max_mz"), "ri_expected",
+    )
+    # read for its ions, m/z list, base peaks and attributes
+    library = cut_lineage(library.filter(F.col("sum_sq") > 0))
     meta = library.select(
         "lib_id", *_LIBRARY_COLUMNS, F.col("n_peaks").alias("n_lib"), F.col("sum_sq").alias("lib_sq"), F.col("max_mz").alias("lib_max_mz"),
     )
-    of_query = queries.select(
-        "query_id", F.col("n_peaks").alias("n_query"), F.col("sum_sq").alias("query_sq"), F.col("max_mz").alias("query_max_mz"), "ri_expected"
-    )
-    return sums.join(of_query, "query_id").join(small_side(meta, 300_000), "lib_id")
+    sums = ion_sums(queries, library, tolerance, both, base_peak_filter, broadcast_rows)
+    return sums.join(small_side(meta, 300_000), "lib_id")
 
 
 def search(

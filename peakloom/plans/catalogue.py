@@ -26,8 +26,9 @@ def query(name: str, check: str | None = None, uses: tuple[str, ...] = ("peaks",
         if check:
             with_views = ",\n".join(f"{u} AS ({_check_source(u)})" for u in uses)
             text = check.strip()
-            glue = ", " if text.upper().startswith("WITH ") else " "
-            CHECKS[name] = f"WITH {with_views}{glue}{text[5:] if glue == ', ' else text}" if uses else text
+            head = "WITH RECURSIVE " if text.startswith("WITH RECURSIVE ") else "WITH "
+            glue = ", " if text.startswith("WITH ") else " "
+            CHECKS[name] = f"{head}{with_views}{glue}{text[len(head):] if glue == ', ' else text}" if uses else text
         return build
 
     return add
@@ -47,7 +48,7 @@ FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "vendor_hits": """
 SELECT concat('Sample', lpad(CAST(l_suppkey AS STRING), 4, '0'), '.D') AS sample,
        CAST(1 + l_linenumber % 2 AS INT) AS file_priority, concat('hits', CAST(l_linenumber % 2 AS STRING), '.csv') AS file,
-       CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS hit_seq,
+       CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS BIGINT) AS hit_seq,
        2 + CAST((l_partkey * l_partkey * 31 + l_partkey * 17) % 30011 AS DOUBLE) / 1000 + CAST(l_orderkey % 90 - 45 AS DOUBLE) / 1000 AS rt,
        CASE WHEN p_size < 5 THEN 'Unknown' ELSE p_name END AS compound,
        CAST(l_quantity * 2 - 20 AS INT) AS match_factor, CAST(l_quantity * 2 - 30 AS INT) AS reverse_match,
@@ -630,10 +631,10 @@ w AS (SELECT k.*, row_number() OVER (PARTITION BY k.sample ORDER BY peak_idx) AS
       FROM k JOIN n ON n.sample = k.sample),
 x AS (SELECT w.sample, peak_id, idx, t, y, lo, hi, lead(t) OVER (PARTITION BY w.sample, peak_id ORDER BY idx) AS t1, lead(y) OVER (PARTITION BY w.sample, peak_id ORDER BY idx) AS y1,
              min(y) OVER (PARTITION BY w.sample, peak_id) AS base FROM w JOIN tic ON tic.sample = w.sample AND idx BETWEEN lo AND hi),
-s AS (SELECT sample, peak_id, round(sum((t1 - t) * ((y - base) + (y1 - base)) / 2), 1) AS area FROM x GROUP BY sample, peak_id),
-q AS (SELECT w.sample, w.peak_id, tp.t AS rt, tl.t AS rt_start, tr.t AS rt_end, round(height, 1) AS height, s.area, right_ip - left_ip AS width, width_height, prominence
-      FROM w JOIN s ON s.sample = w.sample AND s.peak_id = w.peak_id JOIN tic tp ON tp.sample = w.sample AND tp.idx = peak_idx
-      JOIN tic tl ON tl.sample = w.sample AND tl.idx = floor(left_ip) JOIN tic tr ON tr.sample = w.sample AND tr.idx = floor(right_ip) WHERE s.area >= 1000)
+ar AS (SELECT sample, peak_id, round(sum((t1 - t) * ((y - base) + (y1 - base)) / 2), 1) AS area FROM x GROUP BY sample, peak_id),
+q AS (SELECT w.sample, w.peak_id, tp.t AS rt, tl.t AS rt_start, tr.t AS rt_end, round(height, 1) AS height, ar.area, right_ip - left_ip AS width, width_height, prominence
+      FROM w JOIN ar ON ar.sample = w.sample AND ar.peak_id = w.peak_id JOIN tic tp ON tp.sample = w.sample AND tp.idx = peak_idx
+      JOIN tic tl ON tl.sample = w.sample AND tl.idx = floor(left_ip) JOIN tic tr ON tr.sample = w.sample AND tr.idx = floor(right_ip) WHERE ar.area >= 1000)
 SELECT sample, peak_id, round(rt, 4) AS rt, round(rt_start, 4) AS rt_start, round(rt_end, 4) AS rt_end, height, area, round(width, 6) AS width_50pct,
        round(width_height, 6) AS width_height, round(prominence, 1) AS prominence, round(area / sum(area) OVER (PARTITION BY sample) * 100, 2) AS area_pct FROM q""", ("tic",))
 def _detect_peaks(spark, sf_dir):
@@ -795,7 +796,7 @@ def _combine_sources(spark, sf_dir):
 
 @query("library_dedup", """
 WITH n AS (SELECT spec_id, count(*) AS n_peaks FROM spectra GROUP BY spec_id),
-k AS (SELECT lib_id, coalesce(concat('cas:', cas), concat('name:', name)) AS key, load_seq,
+k AS (SELECT lib_id, CASE WHEN cas IS NULL THEN concat('name:', name) ELSE concat('cas:', cas) END AS key, load_seq,
        CASE WHEN cas IS NULL THEN 0 WHEN source = 'builtin_msp' THEN 3 WHEN source = 'msp_file' THEN 2 ELSE 1 END AS pr,
        CASE WHEN cas IS NULL THEN 0 ELSE n_peaks END AS sz, name, cas, source, n_peaks FROM library_rows JOIN n ON spec_id = lib_id WHERE n_peaks >= 3)
 SELECT lib_id, name, cas, source, CAST(n_peaks AS INT) AS n_peaks FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pr DESC, sz DESC, load_seq) AS r FROM k) x WHERE r = 1""",
@@ -823,9 +824,9 @@ def _by_name(spark, sf_dir):
 
 @query("search_by_cas", """
 SELECT name, cas, formula, source, CAST(n AS INT) AS n_peaks FROM library_rows JOIN (SELECT spec_id, count(*) AS n FROM spectra GROUP BY spec_id) ON spec_id = lib_id
-WHERE cas = '110-00-3'""", ("spectra", "library_rows"))
+WHERE cas = '110-00-8'""", ("spectra", "library_rows"))
 def _by_cas(spark, sf_dir):
-    return lib_ops.search_by_cas(v.library(spark, sf_dir), "110-00-3").drop("peaks")
+    return lib_ops.search_by_cas(v.library(spark, sf_dir), "110-00-8").drop("peaks")
 
 
 @query("filter_library", """
@@ -894,9 +895,15 @@ def _named_anchors(spark, sf_dir):
     return kovats.named_anchors(extra(spark, sf_dir, "standards"))
 
 
-@query("spaced_anchors")
+@query("spaced_anchors", """
+WITH RECURSIVE f AS (SELECT DISTINCT rt FROM peaks WHERE area >= 90000 AND sample = (SELECT min(sample) FROM peaks WHERE area >= 90000)),
+s AS (SELECT median(d) * 0.6 AS step FROM (SELECT rt - lag(rt) OVER (ORDER BY rt) AS d FROM f) g WHERE d > 0.5),
+w AS (SELECT 8 AS carbon, min(rt) AS rt FROM f UNION ALL
+      SELECT carbon + 1, (SELECT min(f.rt) FROM f, s WHERE f.rt - w.rt > step) FROM w WHERE carbon < 30 AND w.rt IS NOT NULL)
+SELECT carbon, rt FROM w WHERE rt IS NOT NULL""")
 def _spaced_anchors(spark, sf_dir):
-    return kovats.spaced_anchors(v.peaks(spark, sf_dir))
+    # strong peaks only: a standard run has well separated peaks
+    return kovats.spaced_anchors(filters.min_area(v.peaks(spark, sf_dir), 90000))
 
 
 @query("kovats_ri", _ANCHORS + """,

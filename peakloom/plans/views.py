@@ -23,7 +23,7 @@ TIC = """
 SELECT concat('U', CAST(user_id AS STRING)) AS sample,
        CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS idx,
        CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS DOUBLE) / 100 AS t,
-       value * 1000 AS y
+       value * CAST(1000.137 AS DOUBLE) AS y
 FROM events
 """
 
@@ -75,7 +75,7 @@ TEXTS = {
 def _tables(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a view text with its base tables bound as frames; nothing is registered in the session."""
     names = [n for n in ("lineitem", "part", "events", "embeddings", "pages") if n in sql]
-    body = sql
+    body = sql.replace("{", "{{").replace("}", "}}")
     bound = {}
     for name in names:
         bound[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
