@@ -110,7 +110,11 @@ def ion_sums(
     ion score 0 in every measure and have no row.
     """
     library = library.select("lib_id", "base_peak_mz", "peaks")
-    queries = queries.select("query_id", "peaks", "top_mz", *_QUERY_COLUMNS).repartition("query_id")
+    # The number of partitions is stated because the work per query is far larger than its size, by which adaptive
+    # execution would merge partitions.
+    spark = queries.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    queries = queries.select("query_id", "peaks", "top_mz", *_QUERY_COLUMNS).repartition(parts, "query_id")
     carried = list(_QUERY_COLUMNS)
     if base_peak_filter:
         near_tops = F.array_distinct(F.flatten(F.transform("top_mz", lambda m: F.array(m - 1, m, m + 1))))
@@ -124,12 +128,10 @@ def ion_sums(
     library_mz = _ions(library, "lib_id", "l").select("l_mz").distinct()
     rows = _query_rows(query_ions, library_mz, tolerance, both, carried)
 
+    # while the library is broadcast, the rows of a query stay in their partition and its sums need no exchange of pairs
     small = is_small(postings, broadcast_rows)
     key = ["key_mz"]
-    if small:
-        # all rows of a query in one partition, so that the sums below need no exchange of pairs
-        rows = rows.repartition("query_id")
-    else:
+    if not small:
         # a library too large to broadcast: entries are spread over salts, so a frequent m/z is shared by many tasks
         rows = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         postings = postings.withColumn("salt", F.pmod(F.xxhash64("lib_id"), F.lit(SALTS)).cast("int"))

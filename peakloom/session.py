@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder the cluster names in ``spark.checkpoint.dir``; a scratch folder only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="peakloom-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a scratch folder only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="peakloom-checkpoint-"))
-    return df.checkpoint()
+    """Write a table to the shared folder once and read it back: later steps neither recompute it nor lose it with an
+    executor, read only the columns they use, and know its size. Used for tables of library or peak size."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/peakloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
