@@ -138,7 +138,20 @@ def _cogroup(requests: DataFrame, points: DataFrame, run, schema: str) -> DataFr
     # both sides stem from the same trace; renamed columns keep them apart
     points = points.select(*[F.col(c).alias(c) for c in ("sample", "chunk", "idx", "y")])
     points = points.join(small_side(need), ["sample", "chunk"], "left_semi")
-    return requests.groupBy("sample", "chunk").cogroup(points.groupBy("sample", "chunk")).applyInPandas(run, schema)
+    return _side_by_side(requests, points, run, schema)
+
+
+def _side_by_side(left: DataFrame, points: DataFrame, run, schema: str) -> DataFrame:
+    """Cogroup per chunk. The number of partitions is stated: Python work per row is large for its size, by which adaptive
+    execution would merge partitions."""
+    spark = left.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    key = ["sample", "chunk"]
+    return (
+        left.repartition(parts, *key).groupBy(*key)
+        .cogroup(points.repartition(parts, *key).groupBy(*key))
+        .applyInPandas(run, schema)
+    )
 
 
 def _scan(requests: DataFrame, points: DataFrame, above: bool) -> DataFrame:
@@ -253,7 +266,7 @@ def find_peaks(
 
 def _cogroup_all(tops: DataFrame, points: DataFrame) -> DataFrame:
     points = points.select(*[F.col(c).alias(c) for c in ("sample", "chunk", "idx", "y")])
-    return tops.groupBy("sample", "chunk").cogroup(points.groupBy("sample", "chunk")).applyInPandas(_measure_chunk, _MEASURED)
+    return _side_by_side(tops, points, _measure_chunk, _MEASURED)
 
 
 def integrate_peaks(tic: DataFrame, peaks: DataFrame, min_area: float = 10000, margin: int = 5, chunk: int = CHUNK) -> DataFrame:

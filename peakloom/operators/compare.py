@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from peakloom.functions.pvalues import mann_whitney_p, student_p
 from peakloom.scale import order_bucket, ordered_totals
+from peakloom.session import cut_lineage
 
 
 def _two_groups(peaks: DataFrame, group_a: str, group_b: str) -> DataFrame:
@@ -125,6 +126,8 @@ def compare_groups(peaks: DataFrame, group_a: str, group_b: str, rank_test: bool
         .withColumn("df", F.coalesce(freedom, (na + nb - 2).cast("double")))
         .withColumn("p_value_t", student_p("t_statistic", "df"))
     )
+    # one row per compound, read several times by the adjustment
+    out = cut_lineage(out)
     out = adjust_fdr(out, "p_value_t").withColumn("significant", stars(F.col("p_value_fdr")))
     columns = [
         "compound", "n_a", "n_b", "mean_a", "mean_b", "fold_change", "log2_fc", "cohens_d", "effect_size",

@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from peakloom.operators.spectra import collect_spectra
+from peakloom.session import cut_lineage
+
 PEAKS = """
 SELECT concat('G', l_suppkey % 3) AS grp,
        concat('Sample', lpad(CAST(l_suppkey AS STRING), 4, '0'), '.D') AS sample,
@@ -101,24 +104,18 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even spectra as library entries."""
-    from peakloom.operators.spectra import collect_spectra
-
     ions = spectra(spark, sf_dir).filter(F.col("spec_id") % 2 == 0)
-    return view(spark, sf_dir, "library_rows").join(
-        collect_spectra(ions, "spec_id").withColumnRenamed("spec_id", "lib_id"), "lib_id"
-    )
+    packed = collect_spectra(ions, "spec_id").withColumnRenamed("spec_id", "lib_id")
+    # a library is a stored table; here it is derived, so it is stored once per query
+    return cut_lineage(view(spark, sf_dir, "library_rows").join(packed, "lib_id"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd spectra as queries, two in three with a measured index."""
-    from peakloom.operators.spectra import collect_spectra
-
     ions = spectra(spark, sf_dir).filter(F.col("spec_id") % 2 == 1)
     ri = F.when(F.col("query_id") % 3 != 0, (F.lit(401) + F.col("query_id") * 97 % 3500).cast("double"))
-    return (
-        collect_spectra(ions, "spec_id").withColumnRenamed("spec_id", "query_id")
-        .withColumns({"ri_expected": ri, "ri_measured": ri})
-    )
+    packed = collect_spectra(ions, "spec_id").withColumnRenamed("spec_id", "query_id")
+    return cut_lineage(packed.withColumns({"ri_expected": ri, "ri_measured": ri}))
 
 
 def ri_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
