@@ -217,11 +217,11 @@ def parse_vendor_hits(texts: DataFrame) -> DataFrame:
     )
     titles = F.when(F.col("tabbed"), F.transform(F.split("head", "\t"), lambda t: F.trim(F.translate(F.lower(t), '"#', "")))).otherwise(titles)
     df = df.withColumn("titles", titles)
-    places = {
-        name: F.array_max(F.transform("titles", lambda t, i, a=spellings: F.when(t.isin(a), i)))
-        for name, spellings in ALIASES.items()
-    }
-    df = df.withColumns({f"p_{n}": p for n, p in places.items()}).filter(F.col("p_compound").isNotNull() | F.col("p_rt").isNotNull())
+
+    def place(spellings: list[str]) -> Column:
+        return F.array_max(F.transform("titles", lambda t, i: F.when(t.isin(spellings), i)))
+
+    df = df.withColumns({f"p_{n}": place(a) for n, a in ALIASES.items()}).filter(F.col("p_compound").isNotNull() | F.col("p_rt").isNotNull())
     lines = df.select("*", F.inline(F.filter("rows", lambda r: (r["i"] > 0) & (F.trim(r["line"]) != "") & ~F.trim(r["line"]).startswith("#"))))
     schema = ", ".join(f"f{i} string" for i in range(_FIELDS))
 
