@@ -230,7 +230,7 @@ def histogram(peaks: DataFrame, bins: int = 30) -> DataFrame:
     return (
         values.join(ranges, "grp")
         # a group with one value spans +-0.5 around it, which puts everything in the middle bin
-        .select("grp", F.coalesce(F.least(slot, F.lit(bins - 1)), F.lit(bins // 2)).cast("int").alias("bin"))
+        .select("grp", F.least(F.coalesce(slot, F.lit(bins // 2)), F.lit(bins - 1)).cast("int").alias("bin"))
         .groupBy("grp", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )

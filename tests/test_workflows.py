@@ -11,7 +11,7 @@ def test_trace_to_identified_table(spark, tmp_path):
     t = np.arange(600) / 100
     rows, scans = [], []
     for k in range(3):
-        y = 1000 + sum(h * np.exp(-((t - c) / 0.05) ** 2) for h, c in ((2e5, 1.0 + k * 0.01), (1e5, 3.0), (5e4, 5.0)))
+        y = 1000 + sum(h * np.exp(-((t - c) / 0.05) ** 2) for h, c in ((2e6, 1.0 + k * 0.01), (1e6, 3.0), (5e5, 5.0)))
         rows += [(f"s{k}.D", i, float(a), float(b)) for i, (a, b) in enumerate(zip(t, y))]
         scans += [(f"s{k}.D", 3.001, [(41.0, 300), (43.0, 999), (57.0, 500), (71.0, 200), (85.0, 90)])]
     tic = spark.createDataFrame(rows, "sample string, idx int, t double, y double")
