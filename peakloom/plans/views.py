@@ -95,7 +95,8 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "tic")
+    # traces are a stored table; the point numbers derived here are stored once per query
+    return cut_lineage(view(spark, sf_dir, "tic"))
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,8 +167,8 @@ def read_library_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
 def load_libraries(spark: SparkSession, folder: str, csv_files: Sequence[str] = (), builtin: DataFrame | None = None) -> DataFrame:
     """All MSP and JSON files of a folder, the named CSV files and optional built-in entries, as one table.
 
-    CSV files are named because each may have its own header. ``load_seq`` follows source, file name and a hash of the
-    record, so it does not depend on how files were split; ``lib_id`` equals it.
+    CSV files are named because each may have its own header. ``load_seq`` does not depend on how files were split;
+    ``lib_id`` equals it.
     """
     def glob(pattern: str) -> list[str]:
         listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
@@ -190,10 +190,15 @@ def load_libraries(spark: SparkSession, folder: str, csv_files: Sequence[str] =
 
 
 def with_load_order(library: DataFrame) -> DataFrame:
-    """Number entries by built-in first, then file name, then content: stable under any partitioning."""
-    key = F.pmod(F.xxhash64("source_file", "name", "cas", F.to_json("peaks")), F.lit(1 << 40))
-    place = F.when(F.col("source") == "builtin_msp", 0).otherwise(1)
-    return library.withColumn("load_seq", place * F.lit(1 << 41) + key).withColumn("lib_id", F.col("load_seq"))
+    """Number entries by a hash of file and content, built-in ones first: the same under any partitioning.
+
+    An entry repeated word for word in one file is one entry.
+    """
+    if "source_file" not in library.columns:
+        library = library.withColumn("source_file", F.lit(None).cast("string"))
+    key = F.pmod(F.xxhash64("source_file", "name", "cas", F.to_json("peaks")), F.lit(1 << 61))
+    place = F.when(F.col("source") == "builtin_msp", F.lit(0).cast("long")).otherwise(F.lit(1 << 61))
+    return library.withColumn("load_seq", place + key).withColumn("lib_id", F.col("load_seq")).dropDuplicates(["lib_id"])
 
 
 def parse_ri_table(texts: DataFrame) -> DataFrame:

@@ -180,7 +180,8 @@ def parse_report_texts(texts: DataFrame) -> DataFrame:
         _good,
     )
     complete = F.col("c_rt").isNotNull() & F.col("c_area").isNotNull() & F.col("c_name").isNotNull()
-    chosen = F.when(F.size(table) > 0, table).when(F.size(quant) > 0, quant).when(complete, tab)
+    df = df.withColumns({"table": table, "quant": quant})
+    chosen = F.when(F.size("table") > 0, F.col("table")).when(F.size("quant") > 0, F.col("quant")).when(complete, tab)
     return df.select("path", F.inline(chosen)).select(
         *_run_columns(F.col("path")), "rt", "peak_type", "area", "amount", "conc", "compound"
     )
@@ -201,7 +202,6 @@ ALIASES = {
     "formula": ["formula", "molecular formula", "mol formula"],
     "height": ["height", "peak height"],
 }
-_FIELDS = 64
 
 
 def parse_vendor_hits(texts: DataFrame) -> DataFrame:
@@ -223,18 +223,17 @@ def parse_vendor_hits(texts: DataFrame) -> DataFrame:
 
     df = df.withColumns({f"p_{n}": place(a) for n, a in ALIASES.items()}).filter(F.col("p_compound").isNotNull() | F.col("p_rt").isNotNull())
     lines = df.select("*", F.inline(F.filter("rows", lambda r: (r["i"] > 0) & (F.trim(r["line"]) != "") & ~F.trim(r["line"]).startswith("#"))))
-    schema = ", ".join(f"f{i} string" for i in range(_FIELDS))
 
-    def split_with(sep: str) -> Column:
-        parsed = F.from_csv("line", schema, {"sep": sep, "nullValue": "\u0001", "emptyValue": ""})
-        return F.array(*[parsed[f"f{i}"] for i in range(_FIELDS)])
+    def fields(sep: str) -> Column:
+        quoted = F.regexp_extract_all("line", F.lit(rf'(?:^|{sep})("(?:[^"]|"")*"|[^{sep}]*)'), F.lit(1))
+        return F.transform(quoted, lambda c: F.replace(F.btrim(F.trim(c), F.lit('"')), F.lit('""'), F.lit('"')))
 
-    lines = lines.withColumn("cells", F.when(F.col("tabbed"), split_with("\t")).otherwise(split_with(",")))
+    lines = lines.withColumn("cells", F.when(F.col("tabbed"), fields("\t")).otherwise(fields(",")))
     last = F.greatest(*[F.coalesce(f"p_{n}", F.lit(-1)) for n in ALIASES])
     lines = lines.filter(F.get("cells", last).isNotNull())
 
     def text(name: str) -> Column:
-        return F.coalesce(F.btrim(F.trim(F.get("cells", F.col(f"p_{name}"))), F.lit('"')), F.lit(""))
+        return F.coalesce(F.get("cells", F.col(f"p_{name}")), F.lit(""))
 
     def value(name: str) -> Column:
         cell = F.replace(F.get("cells", F.col(f"p_{name}")), F.lit(","), F.lit("")) if name in ("area", "height") else F.get("cells", F.col(f"p_{name}"))

@@ -9,7 +9,7 @@ from check_catalogue import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
 SOME = [
-    "compare_groups", "rank_sums", "descriptive", "composition", "quality_score", "boxplot", "anomalies", "correlation_pearson",
+    "compare_groups", "rank_sums", "descriptive", "composition", "quality_score", "boxplot", "correlation_pearson",
     "correlation_spearman", "align_rt", "match_rt_library", "vendor_merge", "scans_within", "find_peaks", "detect_peaks",
     "spectrum_search_hybrid", "spectrum_search_manager", "identify", "library_dedup", "classify", "kovats_ri", "ri_crossref",
     "page_values", "msp_roundtrip",
