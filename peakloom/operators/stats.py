@@ -146,14 +146,13 @@ def cv_bands(peaks: DataFrame) -> DataFrame:
 
 def cv_stats(peaks: DataFrame) -> DataFrame:
     """Mean and median CV%, number above 50 and below 25, on CV% rounded to one digit."""
-    cvs = cv_table(peaks).select(F.lit(1).alias("one"), F.round("cv_pct", 1).alias("cv_pct"))
-    summary = cvs.groupBy("one").agg(
+    cvs = cv_table(peaks).select(F.round("cv_pct", 1).alias("cv_pct"))
+    middle = quantiles(cvs, [], "cv_pct", {"median_cv": 0.5}).scalar()
+    return cvs.agg(
         F.round(F.avg("cv_pct"), 1).alias("mean_cv"),
         F.count_if(F.col("cv_pct") > 50).alias("high_cv_count"),
         F.count_if(F.col("cv_pct") < 25).alias("low_cv_count"),
-    )
-    middle = quantiles(cvs, ["one"], "cv_pct", {"median_cv": 0.5}).withColumn("median_cv", F.round("median_cv", 1))
-    return summary.join(middle, "one").select("mean_cv", "median_cv", "high_cv_count", "low_cv_count")
+    ).select("mean_cv", F.round(middle, 1).alias("median_cv"), "high_cv_count", "low_cv_count")
 
 
 def missing_rate(peaks: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from peakloom.operators import (
     chrom, compare, correlation, enrichment, filters, identify, kovats, library as lib_ops, rtmatch, samples, spectra, stats,
 )
 from peakloom.plans import views as v
+from peakloom.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -787,6 +788,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY key DESC, sour
 SELECT query_id, name, source, CAST(key AS INT) AS rank_key FROM r WHERE rank = 1""", _SPECTRA_VIEWS)
 def _combine_sources(spark, sf_dir):
     local = spectra.search_manager(v.queries(spark, sf_dir), v.library(spark, sf_dir), min_match=450).select("query_id", "name", "source", "match_factor")
+    local = cut_lineage(local)
     remote = local.groupBy("query_id", "name").agg(F.count(F.lit(1)).cast("int").alias("n_spectra")).withColumn("source", F.lit("remote"))
     out = identify.combine_sources(local, remote)
     return out.filter(F.col("rank") == 1).select("query_id", "name", "source", "rank_key")

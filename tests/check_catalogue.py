@@ -35,6 +35,9 @@ def rows_of(columns, rows):
 def compare(spark, con, sf_dir, name):
     """None when both agree, else a short text."""
     df = queries()[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+        return "the plan joins every row with every row"
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     sql = oracle_sql().get(name)
     if sql is None:
