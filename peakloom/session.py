@@ -25,17 +25,29 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder the cluster names in ``spark.checkpoint.dir``; a scratch folder only where none is set."""
+    """Folder the cluster names in ``spark.checkpoint.dir``.
+
+    In local mode a scratch folder stands in where none is set. On a cluster such a folder would be another one on each
+    machine, so the missing setting is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"master {master} needs a shared folder: set spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="peakloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/peakloom-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder once and read it back: later steps neither recompute it nor lose it with an
     executor, read only the columns they use, and know its size. Used for tables of library or peak size."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/peakloom-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
