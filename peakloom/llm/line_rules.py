@@ -95,12 +95,11 @@ def _frequent(d: DataFrame, max_docs: int, max_share: float) -> DataFrame:
 
 
 def judge(
-    df: DataFrame, host: str = "source", max_docs: int = 20, max_share: float = 0.01, min_words: int = 20, min_left: float = 0.3
+    df: DataFrame, host: str = "source", max_docs: int = 20, max_share: float = 0.01, min_left: float = 0.3
 ) -> DataFrame:
     """Per row: doc_id, the counts of ``text_rules``, n_removed_words, depleted and kept.
 
-    ``depleted``: lines were removed, and fewer than ``min_words`` words or than the share ``min_left`` of the words is
-    left. ``kept``: neither ``base_failed`` nor depleted. Null and empty texts have no words and fail the base rule. A
+    ``depleted``: less than the share ``min_left`` of the words is left after removal. ``kept``: neither ``base_failed`` nor depleted. Null and empty texts have no words and fail the base rule. A
     null host is a host of its own. Equal rows get equal results; an empty table gives no rows; other columns are ignored.
     """
     d = _with_host(df, host)
@@ -113,5 +112,5 @@ def judge(
     )
     rules = text_rules(d).join(removed, "_key", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     left = F.col("n_words") - F.col("n_removed_words")
-    depleted = (F.col("n_removed_words") > 0) & ((left < min_words) | (left < F.col("n_words") * F.lit(min_left)))
+    depleted = (F.col("n_removed_words") > 0) & (left < F.col("n_words") * F.lit(min_left))
     return rules.withColumn("depleted", depleted).withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_key", "_host")

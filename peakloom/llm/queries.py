@@ -4,10 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from peakloom.llm import exact_dedup, line_rules, line_spread, secret_links
+from peakloom.llm import bpe, exact_dedup, line_rules, line_spread, near_dedup, packing, quality, secret_links
 from peakloom.llm.common import documents
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade 0 to 2 of the labelled documents: one point for good quality, one for not being toxic."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        "doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade")
+    )
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(documents(spark, sf_dir), ratings(spark, sf_dir))
+    return judged.select("doc_id", "expected_grade", "tail", F.col("accepted").alias("kept"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), token_pattern(), with_ids=False)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), token_pattern())
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
@@ -40,6 +77,10 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
+    "op3_quality": op3_quality,
+    "op4_bpe": op4_bpe,
+    "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_links": op7_secret_links,
     "op8_line_rules": op8_line_rules,
