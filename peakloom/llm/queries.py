@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from peakloom.llm import bpe, exact_dedup, line_rules, line_spread, near_dedup, packing, quality, secret_links
+from peakloom.llm import bpe, exact_dedup, line_rules, line_spread, near_dedup, packing, pii, quality, repeats, secret_links
 from peakloom.llm.common import documents
 
 
@@ -28,6 +28,18 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
 
@@ -69,6 +81,10 @@ def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(documents(spark, sf_dir))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_spread.remove_spread_lines(documents(spark, sf_dir))
     return cleaned.select(
@@ -77,6 +93,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
@@ -84,6 +101,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_links": op7_secret_links,
     "op8_line_rules": op8_line_rules,
+    "op9_repeats": op9_repeats,
     "op10_line_spread": op10_line_spread,
 }
 
