@@ -27,6 +27,8 @@ WORDS = 5
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 SIMILARITY = 0.8
+#: Words of 64 bits in the bitmap that bounds the common part of two texts.
+BITMAP = 16
 
 _place = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -176,40 +178,98 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _open(members: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Members (bucket, node, n, comp) of the buckets that still hold more than one component, and all components."""
-    if links is None:
-        comps, labelled = None, members.withColumn("comp", F.col("node"))
-    else:
-        comps = components(links)
-        labelled = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    labelled = cut_lineage(labelled.select("bucket", "node", "n", "comp"))
-    mixed = cut_lineage(labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket"))
-    return labelled.join(mixed, "bucket", "left_semi"), comps
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    mixed = cut_lineage(members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket"))
+    return cut_lineage(members.join(mixed, "bucket", "left_semi"))
 
 
-def _near_size(a: str, b: str) -> Column:
-    # the smaller text is at most the common part, the larger at least the union
-    return F.least(a, b) >= F.greatest(a, b) * F.lit(SIMILARITY)
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold more than one component, with their component."""
+    comps = components(links)
+    labelled = members.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return _mixed(cut_lineage(labelled.select("bucket", "node", "n", "mates", "shareable", "comp")))
+
+
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, data, offsets in pieces(batch):
+            shingles, first = shingle_hashes(*word_hashes(data, offsets))
+            cell = pa.array(cells(shingles, first).view(np.int64))
+            owner = np.repeat(np.arange(part.num_rows), np.diff(first))
+            columns = [pa.array(part.column(c).to_numpy()[owner]) for c in ("short", "comp")]
+            yield pa.RecordBatch.from_arrays([cell, *columns], ["cell", "short", "comp"])
+
+
+def _without_hopeless(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members that may still be linked in their bucket, with ``shareable``, the cells that a text of another component
+    has too.
+
+    Two texts of different components have at most the smaller number of shareable cells in common. A text with many
+    cells that only its own component has can reach the similarity with none that is as long as the shortest of the
+    bucket: copies that were edited too much, and groups that differ enough, leave their bucket before any pair is
+    formed. Both tests are bounds, so no link is lost. (Texts go by 64-bit hashes here.)
+    """
+    short = F.xxhash64("node").alias("short")
+    nodes = members.select("node", F.xxhash64("comp").alias("comp")).distinct()
+    cell = texts.join(nodes, "node").select(short, "comp", "text").mapInArrow(_cell_rows, "cell long, short long, comp long")
+    common = cell.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("cell")
+    shared = cell.select("cell", "short").join(cut_lineage(common), "cell", "left_semi").groupBy("short").agg(F.count(F.lit(1)).alias("met"))
+    shortest = cut_lineage(members.groupBy("bucket").agg(F.min("n").alias("shortest")))
+    marked = cut_lineage(members.drop("shareable").withColumn("short", short).join(cut_lineage(shared), "short", "left").select(
+        "bucket", "node", "n", "mates", "comp", F.coalesce("met", F.lit(0)).alias("shareable")
+    ))
+    hopeful = _can_reach(F.col("shareable"), F.col("n") + F.greatest("shortest", "shareable"))
+    return marked.join(shortest, "bucket").filter(hopeful).drop("shortest")
+
+
+def _can_reach(common: Column, sizes: Column) -> Column:
+    # common / (sizes - common) >= similarity
+    return common * F.lit(1 + SIMILARITY) + F.lit(1e-6) >= sizes * F.lit(SIMILARITY)
 
 
 def _star_pairs(members: DataFrame, turn: int, roots: int = 3) -> DataFrame:
-    """Every member with a few members of its bucket, chosen by hash, that belong to another component."""
-    pick = [
-        F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn * roots + r))).alias(f"r{r}") for r in range(roots)
-    ]
+    """Every member with a few members of its bucket that belong to another component: the one with the most mates over
+    all its buckets, and others chosen by hash."""
+    root = F.struct("node", "n", "shareable", "comp")
+    pick = [F.max_by(root, F.struct("mates", "node")).alias("r0")]
+    pick += [F.min_by(root, F.xxhash64("node", F.lit(turn * roots + r))).alias(f"r{r}") for r in range(1, roots)]
     chosen = cut_lineage(members.groupBy("bucket").agg(*pick))
-    met = members.join(chosen, "bucket").select("node", "n", "comp", F.explode(F.array_distinct(F.array(*[f"r{r}" for r in range(roots)]))).alias("r"))
-    met = met.filter((F.col("comp") != F.col("r.comp")) & _near_size("n", "r.n"))
+    met = members.join(chosen, "bucket").select(
+        "node", "n", "shareable", "comp", F.explode(F.array_distinct(F.array(*[f"r{r}" for r in range(roots)]))).alias("r")
+    )
+    met = met.filter((F.col("comp") != F.col("r.comp")) & _can_reach(F.least("shareable", "r.shareable"), F.col("n") + F.col("r.n")))
     return met.select(*_pair(F.col("node"), F.col("r.node"))).distinct()
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket."""
-    left = members.select("bucket", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
-    right = members.select("bucket", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("comp").alias("y_comp"))
-    met = left.join(right, "bucket").filter((F.col("x_comp") < F.col("y_comp")) & _near_size("x_n", "y_n"))
-    return met.select(*_pair(F.col("x"), F.col("y"))).distinct()
+def _bitmap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, data, offsets in pieces(batch):
+            shingles, first = shingle_hashes(*word_hashes(data, offsets))
+            spot = (cells(shingles, first) >> np.uint64(40)).astype(np.int64) % (64 * BITMAP)
+            owner = np.repeat(np.arange(part.num_rows), np.diff(first))
+            odd = np.bincount(owner * (64 * BITMAP) + spot, minlength=part.num_rows * 64 * BITMAP) & 1
+            words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BITMAP), pa.array(words))
+            yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "bits"])
+
+
+def _all_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components in a bucket that can reach the similarity.
+
+    A text's bitmap has a bit for every odd number of cells that hash there. Bits in which two bitmaps differ are at most
+    the cells that the texts do not share, which bounds what they do: pairs beyond the bound are never written.
+    """
+    bits = texts.join(members.select("node").distinct(), "node").select("node", "text").mapInArrow(_bitmap_rows, "node binary, bits array<long>")
+    words = [f"w{i}" for i in range(BITMAP)]
+    flat = cut_lineage(bits.select("node", *[F.col("bits")[i].alias(w) for i, w in enumerate(words)]))
+    full = cut_lineage(members.select("bucket", "node", "n", "shareable", "comp").join(flat, "node"))
+    left, right = (full.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "shareable", "comp", *words)]) for side in "xy")
+    sizes = F.col("x_n") + F.col("y_n")
+    differ = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words), F.lit(0))
+    reach = _can_reach(F.least("x_shareable", "y_shareable"), sizes) & _can_reach((sizes - differ) / 2, sizes)
+    met = left.join(right, "bucket").filter((F.col("x_comp") < F.col("y_comp")) & reach)
+    return met.select(*_pair(F.col("x_node"), F.col("y_node"))).distinct()
 
 
 def classes(df: DataFrame, star_turns: int = 2) -> DataFrame:
@@ -227,24 +287,27 @@ def classes(df: DataFrame, star_turns: int = 2) -> DataFrame:
     sketch = cut_lineage(df.select("doc_id", row_key().alias("_key"), whole_text().alias("text")).mapInArrow(_sketch, shape))
     nodes = sketch.filter("node is not null").groupBy("node").agg(F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     entries = nodes.select("node", "_key", "n", F.explode("bands").alias("bucket"))
-    shared = cut_lineage(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket"))
-    members = cut_lineage(entries.join(shared, "bucket", "left_semi"))
+    shared = cut_lineage(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    members = cut_lineage(entries.join(shared, "bucket"))
+    # the text that others were made from shares more bands with each of them than they do with one another
+    central = cut_lineage(members.groupBy("node").agg(F.sum("size").alias("mates")))
     involved = members.groupBy("node").agg(F.min("_key").alias("_key"))
     all_texts = df.select(row_key().alias("_key"), whole_text().alias("text"))
     # equal rows have one key: the text is taken once
     texts = cut_lineage(all_texts.join(cut_lineage(involved), "_key").groupBy("node").agg(F.first("text").alias("text")))
-    members = members.select("bucket", "node", "n")
-
-    links, comps = None, None
-    for turn in range(star_turns + 1):
-        left_open, comps = _open(members, links)
-        if turn and left_open.isEmpty():
+    members = cut_lineage(members.select("bucket", "node", "n").join(central, "node"))
+
+    left_open = _mixed(members.select("*", F.col("n").alias("shareable"), F.col("node").alias("comp")))
+    links = _similar(_star_pairs(left_open, 0), texts)
+    for turn in range(1, star_turns + 1):
+        left_open = _open(left_open, links)
+        if turn == 1:
+            left_open = _mixed(_without_hopeless(left_open, texts))
+        if left_open.isEmpty():
             break
-        pairs = _star_pairs(left_open, turn) if turn < star_turns else _all_pairs(left_open)
-        found = _similar(pairs, texts)
-        links = found if links is None else links.union(found)
-    else:
-        comps = components(links)
+        pairs = _star_pairs(left_open, turn) if turn < star_turns else _all_pairs(left_open, texts)
+        links = links.union(_similar(pairs, texts))
+    comps = components(links)
     node_class = sketch.select("doc_id", "_key", "node", F.when(F.col("node").isNull(), F.col("_key")).otherwise(F.col("node")).alias("own"))
     named = node_class.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "own")).select("doc_id", "_key", "comp")
     named = cut_lineage(named)
