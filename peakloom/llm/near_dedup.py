@@ -174,6 +174,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _merged(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """Components after more links: only what the new links join is labelled anew."""
+    if found.isEmpty():
+        return comps
+    ends = found.select("a", "b")
+    for side in ("a", "b"):
+        named = comps.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
+        ends = ends.join(named, side, "left").withColumn(f"{side}_comp", F.coalesce(f"{side}_comp", side))
+    joined = components(ends.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    moved = comps.join(joined.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    single = joined.join(comps, "node", "left_anti")
+    return cut_lineage(moved.union(single))
+
+
 def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -184,9 +198,8 @@ def _mixed(members: DataFrame) -> DataFrame:
     return cut_lineage(members.join(mixed, "bucket", "left_semi"))
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of the buckets that still hold more than one component, with their component."""
-    comps = components(links)
     labelled = members.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     return _mixed(cut_lineage(labelled.select("bucket", "node", "n", "mates", "shareable", "comp")))
 
@@ -293,21 +306,20 @@ def classes(df: DataFrame, star_turns: int = 2) -> DataFrame:
     central = cut_lineage(members.groupBy("node").agg(F.sum("size").alias("mates")))
     involved = members.groupBy("node").agg(F.min("_key").alias("_key"))
     all_texts = df.select(row_key().alias("_key"), whole_text().alias("text"))
-    # equal rows have one key: the text is taken once
-    texts = cut_lineage(all_texts.join(cut_lineage(involved), "_key").groupBy("node").agg(F.first("text").alias("text")))
+    # equal rows have one key: the text is taken once. The plan is the same at every size: the texts are what moves.
+    texts = cut_lineage(all_texts.join(cut_lineage(involved).hint("merge"), "_key").groupBy("node").agg(F.first("text").alias("text")))
     members = cut_lineage(members.select("bucket", "node", "n").join(central, "node"))
 
     left_open = _mixed(members.select("*", F.col("n").alias("shareable"), F.col("node").alias("comp")))
-    links = _similar(_star_pairs(left_open, 0), texts)
+    comps = components(_similar(_star_pairs(left_open, 0), texts))
     for turn in range(1, star_turns + 1):
-        left_open = _open(left_open, links)
+        left_open = _open(left_open, comps)
         if turn == 1:
             left_open = _mixed(_without_hopeless(left_open, texts))
         if left_open.isEmpty():
             break
         pairs = _star_pairs(left_open, turn) if turn < star_turns else _all_pairs(left_open, texts)
-        links = links.union(_similar(pairs, texts))
-    comps = components(links)
+        comps = _merged(comps, _similar(pairs, texts))
     node_class = sketch.select("doc_id", "_key", "node", F.when(F.col("node").isNull(), F.col("_key")).otherwise(F.col("node")).alias("own"))
     named = node_class.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "own")).select("doc_id", "_key", "comp")
     named = cut_lineage(named)
