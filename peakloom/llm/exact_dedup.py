@@ -19,6 +19,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores: no megabytes set aside on disk for each of them
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -101,7 +103,8 @@ def deduplicate(spark: SparkSession, path: str, bytes_per_batch: int = 256 << 20
     rows = _rows(spark.read.parquet(path))
     keepers = groups.select("text_sha256", F.col("place").alias("best"), "group_size")
     lone = F.col("best").isNull()
-    joined = rows.join(keepers, "text_sha256", "left")
+    # the plan is the same at every size: the texts are what moves
+    joined = rows.join(keepers.hint("merge"), "text_sha256", "left")
     # the bytes are needed only where a digest was hit
     table = cut_lineage(joined.select(
         "doc_id", "text_sha256", "place", F.when(lone, F.col("place")).otherwise(F.col("best")).alias("best"),
