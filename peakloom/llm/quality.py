@@ -130,7 +130,7 @@ def fit(
     return OrdinalModel(weights, cut[0] + np.concatenate([[0], np.cumsum(np.exp(cut[1:]))]))
 
 
-def training_rows(df: DataFrame, ratings: DataFrame, max_rows: int = 8000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def training_rows(df: DataFrame, ratings: DataFrame, max_rows: int = 5000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features and grades of at most ``max_rows`` rated documents, chosen by a hash of doc_id. Ratings are one per doc_id:
     (doc_id, grade); the bound keeps the driver's share the same for any corpus."""
     rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
@@ -153,7 +153,7 @@ def training_rows(df: DataFrame, ratings: DataFrame, max_rows: int = 8000) -> tu
     return np.repeat(np.arange(len(sizes)), sizes), values, np.array(table.column("grade").to_pylist(), np.int64)
 
 
-def classify(df: DataFrame, ratings: DataFrame, accept: float = 0.5, max_rows: int = 8000) -> DataFrame:
+def classify(df: DataFrame, ratings: DataFrame, accept: float = 0.5, max_rows: int = 5000) -> DataFrame:
     """All columns of ``df`` plus expected_grade, tail (probability of the top grade) and accepted (tail >= ``accept``).
 
     ``ratings`` has (doc_id, grade), grades 0, 1, ...; the model is fitted on at most ``max_rows`` of them. Null text

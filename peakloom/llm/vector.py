@@ -14,7 +14,7 @@ import pyarrow as pa
 R = np.uint64(0x9E3779B97F4A7C15)
 R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes worked on at a time (a longer text is one piece); temporaries take about 60 times this.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 _spread = np.random.default_rng(1)
 BYTE_VALUE = _spread.integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
