@@ -80,13 +80,13 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(sentencepiece_model(tokens))
         self.letters = {b: FIRST_CHARACTER + b for b in range(256)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def parts(self, text: str) -> list[str]:
         return self.split(text)
 
     def learn(self, parts: set[str]) -> None:
-        """Encode the parts that are not kept yet."""
+        """Encode the parts that are not kept yet: their ids, and the same as decimal numbers."""
         if len(self.known) + len(parts) > KEPT_PARTS:
             self.known.clear()
         new = [p for p in parts if p not in self.known]
@@ -96,16 +96,16 @@ class Codec:
             if rank is None:
                 long.append(p)
             else:
-                self.known[p] = (rank,)
+                self.known[p] = (rank,), str(rank)
         if long:
             mapped = [p.encode().decode("latin-1").translate(self.letters) for p in long]
             for p, ids in zip(long, self.model.encode(mapped, out_type=int, num_threads=1)):
-                self.known[p] = tuple(ids)
+                self.known[p] = tuple(ids), ",".join(map(str, ids))
 
     def encode(self, text: str) -> list[int]:
         parts = self.split(text)
         self.learn(set(parts))
-        return [i for p in parts for i in self.known[p]]
+        return [i for p in parts for i in self.known[p][0]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -128,9 +128,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True)
             for text in batch.column("text"):
                 parts = codec.parts(text.as_py() or "")
                 codec.learn(set(parts))
-                ids = [i for p in parts for i in codec.known[p]]
+                entries = [codec.known[p] for p in parts]
+                ids = [i for part, _ in entries for i in part]
                 counts.append(len(ids))
-                encoded.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                encoded.append(hashlib.sha256(",".join([x for _, x in entries]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if with_ids:
                     lists.append(ids)
