@@ -137,9 +137,9 @@ def usable_entries(library: DataFrame, min_peaks: int = 3) -> DataFrame:
 
 
 def restrict_samples(peaks: DataFrame, samples: str) -> DataFrame:
-    """samples whose name contains any of a comma list."""
+    """samples whose name contains any of a comma list; empty parts of the list match nothing."""
     wanted = F.lit(False)
-    for part in [p.strip() for p in samples.split(",")]:
+    for part in [p.strip() for p in samples.split(",") if p.strip()]:
         wanted = wanted | F.col("sample").contains(part)
     return peaks.filter(wanted)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -125,11 +126,10 @@ NAME_HEADERS = ("name", "compound", "compound name", "compound_name")
 CAS_HEADERS = ("cas", "cas#", "cas number", "cas_number")
 FORMULA_HEADERS = ("formula", "molecular formula", "mol formula")
 WIDE_IONS = [("mz{}", "int{}"), ("m/z{}", "intensity{}"), ("peak{}_mz", "peak{}_int")]
-WIDE_COUNT = 50
 
 
 def read_library_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A table with one spectrum column or up to 50 wide ion pairs; entries need 3 ions. One header per call."""
+    """A table with one spectrum column or wide ion pairs, as many as the header has; entries need 3 ions. One header per call."""
     raw = spark.read.option("header", "true").option("encoding", encoding).option("mode", "DROPMALFORMED").csv(path)
     titles = {c.lower().strip(): c for c in raw.columns}
 
@@ -143,7 +143,7 @@ def read_library_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     listed = F.coalesce(_token_pairs(F.col(f"`{spectra[-1]}`")), empty) if spectra else empty
     listed = F.transform(listed, lambda p: F.struct(p["mz"].cast("int").cast("double").alias("mz"), p["intensity"].alias("intensity")))
     pairs = []
-    for i in range(1, WIDE_COUNT + 1):
+    for i in sorted({int(n) for t in titles for n in re.findall(r"[0-9]+", t)}):
         for mz, intensity in WIDE_IONS:
             if mz.format(i) in titles and intensity.format(i) in titles:
                 pairs.append(

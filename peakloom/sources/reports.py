@@ -23,7 +23,7 @@ def number(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
-def read_report_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-16LE", max_name: int = 20) -> DataFrame:
+def read_report_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-16LE", max_name: int | None = None) -> DataFrame:
     """S3: quantitation reports without header; columns 0-4 and 7 are rt, type, area, amount, conc, name.
 
     A row with fewer than 8 fields, a number that does not parse, or a name that is empty or too long is left out. A byte
@@ -46,7 +46,7 @@ def read_report_csv(spark: SparkSession, paths: str | Sequence[str], encoding: s
         )
         .filter(
             F.col("rt").isNotNull() & F.col("area").isNotNull() & F.col("amount").isNotNull() & F.col("conc").isNotNull()
-            & (F.length("compound") > 0) & (F.length("compound") <= max_name)
+            & (F.length("compound") > 0) & (F.lit(True) if max_name is None else F.length("compound") <= max_name)
         )
     )
 
@@ -74,8 +74,6 @@ QUANT_HEADER = r"(?i)^\s*Compound\s+RT\s+Area\s+Amount"
 QUANT_ROW = r"^(.+?)\s{2,}([\d.]+)\s+([\d.]+)\s+([\d.eE+\-]+)\s*([\d.eE+\-]*)$"
 QUANT_STOP = r"(?i)^(Signal|Peak|Sorted|Calib|Multiplier|Dilution|Sample\s+Name)"
 TAB_HEADER = r"(?i)(RT|RetTime|retention)"
-BLOCK_LINES = 50
-MAX_TEXT_NAME = 30
 
 
 def _peak(rt: Column, kind: Column, area: Column, amount: Column, conc: Column, name: Column) -> Column:
@@ -89,7 +87,7 @@ def _good(p: Column) -> Column:
     name = p["compound"]
     return (
         p["rt"].isNotNull() & p["area"].isNotNull() & p["amount"].isNotNull() & p["conc"].isNotNull()
-        & (F.length(name) > 0) & (F.length(name) <= MAX_TEXT_NAME)
+        & (F.length(name) > 0)
     )
 
 
@@ -124,7 +122,7 @@ def parse_report_texts(texts: DataFrame) -> DataFrame:
         lambda p: _good(p) & ~p["compound"].startswith("-"),
     )
     stop = _first(F.col("lines"), lambda x: (x["i"] > F.col("h2")) & x["line"].rlike(QUANT_STOP))
-    df = df.withColumn("stop2", F.least(F.col("h2") + BLOCK_LINES, F.coalesce(stop, F.size("lines"))))
+    df = df.withColumn("stop2", F.coalesce(stop, F.size("lines")))
 
     def quant_row(x: Column) -> Column:
         part = [F.regexp_extract(x["line"], QUANT_ROW, g) for g in range(6)]
@@ -174,7 +172,7 @@ def parse_report_texts(texts: DataFrame) -> DataFrame:
 
     tab = F.filter(
         F.transform(
-            F.filter("lines", lambda x: (x["i"] > F.col("h3")) & (x["i"] < F.col("h3") + BLOCK_LINES) & (x["line"] != "") & ~x["line"].startswith("---")),
+            F.filter("lines", lambda x: (x["i"] > F.col("h3")) & (x["line"] != "") & ~x["line"].startswith("---")),
             tab_row,
         ),
         _good,
