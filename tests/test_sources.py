@@ -65,7 +65,7 @@ def test_ingest_and_batch_analysis(spark, folder, tmp_path):
     assert tables["overview"].first()["samples"] == 5
     assert {r["compound"] for r in tables["statistics"].collect()} >= {"serine", "glycine"}
     workflows.export(tables["raw_data"], str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/bundle/raw_data")).count() == 10
+    assert spark.read.parquet(str(tmp_path / "out/bundle/raw_data")).count() == 11
     assert spark.read.option("header", "true").csv(str(tmp_path / "out/summary")).count() == 5
 
 
