@@ -372,8 +372,11 @@ def find(df: DataFrame, max_texts: int = 400) -> DataFrame:
     gives no rows; other columns are ignored.
     """
     rows = df.select("doc_id", whole_text().alias("text"))
-    sample = rows.filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").select("text").limit(max_texts)
-    texts = [r.text for r in sample.collect()]
+    hashed = rows.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("h"), "text")
+    # numbers are ordered, not texts; then each chosen text comes once, however many copies it has
+    chosen = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(max_texts).collect()]
+    few = hashed.filter(F.col("h") <= max(chosen)) if chosen else hashed.limit(0)
+    texts = [r.text for r in few.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").collect()]
     shared = df.sparkSession.sparkContext.broadcast(train(*labelled_windows(texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
