@@ -52,10 +52,17 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(t, df)], dtype="float64")
 
 
+#: Largest product of both sizes with an exact tail; it bounds the buffer of a row to 16 MB.
+EXACT_PRODUCT = 4_000_000
+
+
 def _exact_u_tail(n1: int, n2: int, u: float) -> float:
-    """P(U >= u) without ties: counts of partitions of U by the product of Gaussian binomial factors."""
+    """P(U >= u) without ties: counts of partitions of U by the product of Gaussian binomial factors.
+
+    U is symmetric, so the tail is summed at the low end, where counts are small and nothing cancels.
+    """
     small, large = min(n1, n2), max(n1, n2)
-    counts = np.zeros(small * large + 1)
+    counts = np.zeros(small * large - int(math.ceil(u)) + 1)
     counts[0] = 1.0
     for i in range(1, small + 1):
         up, down = large + i, i
@@ -63,16 +70,17 @@ def _exact_u_tail(n1: int, n2: int, u: float) -> float:
             counts[up:] = counts[up:] - counts[: len(counts) - up]
         for start in range(down):
             counts[start::down] = np.cumsum(counts[start::down])
-    return float(counts[int(math.ceil(u)):].sum() / counts.sum())
+    return float(counts.sum() / math.comb(n1 + n2, small))
 
 
 def _exact_counts_ok(n1: int, n2: int) -> bool:
-    return min(n1, n2) <= 8
+    return min(n1, n2) <= 8 and n1 * n2 <= EXACT_PRODUCT
 
 
 @pandas_udf(DoubleType())
 def mann_whitney_p(u1: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
-    """Two-sided Mann-Whitney p: exact when one side has at most 8 values and nothing ties, else normal.
+    """Two-sided Mann-Whitney p: exact when one side has at most 8 values, the product of both sizes is at most
+    ``EXACT_PRODUCT`` and nothing ties, else normal.
 
     ``ties`` is the sum of t^3 - t over tied values. The normal branch has tie and continuity correction.
     """

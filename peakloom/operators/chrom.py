@@ -3,6 +3,8 @@
 A trace is cut into chunks of consecutive points. Searches that may run along the whole trace (how far a peak dominates its
 surroundings, where it falls to half height) look in their own chunk, pick the one chunk that can hold the answer from
 per-chunk extremes, and look there. A trace therefore never has to fit one task.
+
+Points without an intensity are left out; their neighbours become adjacent and keep their point numbers.
 """
 
 from __future__ import annotations
@@ -25,30 +27,38 @@ def _chunked(tic: DataFrame, chunk: int) -> DataFrame:
 
 
 def _chunk_table(points: DataFrame) -> DataFrame:
-    """One row per chunk with its extremes, its edges and the edges of its neighbours."""
+    """One row per chunk with its extremes, its edges, the edges of its neighbours and the number of points before it."""
+    edge = F.struct("idx", "t", "y")
     table = points.groupBy("sample", "chunk").agg(
-        F.max("y").alias("cmax"), F.min("y").alias("cmin"),
-        F.min_by(F.struct("t", "y"), "idx").alias("first"), F.max_by(F.struct("t", "y"), "idx").alias("last"),
+        F.max("y").alias("cmax"), F.min("y").alias("cmin"), F.count(F.lit(1)).alias("n"),
+        F.min_by(edge, "idx").alias("first"), F.max_by(edge, "idx").alias("last"),
     )
     along = W.partitionBy("sample").orderBy("chunk")
-    return table.select("*", F.lag("last").over(along).alias("before"), F.lead("first").over(along).alias("after"))
+    seen = F.sum("n").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    return table.select(
+        "*", F.lag("last").over(along).alias("before"), F.lead("first").over(along).alias("after"), seen.alias("seen")
+    )
 
 
 def _with_neighbours(points: DataFrame, chunks: DataFrame) -> DataFrame:
     along = W.partitionBy("sample", "chunk").orderBy("idx")
     return (
-        points.join(chunks.select("sample", "chunk", "before", "after"), ["sample", "chunk"])
+        points.join(chunks.select("sample", "chunk", "before", "after", "seen"), ["sample", "chunk"])
         .select(
-            "sample", "chunk", "idx", "t", "y",
+            "sample", "chunk", "idx", "t", "y", (F.col("seen") + F.row_number().over(along)).alias("pos"),
             F.coalesce(F.lag("y").over(along), F.col("before.y")).alias("y_prev"),
             F.coalesce(F.lead("y").over(along), F.col("after.y")).alias("y_next"),
             F.coalesce(F.lead("t").over(along), F.col("after.t")).alias("t_next"),
+            F.coalesce(F.lead("idx").over(along), F.col("after.idx")).alias("idx_next"),
         )
     )
 
 
 def local_maxima(tic: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Strict local maxima; a flat top counts once, at its middle, and a flat stretch at either end does not count."""
+    """Strict local maxima; a flat top counts once, and a flat stretch at either end does not count.
+
+    The place of a flat top is its middle point, or its first point where points inside it are missing.
+    """
     points = _chunked(tic, chunk)
     return _maxima(_with_neighbours(points, _chunk_table(points)), chunk)
 
@@ -58,15 +68,16 @@ def _maxima(points: DataFrame, chunk: int) -> DataFrame:
     falls = F.coalesce(F.col("y_next") < F.col("y"), F.lit(False))
     # both ends of a flat run remain here, its inside does not, so the end of a run is the next row
     turns = points.filter(~flat).select(
-        "sample", "chunk", "idx", "y", (F.col("y_prev") < F.col("y")).alias("rises"), falls.alias("falls")
+        "sample", "chunk", "idx", "pos", "y", (F.col("y_prev") < F.col("y")).alias("rises"), falls.alias("falls")
     )
     along = W.partitionBy("sample", "chunk").orderBy("idx")
-    turns = turns.withColumn("next", F.lead(F.struct("idx", "falls")).over(along))
-    later = turns.groupBy("sample", "chunk").agg(F.min_by(F.struct("idx", "falls"), "idx").alias("head"))
+    turns = turns.withColumn("next", F.lead(F.struct("idx", "falls", "pos")).over(along))
+    later = turns.groupBy("sample", "chunk").agg(F.min_by(F.struct("idx", "falls", "pos"), "idx").alias("head"))
     later = later.select("sample", "chunk", F.lead("head").over(W.partitionBy("sample").orderBy("chunk")).alias("head_after"))
     turns = turns.join(later, ["sample", "chunk"]).withColumn("next", F.coalesce("next", "head_after"))
-    end = F.when(F.col("falls"), F.col("idx")).when(F.col("next.falls"), F.col("next.idx"))
-    middle = F.floor((F.col("idx") + end) / 2).cast("long")
+    end = F.when(F.col("falls"), F.struct("idx", "pos")).when(F.col("next.falls"), F.struct("next.idx", "next.pos"))
+    whole = end["idx"] - F.col("idx") == end["pos"] - F.col("pos")
+    middle = F.when(whole, F.floor((F.col("idx") + end["idx"]) / 2).cast("long")).when(end.isNotNull(), F.col("idx"))
     return (
         turns.filter(F.col("rises")).select("sample", middle.alias("peak_idx"), F.col("y").alias("height"))
         .filter(F.col("peak_idx").isNotNull())
@@ -83,18 +94,18 @@ def _walk(y: np.ndarray, start: int, step: int, level: float, above: bool) -> tu
     return (-1 if at < 0 else start + step * at), (float(passed.min()) if len(passed) else np.inf)
 
 
-def _crossing(y: np.ndarray, at: int, step: int, level: float, inner: float) -> float:
+def _crossing(x: float, y: float, inner_x: float, inner_y: float, level: float) -> float:
     """Place between a point not above the level and its neighbour towards the peak where the level is met."""
-    return at - step * ((level - y[at]) / (inner - y[at]) if y[at] < level else 0.0)
+    return x + (inner_x - x) * ((level - y) / (inner_y - y)) if y < level else float(x)
 
 
 def _measure_chunk(tops: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
     """Saddle and half-height places of the peaks of one chunk; a side that leaves the chunk stays open."""
     points = points.sort_values("idx")
-    y, base = points["y"].to_numpy(), int(points["idx"].iloc[0]) if len(points) else 0
+    x, y = points["idx"].to_numpy(), points["y"].to_numpy()
     rows = []
     for top in tops.itertuples(index=False):
-        at, height = int(top.peak_idx) - base, top.height
+        at, height = int(np.searchsorted(x, top.peak_idx)), top.height
         left, low_l = _walk(y, at, -1, height, True)
         right, low_r = _walk(y, at, 1, height, True)
         open_l, open_r = left < 0 and not top.is_first, right < 0 and not top.is_last
@@ -103,7 +114,7 @@ def _measure_chunk(tops: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
             level = height - (height - max(low_l, low_r)) * 0.5
             l, _ = _walk(y, at, -1, level, False)
             r, _ = _walk(y, at, 1, level, False)
-            ips = (base + _crossing(y, l, -1, level, y[l + 1]), base + _crossing(y, r, 1, level, y[r - 1]))
+            ips = (_crossing(x[l], y[l], x[l + 1], y[l + 1], level), _crossing(x[r], y[r], x[r - 1], y[r - 1], level))
         rows.append((top.sample, top.chunk, top.peak_idx, height, low_l, low_r, open_l, open_r, *ips))
     names = ["sample", "chunk", "peak_idx", "height", "low_l", "low_r", "open_l", "open_r", "left_ip", "right_ip"]
     return pd.DataFrame(rows, columns=names).astype({"left_ip": float, "right_ip": float})
@@ -119,16 +130,16 @@ _SCANNED = "sample string, peak_idx long, side int, place double, low double"
 def _scan_chunk(requests: pd.DataFrame, points: pd.DataFrame, above: bool) -> pd.DataFrame:
     """Answer walks that enter a chunk at its edge (``from_edge``) or start at a peak inside it."""
     points = points.sort_values("idx")
-    y, base = points["y"].to_numpy(), int(points["idx"].iloc[0]) if len(points) else 0
+    x, y = points["idx"].to_numpy(), points["y"].to_numpy()
     rows = []
     for r in requests.itertuples(index=False):
         step = int(r.side)
-        start = (len(y) - 1 if step < 0 else 0) if r.from_edge else int(r.peak_idx) - base
+        start = (len(y) - 1 if step < 0 else 0) if r.from_edge else int(np.searchsorted(x, r.peak_idx))
         at, low = _walk(y, start, step, r.level, above)
         place = np.nan
         if at >= 0 and not above:
-            inner = r.edge_y if at == start else y[at - step]
-            place = base + _crossing(y, at, step, r.level, inner)
+            inner = (r.edge_x, r.edge_y) if at == start else (x[at - step], y[at - step])
+            place = _crossing(x[at], y[at], *inner, r.level)
         rows.append((r.sample, r.peak_idx, step, place, low))
     return pd.DataFrame(rows, columns=["sample", "peak_idx", "side", "place", "low"])
 
@@ -163,7 +174,7 @@ def _scan(requests: DataFrame, points: DataFrame, above: bool) -> DataFrame:
 
 def _aim(sides: DataFrame, table: DataFrame, above: bool) -> DataFrame:
     """The one other chunk where a walk that left its chunk can end, the lowest value of the chunks crossed on the way there,
-    and the value met just before entering it. ``table``: per sample the chunk extremes in order."""
+    and the point met just before entering it. ``table``: per sample the chunk extremes in order."""
     left = F.col("side") < 0
 
     def beyond(p: Column) -> Column:
@@ -179,11 +190,15 @@ def _aim(sides: DataFrame, table: DataFrame, above: bool) -> DataFrame:
         "ahead",
         lambda p: F.col("target").isNull() | F.when(left, p["chunk"] > F.col("target")).otherwise(p["chunk"] < F.col("target")),
     )
-    door = F.get(F.filter("table", lambda p: p["chunk"] == F.col("target") - F.col("side")), F.lit(0))
+    # chunks without any intensity are not in the table
+    door = F.when(left, F.get(F.filter("table", lambda p: p["chunk"] > F.col("target")), F.lit(0))).otherwise(
+        F.try_element_at(F.filter("table", lambda p: p["chunk"] < F.col("target")), F.lit(-1))
+    )
     return df.withColumns(
         {
             "low_crossed": F.array_min(F.transform(crossed, lambda p: p["cmin"])),
-            "edge_y": F.when(left, door["y_lo"]).otherwise(door["y_hi"]),
+            "edge_x": F.when(left, door["lo"]["idx"]).otherwise(door["hi"]["idx"]),
+            "edge_y": F.when(left, door["lo"]["y"]).otherwise(door["hi"]["y"]),
         }
     ).drop("table", "ahead")
 
@@ -193,7 +208,7 @@ def _settle(open_: DataFrame, points: DataFrame, chunks: DataFrame) -> DataFrame
     need = small_side(open_.select("sample").distinct())
     table = chunks.join(need, "sample", "left_semi").groupBy("sample").agg(
         F.array_sort(
-            F.collect_list(F.struct("chunk", "cmax", "cmin", F.col("first.y").alias("y_lo"), F.col("last.y").alias("y_hi")))
+            F.collect_list(F.struct("chunk", "cmax", "cmin", F.col("first").alias("lo"), F.col("last").alias("hi")))
         ).alias("table")
     )
     key = ["sample", "peak_idx", "side"]
@@ -205,7 +220,7 @@ def _settle(open_: DataFrame, points: DataFrame, chunks: DataFrame) -> DataFrame
     )
     aimed = cut_lineage(_aim(sides.filter("open"), table, above=True))
     there = aimed.filter(F.col("target").isNotNull()).select(
-        "sample", F.col("target").alias("chunk"), "peak_idx", "level", "side", F.lit(True).alias("from_edge"), "edge_y"
+        "sample", F.col("target").alias("chunk"), "peak_idx", "level", "side", F.lit(True).alias("from_edge"), "edge_x", "edge_y"
     )
     far = _scan(there, points, above=True).select(*key, F.col("low").alias("low_far"))
     saddles = (
@@ -215,10 +230,14 @@ def _settle(open_: DataFrame, points: DataFrame, chunks: DataFrame) -> DataFrame
     )
     levels = cut_lineage(saddles.withColumn("level", F.col("height") - (F.col("height") - F.col("saddle")) * 0.5))
     walks = levels.select("sample", "chunk", "peak_idx", "level", both)
-    start = walks.withColumns({"from_edge": F.lit(False), "edge_y": F.lit(None).cast("double")})
+    start = walks.withColumns(
+        {"from_edge": F.lit(False), "edge_x": F.lit(None).cast("long"), "edge_y": F.lit(None).cast("double")}
+    )
     near = cut_lineage(_scan(start, points, above=False).withColumn("place", F.nanvl("place", F.lit(None).cast("double"))))
     beyond = _aim(walks.join(near.filter(F.col("place").isNull()).select(*key), key), table, above=False)
-    there = beyond.select("sample", F.col("target").alias("chunk"), "peak_idx", "level", "side", F.lit(True).alias("from_edge"), "edge_y")
+    there = beyond.select(
+        "sample", F.col("target").alias("chunk"), "peak_idx", "level", "side", F.lit(True).alias("from_edge"), "edge_x", "edge_y"
+    )
     places = near.filter(F.col("place").isNotNull()).select(*key, "place").unionByName(_scan(there, points, above=False).select(*key, "place"))
     ips = places.groupBy("sample", "peak_idx").agg(
         F.max(F.when(is_left, F.col("place"))).alias("left_ip"), F.max(F.when(~is_left, F.col("place"))).alias("right_ip")
@@ -272,11 +291,12 @@ def _cogroup_all(tops: DataFrame, points: DataFrame) -> DataFrame:
 def integrate_peaks(tic: DataFrame, peaks: DataFrame, min_area: float = 10000, margin: int = 5, chunk: int = CHUNK) -> DataFrame:
     """Area above the lowest value of the window around each peak, by the trapezoid rule, and its share of the sample.
 
-    The area is the plain trapezoid sum less baseline x width, so one pass over the window suffices.
+    The area is the plain trapezoid sum less baseline x width, so one pass over the window suffices. A start or end that
+    falls on a point without intensity takes the time of the point before it in the window.
     """
     points = _chunked(tic, chunk)
     points = _with_neighbours(points, _chunk_table(points)).select(
-        "sample", "idx", "t", "y", (F.col("t_next") - F.col("t")).alias("dt"), "y_next", F.floor(F.col("idx") / CELL).alias("cell")
+        "sample", "idx", "t", "y", (F.col("t_next") - F.col("t")).alias("dt"), "y_next", "idx_next", F.floor(F.col("idx") / CELL).alias("cell")
     )
     last = points.groupBy("sample").agg(F.max("idx").alias("last_idx"))
     windows = peaks.join(last, "sample").select(
@@ -288,8 +308,8 @@ def integrate_peaks(tic: DataFrame, peaks: DataFrame, min_area: float = 10000, m
     spread = windows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / CELL), F.floor(F.col("hi") / CELL))))
     here = F.col("idx")
 
-    def at(position: str, value: str = "t") -> Column:
-        return F.max(F.when(here == F.col(position), F.col(value)))
+    def time_at(position: str) -> Column:
+        return F.max_by("t", F.when(here <= F.col(position), here))
 
     sums = (
         spread.join(points, ["sample", "cell"])
@@ -297,9 +317,10 @@ def integrate_peaks(tic: DataFrame, peaks: DataFrame, min_area: float = 10000, m
         .groupBy("sample", "peak_idx")
         .agg(
             F.min("y").alias("baseline"),
-            F.sum(F.when(here < F.col("hi"), F.col("dt") * (F.col("y") + F.col("y_next")) / 2)).alias("total"),
-            at("lo").alias("t_lo"), at("hi").alias("t_hi"), at("li").alias("rt_start"), at("ri").alias("rt_end"),
-            at("peak_idx").alias("rt"),
+            F.sum(F.when(F.col("idx_next") <= F.col("hi"), F.col("dt") * (F.col("y") + F.col("y_next")) / 2)).alias("total"),
+            F.min_by("t", here).alias("t_lo"), F.max_by("t", here).alias("t_hi"),
+            F.coalesce(time_at("li"), F.min_by("t", here)).alias("rt_start"), time_at("ri").alias("rt_end"),
+            time_at("peak_idx").alias("rt"),
         )
         .withColumn("area", F.coalesce("total", F.lit(0.0)) - F.col("baseline") * (F.col("t_hi") - F.col("t_lo")))
     )

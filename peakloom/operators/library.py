@@ -172,8 +172,8 @@ def class_shares(classified: DataFrame) -> DataFrame:
     return counts.withColumn("pct", F.round(F.col("n") / F.sum("n").over(whole) * 100, 1))
 
 
-# Category names in order of precedence with their leading keywords. A full keyword table is passed in
-# as a parameter (``read_category_rules``).
+# Default rules: category names in order of precedence with a few keywords each. They are a short form; names that only a
+# longer table knows come out differently. The full table is a parameter (``read_category_rules``).
 CATEGORY_RULES = [
     ("ester", ["ester", "lactone", "acetate", "butyrate", "phthalate", "benzoate"]),
     ("solvent/VOC", ["solvent", "methanol", "ethanol", "acetone", "benzene", "toluene", "xylene", "hexane", "decane"]),

@@ -85,7 +85,7 @@ def sample_profile(peaks: DataFrame, sample_name: str) -> DataFrame:
         backup = peaks.filter(F.col("sample").contains(number.group(0))).agg(F.min("sample").alias("s")).scalar()
         wanted = F.coalesce(wanted, backup)
     rows = peaks.filter((F.col("sample") == wanted) & F.col("compound").isNotNull())
-    # the first retention time keeps its own area; the concentration is the sum
+    # a compound listed twice has its earliest time and the sums of area and concentration
     table = rows.groupBy("grp", "sample", "compound").agg(
         F.sum("conc").alias("conc"), F.min("rt").alias("rt"), F.sum("area").alias("area")
     )

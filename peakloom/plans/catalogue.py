@@ -642,6 +642,18 @@ def _detect_peaks(spark, sf_dir):
     return rounded(chrom.detect_peaks(v.tic(spark, sf_dir), min_area=1000, **_PEAK_ARGS))
 
 
+_FIND_GAPS = _FIND.replace("WITH a AS", """WITH tic AS (SELECT sample, row_number() OVER (PARTITION BY sample ORDER BY idx) - 1 AS idx, idx AS x, t, y
+   FROM tic_gaps WHERE y IS NOT NULL), a AS""").replace("li + (width", "l0.x + (l1.x - l0.x) * (width").replace("ri - (width", "r0.x + (r1.x - r0.x) * (width")
+
+
+@query("find_peaks_gaps", _FIND_GAPS + """
+SELECT k.sample, CAST(tic.x AS BIGINT) AS peak_idx, round(height, 6) AS height, round(prominence, 6) AS prominence, round(width_height, 6) AS width_height,
+       round(left_ip, 6) AS left_ip, round(right_ip, 6) AS right_ip, round(right_ip - left_ip, 6) AS width_50pct
+FROM k JOIN tic ON tic.sample = k.sample AND tic.idx = peak_idx""", ("tic_gaps",))
+def _find_peaks_gaps(spark, sf_dir):
+    return rounded(chrom.find_peaks(v.tic_gaps(spark, sf_dir), **_PEAK_ARGS))
+
+
 # ---------------------------------------------------------------- spectrum search
 
 _PAIRS = """WITH sq AS (SELECT spec_id, sum(CAST(intensity AS DOUBLE) * intensity) AS sq, count(*) AS n, max(mz) AS top FROM spectra GROUP BY spec_id),

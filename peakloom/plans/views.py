@@ -30,6 +30,9 @@ SELECT concat('U', CAST(user_id AS STRING)) AS sample,
 FROM events
 """
 
+# The same trace with points that have no intensity.
+TIC_GAPS = TIC.replace("value * CAST(1000.137 AS DOUBLE)", "CASE WHEN event_id % 13 <> 5 THEN value * CAST(1000.137 AS DOUBLE) END")
+
 UNPACK_SPARK = "SELECT vec_id, label, pos AS ion_idx, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(embedding) v AS pos, x"
 UNPACK_CHECK = (
     "SELECT vec_id, label, CAST(generate_subscripts(embedding,1) - 1 AS INT) AS ion_idx, "
@@ -71,7 +74,7 @@ FROM part WHERE p_partkey % 25 = 0
 """
 
 TEXTS = {
-    "peaks": PEAKS, "tic": TIC, "spectra": SPECTRA, "library_rows": LIBRARY, "ri_ref": RI_REF, "rt_library": RT_LIBRARY,
+    "peaks": PEAKS, "tic": TIC, "tic_gaps": TIC_GAPS, "spectra": SPECTRA, "library_rows": LIBRARY, "ri_ref": RI_REF, "rt_library": RT_LIBRARY,
 }
 
 
@@ -99,6 +102,10 @@ def tic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(view(spark, sf_dir, "tic"))
 
 
+def tic_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(view(spark, sf_dir, "tic_gaps"))
+
+
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "spectra")
 

@@ -4,8 +4,9 @@ import pytest
 from peakloom.operators import chrom
 
 
-def direct(y, min_height, share, min_width):
-    """Peaks by the definition, point by point."""
+def direct(y, min_height, share, min_width, x=None):
+    """Peaks by the definition, point by point; ``x``: the point numbers, where some are missing."""
+    x = x or list(range(len(y)))
     out, n, i = [], len(y), 1
     limit = max(share * (max(y) - min(y)), min_height * 0.1)
     while i < n - 1:
@@ -35,7 +36,9 @@ def direct(y, min_height, share, min_width):
                             b += 1
                         right = b - ((level - y[b]) / (y[b - 1] - y[b]) if y[b] < level else 0)
                         if right - left >= min_width:
-                            out.append((p, h, prom, left, right))
+                            left, right = (x[int(s)] + (s % 1) * (x[min(int(s) + 1, n - 1)] - x[int(s)]) for s in (left, right))
+                            top = x[p] if x[j] - x[i] == j - i else x[i]
+                            out.append((top, h, prom, left, right))
             i = j + 1
         else:
             i += 1
@@ -66,6 +69,38 @@ def test_find_peaks(spark, traces, chunk):
         assert r["left_ip"] == pytest.approx(left) and r["right_ip"] == pytest.approx(right)
 
 
+@pytest.mark.parametrize("chunk", [8, 65536])
+def test_points_without_intensity(spark, traces, chunk):
+    rng = np.random.default_rng(8)
+    longer = {**traces, "steps": [float(v) for v in np.repeat(rng.integers(0, 12, 60), rng.integers(1, 5, 60))]}
+    held = {s: [v if rng.random() > 0.15 else None for v in ys] for s, ys in longer.items()}
+    held["steps"][16:33] = [None] * 17  # two chunks of eight without any value
+    rows = [(s, i, i / 100, v) for s, ys in held.items() for i, v in enumerate(ys)]
+    tic = spark.createDataFrame(rows, "sample string, idx int, t double, y double")
+    found = chrom.find_peaks(tic, prominence=0.1, min_width=0, min_height=4, chunk=chunk)
+    got = {(r["sample"], r["peak_idx"]): r for r in found.collect()}
+    want = {}
+    for s, ys in held.items():
+        x = [i for i, v in enumerate(ys) if v is not None]
+        want |= {(s, p): rest for p, *rest in direct([ys[i] for i in x], 4, 0.1, 0, x)}
+    assert set(got) == set(want) and len(want) > 20
+    for key, (h, prom, left, right) in want.items():
+        r = got[key]
+        assert (r["height"], r["prominence"]) == (h, prom)
+        assert r["left_ip"] == pytest.approx(left) and r["right_ip"] == pytest.approx(right)
+    assert chrom.detect_peaks(tic, 0.1, 0, 4, -1e9, chunk).filter("area is not null and rt is not null").count() == len(want)
+
+
+def test_one_missing_point_before_a_peak(spark):
+    y = [max(0.0, 50.0 - 10 * abs(i - 30)) for i in range(60)]
+    rows = [("s", i, i / 10, None if i == 10 else v) for i, v in enumerate(y)]
+    tic = spark.createDataFrame(rows, "sample string, idx int, t double, y double")
+    [r] = chrom.find_peaks(tic, min_width=1, min_height=10).collect()
+    assert (r["peak_idx"], r["left_ip"], r["right_ip"]) == (30, 27.5, 32.5)
+    [r] = chrom.detect_peaks(tic, min_width=1, min_height=10, min_area=1).collect()
+    assert r["area"] == pytest.approx(25.0) and r["rt"] == 3.0
+
+
 def test_area_is_above_the_lowest_point_of_the_window(spark):
     y = [2.0, 2, 2, 2, 2, 2, 2, 12, 22, 12, 2, 2, 2, 2, 2, 2, 2]
     tic = spark.createDataFrame([("s", i, i * 0.5, float(v)) for i, v in enumerate(y)], "sample string, idx int, t double, y double")

@@ -156,3 +156,15 @@ def test_worklist_and_upsert(spark):
     assert [r["name"] for r in enrichment.worklist(lib, known, checked, missing="cas").collect()] == ["Hexanal"]
     new, old = spark.createDataFrame([("a", 1.0)], "name string, ri double"), spark.createDataFrame([("a", 9.0), ("b", 2.0)], "name string, ri double")
     assert {(r["name"], r["ri"]) for r in enrichment.upsert(new, old).collect()} == {("a", 1.0), ("b", 2.0)}
+
+
+def test_far_tail_of_the_rank_test_is_exact():
+    import math
+
+    from peakloom.functions import pvalues
+
+    for n1, n2 in ((8, 1000), (5, 7)):
+        ways = math.comb(n1 + n2, n1)
+        # partitions of 0, 1, 2 and 3: 1 + 1 + 2 + 3 ways
+        assert pvalues._exact_u_tail(n1, n2, n1 * n2 - 3) == pytest.approx(7 / ways, rel=1e-12)
+    assert not pvalues._exact_counts_ok(8, 10**8)
