@@ -285,14 +285,9 @@ def _all_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select(*_pair(F.col("x_node"), F.col("y_node"))).distinct()
 
 
-def classes(df: DataFrame, star_turns: int = 2) -> DataFrame:
-    """One row per input row: doc_id, _key, class_id (smallest doc_id of the class) and class_size (its rows).
-
-    Two texts are linked from a similarity of 0.8 on; a class is what links connect. Texts with the same words are one
-    node. A text of one to four words is one shingle; a text without words (null, empty) is a class of its own rows with
-    the same doc_id. A null doc_id never names a class unless no row of it has another. Missed links: a pair at exactly
-    0.8 shares no band with a probability of 5 in 100,000. Equal rows get equal results; an empty table gives no rows.
-    """
+def _components_of_rows(df: DataFrame, star_turns: int = 2) -> DataFrame:
+    """One row per input row: doc_id, _key and comp, which names the class: the smallest node of what links connect, or the
+    row's own node or key."""
     shape = T.StructType([
         T.StructField("doc_id", df.schema["doc_id"].dataType), T.StructField("_key", T.BinaryType()), T.StructField("node", T.BinaryType()),
         T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
@@ -322,7 +317,18 @@ def classes(df: DataFrame, star_turns: int = 2) -> DataFrame:
         comps = _merged(comps, _similar(pairs, texts))
     node_class = sketch.select("doc_id", "_key", "node", F.when(F.col("node").isNull(), F.col("_key")).otherwise(F.col("node")).alias("own"))
     named = node_class.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "own")).select("doc_id", "_key", "comp")
-    named = cut_lineage(named)
+    return cut_lineage(named)
+
+
+def classes(df: DataFrame, star_turns: int = 2) -> DataFrame:
+    """One row per input row: doc_id, _key, class_id (smallest doc_id of the class) and class_size (its rows).
+
+    Two texts are linked from a similarity of 0.8 on; a class is what links connect. Texts with the same words are one
+    node. A text of one to four words is one shingle; a text without words (null, empty) is a class of its own rows with
+    the same doc_id. A null doc_id never names a class unless no row of it has another. Missed links: a pair at exactly
+    0.8 shares no band with a probability of 5 in 100,000. Equal rows get equal results; an empty table gives no rows.
+    """
+    named = _components_of_rows(df, star_turns)
     names = cut_lineage(named.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1"))
     return named.join(names, "comp", "left").select(
         "doc_id", "_key", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -331,21 +337,19 @@ def classes(df: DataFrame, star_turns: int = 2) -> DataFrame:
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` that stay: of each class the row with the smallest doc_id.
-
-    Rows equal in doc_id and text are one document and leave one row. A class without any doc_id keeps its row with the
+    """The rows of ``df`` that stay: of each class the row with the smallest doc_id, of several such rows the one with the
     smallest key.
+
+    Rows equal in doc_id and text are one document and leave one row. A class is what links connect, whatever ids its rows
+    have: a class without any doc_id keeps its row with the smallest key, and unrelated texts with one doc_id all stay.
     """
-    key, copies, mine = fresh(df, "_key", "_copies", "_mine")
-    found = classes(df)
-    keyed = found.groupBy("_key").agg(
-        F.min("doc_id").alias("doc_id"), F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("copies")
+    key, copies = fresh(df, "_key", "_copies")
+    keyed = _components_of_rows(df).groupBy("_key").agg(
+        F.min("doc_id").alias("doc_id"), F.min("comp").alias("comp"), F.count(F.lit(1)).alias("copies")
     )
-    named = keyed.filter(F.col("class_id").isNotNull() & (F.col("doc_id") == F.col("class_id")))
-    # several texts of one class may carry its smallest doc_id; the smallest key of them stays
-    first = named.groupBy("class_id").agg(F.min("_key").alias("_key"), F.min_by("copies", "_key").alias("copies"))
-    nameless = keyed.filter(F.col("class_id").isNull()).select("_key", "copies")
-    stay = cut_lineage(first.select("_key", "copies").union(nameless).toDF(key, copies))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_key", "copies")
+    first = keyed.groupBy("comp").agg(F.min(order).alias("first"))
+    stay = cut_lineage(first.select(F.col("first._key").alias(key), F.col("first.copies").alias(copies)))
     rows = df.withColumn(key, row_key()).join(stay, key)
     once = rows.filter(F.col(copies) == 1)
     again = rows.filter(F.col(copies) > 1).dropDuplicates([key])
