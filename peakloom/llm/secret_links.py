@@ -74,44 +74,53 @@ def _found(df: DataFrame) -> DataFrame:
 def link_parts(found: DataFrame, reach: int = 200) -> DataFrame:
     """Weak candidates (_key, kind, start, stop) with complementary parts of the same scope at most ``reach`` code points away.
 
-    A scope is a stretch of text without a blank line. The interval join works on cells of ``reach`` code points: per
-    cell and part only the first start and the last end are kept, which is enough to know whether one is near, so no
-    pairs are formed however many parts a text has.
+    A scope is a stretch of text without a blank line. A part that shares characters with the candidate is no evidence for
+    it: only parts that end before it or start after it count. Every span opens and closes once; in the order of these
+    places the nearest part before a candidate is the last one closed when it opens, and the nearest after it the first
+    one opened when it has closed. No pairs are formed however many parts a text has.
     """
     by_place = W.partitionBy("_key").orderBy("start")
-    before, after = by_place.rangeBetween(W.unboundedPreceding, W.currentRow), by_place.rangeBetween(W.currentRow, W.unboundedFollowing)
+    up_to_here = by_place.rangeBetween(W.unboundedPreceding, W.currentRow)
+    from_here = W.partitionBy("_key").orderBy(F.col("start").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
     strong = F.col("kind") < len(BASE)
     placed = found.select(
         "*",
-        F.sum(F.when(F.col("kind") == len(KINDS), 1).otherwise(0)).over(before).alias("scope"),
-        F.max(F.when(strong, F.col("stop"))).over(before).alias("strong_stop"),
-        F.min(F.when(strong, F.col("start"))).over(after).alias("strong_start"),
+        F.sum(F.when(F.col("kind") == len(KINDS), 1).otherwise(0)).over(up_to_here).alias("scope"),
+        F.max(F.when(strong, F.col("stop"))).over(up_to_here).alias("strong_stop"),
+        F.min(F.when(strong, F.col("start"))).over(from_here).alias("strong_start"),
     ).filter(F.col("kind") < len(KINDS))
     # a weak candidate that touches a strong match adds nothing
     clear = F.coalesce(F.col("strong_stop") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("strong_start") >= F.col("stop"), F.lit(True))
     parts = placed.filter(strong | clear).withColumn("part", F.element_at(
         F.create_map(*[x for n, k in enumerate(KINDS) for x in (F.lit(n), F.lit(PART[k]))]), F.col("kind")
     ))
-    near_cells = F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor((F.col("stop") - 1) / reach)))
-    cells = parts.select("_key", "scope", "part", "start", "stop", near_cells.alias("cell")).groupBy("_key", "scope", "cell", "part").agg(
-        F.min("start").alias("first"), F.max("stop").alias("last")
+    ends = F.explode(F.array(
+        F.struct(F.col("start").alias("at"), F.lit(1).alias("opens")), F.struct(F.col("stop").alias("at"), F.lit(0).alias("opens"))
+    ))
+    events = parts.select("_key", "scope", "kind", "part", "start", "stop", ends.alias("e")).select(
+        "_key", "scope", "kind", "part", "start", "stop", "e.at", "e.opens"
     )
-    weak = parts.filter(~strong).select("_key", "scope", "kind", "start", "stop", "part", F.explode(F.sequence(
-        F.floor((F.col("start") - reach) / reach), F.floor((F.col("stop") + reach) / reach)
-    )).alias("cell"))
-    met = weak.join(cells.withColumnRenamed("part", "other"), ["_key", "scope", "cell"]).filter(
-        (F.col("other") != F.col("part"))
-        & (F.col("first") - F.col("stop") <= reach) & (F.col("start") - F.col("last") <= reach)
+    # at one place spans close before others open
+    scope = W.partitionBy("_key", "scope")
+    forward = scope.orderBy("at", "opens").rowsBetween(W.unboundedPreceding, W.currentRow)
+    backward = scope.orderBy(F.col("at").desc(), F.col("opens").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    names = sorted(set(PART.values()))
+    closed = [F.max(F.when((F.col("opens") == 0) & (F.col("part") == p), F.col("at"))).over(forward).alias(f"before_{p}") for p in names]
+    opened = [F.min(F.when((F.col("opens") == 1) & (F.col("part") == p), F.col("at"))).over(backward).alias(f"after_{p}") for p in names]
+    near = events.select("*", *closed, *opened).filter(~strong).select(
+        "_key", "kind", "start", "stop", *[
+            F.when(F.col("opens") == 1, F.col("start") - F.col(f"before_{p}") <= reach).otherwise(F.col(f"after_{p}") - F.col("stop") <= reach).alias(p)
+            for p in names
+        ]
     )
-    seen = met.groupBy("_key", "kind", "start", "stop").agg(F.collect_set("other").alias("others"))
+    seen = near.groupBy("_key", "kind", "start", "stop").agg(*[F.max(F.coalesce(F.col(p), F.lit(False))).alias(p) for p in names])
     rule = F.lit(False)
     for n, k in enumerate(KINDS):
         if k in NEEDS:
             how, needed = NEEDS[k]
-            tests = [F.array_contains("others", x) for x in needed]
-            joined = tests[0]
-            for t in tests[1:]:
-                joined = joined | t if how == "any" else joined & t
+            joined = F.col(needed[0])
+            for x in needed[1:]:
+                joined = joined | F.col(x) if how == "any" else joined & F.col(x)
             rule = F.when(F.col("kind") == n, joined).otherwise(rule)
     return seen.filter(rule).select("_key", "kind", "start", "stop")
 
