@@ -144,7 +144,7 @@ def ranks_of(tokenizer: dict) -> list[bytes]:
 
 
 def tokenised(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of every row: doc_id, _key, piece, start, length, ids_crc32. A row's ids end with ``end_id``.
+    """Pieces of every row: doc_id, _key, piece, start, length, ids_crc32, ids. A row's ids end with ``end_id``.
 
     The vocabulary comes from the tokenizer file, the merging from tiktoken: the ids are those of the file's own library
     (tests compare them), which takes five times as long.
@@ -159,7 +159,7 @@ def tokenised(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0,
         fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
         long_run, careful = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}"), None
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(7)]
             keys, ids = batch.column("_key").to_pylist(), batch.column("doc_id").to_pylist()
             for row, text in enumerate(batch.column("text")):
                 text = text.as_py()
@@ -173,17 +173,20 @@ def tokenised(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0,
                 first = n if n <= capacity else n % capacity or capacity
                 start = 0
                 for number, stop in enumerate(range(first, n + 1, capacity)):
-                    for c, v in zip(columns, (ids[row], keys[row], number, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop]))):
+                    for c, v in zip(columns, (
+                        ids[row], keys[row], number, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop]), np.frombuffer(raw, "<i4")[start:stop]
+                    )):
                         c.append(v)
                     start = stop
-            types = [batch.schema.field("doc_id").type, pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            types = [batch.schema.field("doc_id").type, pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "_key", "piece", "start", "length", "ids_crc32"]
+                [pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "_key", "piece", "start", "length", "ids_crc32", "ids"]
             )
 
     shape = T.StructType([
         df.schema["doc_id"], T.StructField("_key", T.BinaryType()), T.StructField("piece", T.IntegerType()),
         *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")],
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
     ])
     return df.select("doc_id", row_key().alias("_key"), whole_text().alias("text")).mapInArrow(run, shape)
 
@@ -203,7 +206,7 @@ def numbered(pieces: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def pack(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, ids (its token ids), sequence_id, offset.
 
     Only documents longer than ``capacity`` are cut; all pieces but the first have full length. Null text counts as empty
     and has the end id alone. Equal rows are packed as often as they occur; an empty table gives no rows; other columns
@@ -218,7 +221,7 @@ def pack(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, capa
     width = np.int64(max(int(counts.max()), 1))
     starts = slots[:, 0] * width + slots[:, 1]
     shared = df.sparkSession.sparkContext.broadcast((slots, starts))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, first = shared.value
@@ -227,7 +230,7 @@ def pack(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, capa
             slot = table[np.searchsorted(first, length * width + rank, "right") - 1]
             inside = rank - slot[:, 1]
             sequence, offset = slot[:, 4] + inside % slot[:, 2], slot[:, 3] + inside // slot[:, 2] * length
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names[:5]] + [pa.array(sequence), pa.array(offset)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names[:6]] + [pa.array(sequence), pa.array(offset)], names)
 
-    shape = T.StructType([pieces.schema[n] for n in names[:5]] + [T.StructField(n, T.LongType()) for n in names[5:]])
-    return numbered(pieces, counts).select(*names[:5], "rank").mapInArrow(place, shape)
+    shape = T.StructType([pieces.schema[n] for n in names[:6]] + [T.StructField(n, T.LongType()) for n in names[6:]])
+    return numbered(pieces, counts).select(*names[:6], "rank").mapInArrow(place, shape)

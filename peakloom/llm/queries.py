@@ -54,7 +54,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), token_pattern())
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), token_pattern()).drop("ids")
 
 
 def _joined(spans: Column) -> Column:
@@ -78,11 +78,13 @@ def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.judge(documents(spark, sf_dir))
+    judged = line_rules.judge(documents(spark, sf_dir))
+    return judged.withColumn("kept_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(documents(spark, sf_dir))
+    left = repeats.remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

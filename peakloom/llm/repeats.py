@@ -322,16 +322,17 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.append(True, start[1:] > reach[:-1])
             first, last = start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
             kept = b"".join(data[a:b] for a, b in zip(np.append(0, last), np.append(first, len(data))))
-            for c, v in zip(out, (key, len(data) - len(kept), len(first), hashlib.sha256(kept).hexdigest())):
+            for c, v in zip(out, (key, len(data) - len(kept), len(first), kept)):
                 c.append(v)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))],
-            ["key", "n_removed", "n_spans", "kept_sha256"],
+            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+            ["key", "n_removed", "n_spans", "kept"],
         )
 
 
 def remove_repeats(df: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of what is left).
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that are left; a cut
+    may fall inside a character).
 
     A byte goes if a 200-byte string that starts at two places or more covers it; strings do not cross rows and are judged
     on the input. Null text counts as empty. Rows that are equal repeat each other. A null doc_id is a value like any
@@ -340,11 +341,11 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     groups, texts = repeat_groups(df)
     spans = groups.groupBy("key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop"))).alias("spans"))
     removed = texts.join(spans, "key").select("key", "text", "spans").mapInArrow(
-        _remove, "key long, n_removed long, n_spans long, kept_sha256 string"
+        _remove, "key long, n_removed long, n_spans long, kept binary"
     )
-    plain = _keyed(df).select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    plain = _keyed(df).select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("whole"))
     zero = F.lit(0).cast("long")
     return plain.join(removed, "key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
-        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
+        F.coalesce("kept", "whole").alias("kept"),
     )
