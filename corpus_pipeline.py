@@ -51,7 +51,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No stage but line removal can be written in SQL; the stages are tested against plain Python instead.
+#: No stage but line removal can be written in SQL; the operators have their own tests, the pipeline as a whole has none.
 ORACLE_SQL = None
 
 
