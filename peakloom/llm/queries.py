@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from peakloom.llm import bpe, exact_dedup, line_rules, line_spread, near_dedup, packing, pii, quality, repeats, secret_links
-from peakloom.llm.common import documents
+from peakloom.llm import (
+    bpe, exact_dedup, filter_audit, line_rules, line_spread, near_dedup, packing, periodic_runs, pii, quality, repeats, secret_links, warc,
+)
+from peakloom.llm.common import NOT_SPACE, documents, let, whole_text, words_of
 
 
 def vocabulary(name: str) -> str:
@@ -94,6 +96,52 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_runs(df: DataFrame) -> DataFrame:
+    """Texts of a tenth of the documents, chosen by the checksum of doc_id, turned into one block of words over and over.
+
+    With h the checksum, g = h // 10 and n words: from word a = g % n on, word i becomes word a + (i - a) % p, where
+    p = 1 + (n - a) // (3 + g % 8). A row without doc_id keeps its text.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = F.floor((n - a) / (F.pmod(g, F.lit(8)) + 3)) + 1
+        place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " "))
+
+    text = F.when((F.pmod(h, F.lit(10)) == 0) & F.col("text").rlike(NOT_SPACE), let(words_of(whole_text()), planted)).otherwise(F.col("text"))
+    return df.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(documents(spark, sf_dir)))
+    greatest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")
+    )))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), greatest.alias("best"), F.array_join(lines, "").alias("lines"))
+    return best.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.floor(-F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_packages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_packages(archives, with_payload=False).select(
+        F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
@@ -105,6 +153,9 @@ QUERIES = {
     "op8_line_rules": op8_line_rules,
     "op9_repeats": op9_repeats,
     "op10_line_spread": op10_line_spread,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_warc": op13_warc,
 }
 
 WS = r"[\x20\x09-\x0D]"
@@ -137,4 +188,102 @@ CHECKS = {
             sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
         from m group by doc_id
     """,
+    "op11_periodic_runs": rf"""
+        with d as (
+            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '') as w,
+                -- the checksum, bit by bit
+                xor(4294967295, list_reduce(
+                    [4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+                    lambda crc, byte: list_reduce([xor(crc, byte)] || repeat([0::bigint], 8), lambda c, b: xor(c >> 1, 3988292384 * (c & 1)))
+                )) as h
+            from documents
+        ), m as (
+            select doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as planted, h // 10 as g, case when len(w) > 0 then (h // 10) % len(w) end as a from d
+        ), t as (
+            select doc_id, n, case when planted
+                then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end])
+                else w end as w
+            from m
+        ), x as (
+            select doc_id, n, unnest(range(n)) as pos, unnest(w) as word from t
+        ), f as (
+            -- a run goes on for five words at least after its first period
+            select *, word || ' ' || lead(word, 1) over o || ' ' || lead(word, 2) over o || ' ' || lead(word, 3) over o || ' ' || lead(word, 4) over o as gram
+            from x window o as (partition by doc_id order by pos)
+        ), p as (
+            select b.doc_id, b.pos, b.pos - a.pos as lag from f a join f b on a.doc_id is not distinct from b.doc_id and a.gram = b.gram and a.pos < b.pos
+            where 4 * (b.pos - a.pos) <= b.n
+        ), i as (
+            select *, pos - row_number() over (partition by doc_id, lag order by pos) as island from p
+        ), s as (
+            select doc_id, min(pos) - lag as start, count(*) + 4 + lag as length, lag from i group by doc_id, lag, island
+        ), r as (
+            select doc_id, start, length, min(lag) as period from s where length >= greatest(6, 4 * lag) group by doc_id, start, length
+        ), c as (
+            select x.doc_id, coalesce(string_agg(word, ' ' order by pos), '') as kept from x
+            where not exists (select 1 from r where r.doc_id is not distinct from x.doc_id and pos >= start + period and pos < start + length)
+            group by x.doc_id
+        ), q as (
+            select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as text,
+                arg_min({{'start': start, 'length': length, 'period': period}}, [-length, start, period]) as best
+            from r group by doc_id
+        )
+        select d.doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length as length, best.period as period,
+            1000 * best.length // best.period as exponent_milli,
+            sha256(coalesce(q.text, '')) as runs_sha256, sha256(coalesce(c.kept, '')) as collapsed_sha256
+        from d left join q on d.doc_id is not distinct from q.doc_id left join c on d.doc_id is not distinct from c.doc_id
+    """,
+    "op12_filter_audit": rf"""
+        with d as (
+            select coalesce(source, '') as part, doc_id, coalesce(text, '') as t,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '') as words
+            from documents
+        ), l as (
+            select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id
+        ), f as (
+            select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+                [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+                 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'),
+                 coalesce(doc_id > min(doc_id) over (partition by t), false)] as fails
+            from d left join l using (doc_id)
+        ), s as (
+            select part, fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from f group by part, fails
+        ), letters as (
+            select unnest(range(1, 6)) as x
+        ), orders as (
+            select [a.x, b.x, c.x, d.x, e.x] as o from letters a, letters b, letters c, letters d, letters e
+            where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps as (
+            select o, x as step, o[x] as own, list_slice(o, 1, x - 1) as earlier from orders, letters
+        ), e as (
+            select part, o, step, own, n, good, toxic, fails[own] as here,
+                len(list_filter(earlier, lambda i: fails[i])) > 0 as before, len(list_filter(fails, lambda x: x)) as all_fails
+            from s, steps
+        ), r as (
+            select part, o, step, any_value(own) as own,
+                sum(case when not before and not here then n else 0 end) as kept,
+                sum(case when here and not before then n else 0 end) as removed,
+                sum(case when here and before then n else 0 end) as redundant,
+                sum(case when here and all_fails = 1 then n else 0 end) as unique_fails,
+                sum(case when here and not before then good else 0 end) as good_lost,
+                sum(case when here and not before then toxic else 0 end) as toxic_lost
+            from e group by part, o, step
+        )
+        select part, array_to_string(list_transform(o, lambda i: chr(64 + i::int)), '') as filter_order, step::int as step,
+            kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+            good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+            (sum(removed) over (partition by part, own))::bigint as shapley
+        from r
+    """,
+    "op13_warc": """
+        with p as (select page_id, coalesce(html, '') as t from pages),
+        g as (
+            select page_id, octet_length(encode(t)) as size, sha1(t) as digest, max(page_id) over (partition by t) as top from p
+        ), r as (
+            select *, size >= 1000 and top is not null and (page_id is null or page_id < top) as again from g
+        )
+        select page_id, size::bigint as payload_bytes, digest as payload_digest,
+            case when again then 'revisit' else 'response' end as record_type, case when again then top end as refers_to
+        from r
+    """,
 }
