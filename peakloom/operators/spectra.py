@@ -1,22 +1,26 @@
 """Spectrum search: J4, J5, M1-M7, M9-M11, M16, W10.
 
-All queries are scored at once. The nearest query ion to a reference m/z depends on the m/z alone, so it is found once per
-query and distinct library m/z; after that a reference ion meets its query ion by equality, and a (query, entry) pair costs
-one joined row per shared ion. The same holds the other way round. Query rows are partitioned by query before the library is
-broadcast, so the sums of a pair are complete inside one task and no pair row is ever shuffled.
+Queries and library are dealt into blocks of bounded numbers of ions, and each pair of blocks is one task: what is stored
+and shuffled is linear in the ions. Inside a task an index over the ions that a hit needs finds the pairs that can reach the
+wanted score, for any m/z, and only these are scored; see ``ionmatch``. The factors themselves are expressions over the sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from peakloom.scale import is_small, near_join, small_side
+from peakloom.operators import ionmatch
+from peakloom.scale import small_side
 from peakloom.session import cut_lineage
 
-ION_ROWS = 4_000_000
-SALTS = 16
+#: Ions of one block: a few thousand spectra.
+BLOCK_IONS = 200_000
+#: Most partitions that a search is dealt into; more pairs of blocks share them.
+MOST_PARTS = 100_000
 
 
 def collect_spectra(ions: DataFrame, key: str) -> DataFrame:
@@ -45,53 +49,6 @@ def with_spectrum_columns(spectra: DataFrame) -> DataFrame:
     )
 
 
-def _ions(spectra: DataFrame, key: str, prefix: str, *extra: str) -> DataFrame:
-    return spectra.select(key, *extra, F.posexplode("peaks").alias(f"{prefix}_idx", "ion")).select(
-        key, *extra, f"{prefix}_idx", F.col("ion.mz").alias(f"{prefix}_mz"),
-        F.col("ion.intensity").cast("long").alias(f"{prefix}_int"),
-    )
-
-
-def _postings(library: DataFrame, query_mz: DataFrame | None, tolerance: float) -> DataFrame:
-    """Library ions keyed by m/z: w_own and n_own for the entry's own ions at that m/z, w_near for the nearest ion to a query
-    ion of that m/z. Where both m/z agree, which is the rule for unit masses, one row carries both."""
-    ions = _ions(library, "lib_id", "l", "base_peak_mz")
-    own = ions.select(
-        "lib_id", "base_peak_mz", F.col("l_mz").alias("key_mz"), F.col("l_int").alias("w_own"), F.lit(1).alias("n_own"),
-        F.lit(None).cast("long").alias("w_near"),
-    )
-    if query_mz is not None:
-        near = (
-            near_join(query_mz, ions, "q_mz", "l_mz", tolerance)
-            .groupBy("lib_id", "base_peak_mz", F.col("q_mz").alias("key_mz"))
-            .agg(F.min_by("l_int", F.struct(F.abs(F.col("q_mz") - F.col("l_mz")), "l_idx")).alias("w_near"))
-        )
-        own = own.unionByName(near.withColumns({"w_own": F.lit(0).cast("long"), "n_own": F.lit(0)}))
-    return own.groupBy("lib_id", "base_peak_mz", "key_mz").agg(
-        F.sum("w_own").alias("w_own"), F.sum("n_own").alias("n_own"), F.max("w_near").alias("w_near")
-    )
-
-
-def _query_rows(query_ions: DataFrame, library_mz: DataFrame, tolerance: float, both: bool, carried: Sequence[str]) -> DataFrame:
-    """The same for queries: v_near for the query ion nearest to a library m/z, v_own and n_mine for its own ions."""
-    near = (
-        near_join(query_ions, small_side(library_mz), "q_mz", "l_mz", tolerance)
-        .groupBy("query_id", *carried, F.col("l_mz").alias("key_mz"))
-        .agg(F.min_by("q_int", F.struct(F.abs(F.col("q_mz") - F.col("l_mz")), "q_idx")).alias("v_near"))
-    )
-    if not both:
-        return near.withColumns({"v_own": F.lit(0).cast("long"), "n_mine": F.lit(0).cast("long")})
-    mine = query_ions.select(
-        "query_id", *carried, F.col("q_mz").alias("key_mz"), F.lit(None).cast("long").alias("v_near"),
-        F.col("q_int").alias("v_own"), F.lit(1).alias("n_mine"),
-    )
-    return (
-        near.withColumns({"v_own": F.lit(0).cast("long"), "n_mine": F.lit(0)}).unionByName(mine)
-        .groupBy("query_id", *carried, "key_mz")
-        .agg(F.max("v_near").alias("v_near"), F.sum("v_own").alias("v_own"), F.sum("n_mine").alias("n_mine"))
-    )
-
-
 _QUERY_COLUMNS = ["n_query", "query_sq", "query_max_mz", "ri_expected"]
 
 
@@ -101,61 +58,42 @@ def ion_sums(
     tolerance: float = 0.5,
     both: bool = True,
     base_peak_filter: bool = False,
-    broadcast_rows: int = ION_ROWS,
+    mode: str = "cosine",
+    limit: float = 1,
+    block_ions: int = BLOCK_IONS,
 ) -> DataFrame:
-    """J5 for every (query, entry) pair sharing an ion; with ``base_peak_filter`` only the J4 candidates.
+    """J5 for every (query, entry) pair whose score of ``mode`` (see ``ionmatch.best_score``) can reach ``limit``; with
+    ``base_peak_filter`` only the J4 candidates.
 
-    Returns query_id, lib_id, dot (reference x nearest query ion), matched, with ``both`` dot_back (query x nearest
-    reference ion) and matched_back, and the query columns n_query, query_sq, query_max_mz, ri_expected. Pairs that share no
-    ion score 0 in every measure and have no row.
+    Returns query_id, lib_id, dot (reference x nearest query ion), matched, dot_back (query x nearest reference ion) and
+    matched_back, both 0 unless asked for with ``both``, and the query columns n_query, query_sq, query_max_mz, ri_expected.
+    Pairs that share no ion score 0 in every measure and have no row.
     """
-    library = library.select("lib_id", "base_peak_mz", "peaks")
-    # The number of partitions is stated because the work per query is far larger than its size, by which adaptive
-    # execution would merge partitions.
     spark = queries.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    queries = queries.select("query_id", "peaks", "top_mz", *_QUERY_COLUMNS).repartition(parts, "query_id")
-    carried = list(_QUERY_COLUMNS)
+    library = library.select("lib_id", "base_peak_mz", "peaks")
+    queries = queries.select("query_id", "peaks", "top_mz", *_QUERY_COLUMNS)
     if base_peak_filter:
         near_tops = F.array_distinct(F.flatten(F.transform("top_mz", lambda m: F.array(m - 1, m, m + 1))))
         bases = library.agg(F.collect_set("base_peak_mz").alias("b")).scalar()
+        # no entry has a base peak near the strong ions: every entry is a candidate
         queries = queries.withColumn("cand", F.array_intersect(near_tops, bases))
-        carried.append("cand")
-    query_ions = _ions(queries, "query_id", "q", *carried)
-    query_mz = query_ions.select("q_mz").distinct() if both else None
-    # library-sized; written once, then counted and broadcast from there
-    postings = cut_lineage(_postings(library, query_mz, tolerance))
-    library_mz = _ions(library, "lib_id", "l").select("l_mz").distinct()
-    rows = _query_rows(query_ions, library_mz, tolerance, both, carried)
-
-    # while the library is broadcast, the rows of a query stay in their partition and its sums need no exchange of pairs
-    small = is_small(postings, broadcast_rows)
-    key = ["key_mz"]
-    if not small:
-        # a library too large to broadcast: entries are spread over salts, so a frequent m/z is shared by many tasks
-        rows = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        postings = postings.withColumn("salt", F.pmod(F.xxhash64("lib_id"), F.lit(SALTS)).cast("int"))
-        key.append("salt")
-
-    def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        right = F.broadcast(right) if small else right
-        sums = [
-            F.sum(F.coalesce(F.col("v_near"), F.lit(0)) * F.col("w_own")).alias("dot"),
-            F.sum(F.when(F.col("v_near").isNotNull(), F.col("n_own")).otherwise(0)).alias("matched"),
-        ]
-        if both:
-            sums += [
-                F.sum(F.col("v_own") * F.coalesce(F.col("w_near"), F.lit(0))).alias("dot_back"),
-                F.sum(F.when(F.col("w_near").isNotNull(), F.col("n_mine")).otherwise(0)).alias("matched_back"),
-            ]
-        return left.join(right, on).groupBy("query_id", "lib_id").agg(*sums, *[F.max(c).alias(c) for c in _QUERY_COLUMNS])
-
-    if not base_peak_filter:
-        return pairs(rows, postings, key)
-    chosen = rows.filter(F.size("cand") > 0).withColumn("base_peak_mz", F.explode("cand")).drop("cand")
-    # no entry has a base peak near the strong ions: every entry is a candidate
-    open_ = rows.filter(F.size("cand") == 0).drop("cand")
-    return pairs(chosen, postings, [*key, "base_peak_mz"]).unionByName(pairs(open_, postings.drop("base_peak_mz"), key))
+    queries = queries.drop("top_mz")
+    ions = lambda df: df.agg(F.sum(F.size("peaks"))).first()[0] or 0
+    blocks = max(1, -(-ions(library) // block_ions))
+    parallel = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    chunks = max(-(-ions(queries) // block_ions), -(-4 * parallel // blocks))
+    # the number of partitions is stated because a task's work is far larger than its size, by which adaptive execution
+    # would merge partitions
+    parts = min(blocks * chunks, MOST_PARTS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = library.withColumn("block", dealt("lib_id", blocks)).withColumn("chunk", every(chunks)).repartition(parts, "chunk", "block")
+    right = queries.withColumn("chunk", dealt("query_id", chunks)).withColumn("block", every(blocks)).repartition(parts, "chunk", "block")
+    sums = [T.StructField(c, T.LongType()) for c in ("dot", "matched", "dot_back", "matched_back")]
+    shape = T.StructType([queries.schema["query_id"], library.schema["lib_id"], *sums, *[queries.schema[c] for c in _QUERY_COLUMNS]])
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in shape])
+    match = ionmatch.matcher(schema, _QUERY_COLUMNS, mode, float(limit), float(tolerance), both, base_peak_filter)
+    return left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(match, shape)
 
 
 def scaled(score: Column) -> Column:
@@ -225,21 +163,23 @@ def prepare_library(library: DataFrame, min_peaks: int = 1) -> DataFrame:
     return with_spectrum_columns(out.withColumn("load_seq", F.coalesce("load_seq", "lib_id")))
 
 
-def _scored(queries: DataFrame, library: DataFrame, tolerance: float, both: bool, base_peak_filter: bool, broadcast_rows: int) -> DataFrame:
+def _scored(
+    queries: DataFrame, library: DataFrame, tolerance: float, both: bool, base_peak_filter: bool, mode: str, limit: float, block_ions: int
+) -> DataFrame:
     """Pairs with the spectrum totals and library attributes needed by the scores."""
     queries = with_spectrum_columns(queries).filter(F.col("sum_sq") > 0)
     if "ri_expected" not in queries.columns:
         queries = queries.withColumn("ri_expected", F.lit(None).cast("double"))
-    queries = queries.select(
+    # both are read twice, to be counted and to be dealt
+    queries = cut_lineage(queries.select(
         "query_id", "peaks", "top_mz", F.col("n_peaks").alias("n_query"), F.col("sum_sq").alias("query_sq"),
         F.col("max_mz").alias("query_max_mz"), "ri_expected",
-    )
-    # read for its ions, m/z list, base peaks and attributes
+    ))
     library = cut_lineage(library.filter(F.col("sum_sq") > 0))
     meta = library.select(
         "lib_id", *_LIBRARY_COLUMNS, F.col("n_peaks").alias("n_lib"), F.col("sum_sq").alias("lib_sq"), F.col("max_mz").alias("lib_max_mz"),
     )
-    sums = ion_sums(queries, library, tolerance, both, base_peak_filter, broadcast_rows)
+    sums = ion_sums(queries, library, tolerance, both, base_peak_filter, mode, limit, block_ions)
     return sums.join(small_side(meta, 300_000), "lib_id")
 
 
@@ -254,7 +194,7 @@ def search(
     category_boost: bool = False,
     profile: str = "nist",
     k: int | None = None,
-    broadcast_rows: int = ION_ROWS,
+    block_ions: int = BLOCK_IONS,
 ) -> DataFrame:
     """M10 (``profile='nist'``) and M11 (``'fast'``): ranked hits of every query against the whole library.
 
@@ -266,7 +206,9 @@ def search(
     if mode not in ("cosine", "forward", "reverse"):
         mode = "hybrid"
     lib = prepare_library(library, 2 if profile == "fast" else 1)
-    pairs = _scored(queries, lib, tolerance, mode in ("forward", "hybrid"), False, broadcast_rows)
+    # the boosts of the fast profile come before the threshold
+    limit = min_match / max(FAST_FACTORS.values()) if profile == "fast" and category_boost else min_match
+    pairs = _scored(queries, lib, tolerance, mode in ("forward", "hybrid"), False, mode, limit, block_ions)
     fwd = scaled(forward(F.col("dot"), F.col("lib_sq"), F.col("query_sq"), F.col("matched_back"), F.col("n_query")))
     rev = scaled(reverse(F.col("dot"), F.col("lib_sq"), F.col("matched"), F.col("n_lib")))
     if mode == "cosine":
@@ -355,13 +297,14 @@ def search_manager(
     sources: Sequence[str] | None = None,
     require_both: bool = True,
     tolerance: float = 0.5,
-    broadcast_rows: int = ION_ROWS,
+    block_ions: int = BLOCK_IONS,
 ) -> DataFrame:
     """Base-peak candidates scored both ways; a weak direction caps the combined factor at 500."""
     if min_match < 1:
         raise ValueError("min_match must be at least 1")
     # candidates come from the whole library; the source restriction applies afterwards
-    pairs = _scored(queries, prepare_library(library, 3), tolerance, True, True, broadcast_rows)
+    mode = "mean" if require_both else "either"
+    pairs = _scored(queries, prepare_library(library, 3), tolerance, True, True, mode, min_match, block_ions)
     if sources:
         pairs = pairs.filter(F.col("source").isin(list(sources)))
     pairs = pairs.withColumns(

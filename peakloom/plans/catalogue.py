@@ -5,6 +5,7 @@ A check is written against the definition of the result, not against the way it
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -723,6 +724,36 @@ def _search_fast(spark, sf_dir):
     return _search(spark, sf_dir, profile="fast", category_boost=True)
 
 
+# Measured m/z: each ion takes the nearest one of the other spectrum, the first of equally near ones.
+_NEAREST = """
+e AS (SELECT q.spec_id AS query_id, l.spec_id AS lib_id, q.ion_idx AS qi, l.ion_idx AS li, q.intensity AS qx, l.intensity AS lx, abs(q.mz - l.mz) AS gap
+      FROM spectra_fine q JOIN spectra_fine l ON q.mz BETWEEN l.mz - 0.6 AND l.mz + 0.6
+      WHERE q.spec_id % 2 = 1 AND l.spec_id % 2 = 0 AND abs(q.mz - l.mz) <= 0.5),
+dl AS (SELECT query_id, lib_id, CAST(sum(x) AS DOUBLE) AS dot, count(*) AS matched FROM (
+         SELECT query_id, lib_id, li, arg_min(qx * lx, [gap, qi]) AS x FROM e GROUP BY ALL) z GROUP BY 1, 2),
+dq AS (SELECT query_id, lib_id, CAST(sum(x) AS DOUBLE) AS dot_back, count(*) AS matched_back FROM (
+         SELECT query_id, lib_id, qi, arg_min(qx * lx, [gap, li]) AS x FROM e GROUP BY ALL) z GROUP BY 1, 2),
+d AS (SELECT * FROM dl JOIN dq USING (query_id, lib_id)),
+"""
+
+
+def _measured(sql: str) -> str:
+    """A check over whole m/z made one over measured m/z."""
+    head, rest = sql.split("d AS (", 1)
+    text = head + _NEAREST.strip("\n") + "\n" + rest[rest.index("s AS (") :]
+    return re.sub(r"\bspectra\b", "spectra_fine", text).replace("matched / qn", "matched_back / qn")
+
+
+_FINE_VIEWS = ("spectra_fine", "library_rows")
+
+for _mode, _expr, _limit in (("cosine", "cos", 700), ("forward", "fwd", 740), ("reverse", "rev", 760), ("hybrid", "hyb", 750)):
+    query(f"spectrum_measured_{_mode}", _measured(_search_check(_expr, _limit)), _FINE_VIEWS)(
+        lambda spark, sf_dir, m=_mode, k=_limit: rounded(spectra.search(
+            v.queries(spark, sf_dir, "spectra_fine"), v.library(spark, sf_dir, "spectra_fine"), mode=m, min_match=k
+        ))
+    )
+
+
 _MANAGER = _PAIRS + """,
 t5 AS (SELECT spec_id, mz FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY intensity DESC, ion_idx) AS k FROM spectra) x WHERE k <= 5),
 t1 AS (SELECT spec_id AS lib_id, mz AS bp FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY intensity DESC, ion_idx) AS k FROM spectra) x WHERE k = 1),
@@ -741,6 +772,21 @@ def _search_manager(spark, sf_dir):
     )
 
 
+@query("spectrum_measured_manager", _measured(_PAIRS) + """,
+w AS (SELECT *, trunc(least(999, dot_back / sqrt(qsq * lsq) * 999)) AS back FROM y),
+t5 AS (SELECT spec_id, CAST(trunc(mz) AS INT) AS mz FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY intensity DESC, ion_idx) AS k FROM spectra_fine) x WHERE k <= 5),
+t1 AS (SELECT spec_id AS lib_id, CAST(trunc(mz) AS INT) AS bp FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY intensity DESC, ion_idx) AS k FROM spectra_fine) x WHERE k = 1),
+cand AS (SELECT DISTINCT t5.spec_id AS query_id, t1.lib_id FROM t5 JOIN t1 ON abs(t5.mz - t1.bp) <= 1 WHERE t5.spec_id % 2 = 1 AND t1.lib_id % 2 = 0),
+near AS (SELECT w.* FROM w WHERE (w.query_id, w.lib_id) IN (SELECT query_id, lib_id FROM cand) OR w.query_id NOT IN (SELECT query_id FROM cand)),
+mg AS (SELECT *, CASE WHEN cos < 400 OR back < 400 THEN least(floor((cos + back) / 2), 500) ELSE floor((cos + back) / 2) END AS mf FROM near WHERE ln >= 3),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mf DESC, load_seq) AS rank FROM mg WHERE mf >= 600)
+SELECT query_id, lib_id, name, CAST(mf AS INT) AS match_factor, CAST(cos AS INT) AS match_forward, CAST(back AS INT) AS match_reverse,
+       CAST(ln AS INT) AS n_ref_peaks, CAST(rank AS INT) AS rank FROM top""", _FINE_VIEWS)
+def _measured_manager(spark, sf_dir):
+    hits = spectra.search_manager(v.queries(spark, sf_dir, "spectra_fine"), v.library(spark, sf_dir, "spectra_fine"), min_match=600, k=None)
+    return hits.select("query_id", "lib_id", "name", "match_factor", "match_forward", "match_reverse", "n_ref_peaks", "rank")
+
+
 _RI_NAME = """rn AS (SELECT name, ri AS ri_named FROM (SELECT l.name, r.ri, row_number() OVER (PARTITION BY l.name ORDER BY (lower(trim(l.name)) <> lower(r.name)), r.ord) AS k
   FROM (SELECT DISTINCT name FROM {names}) l JOIN ri_ref r ON contains(lower(trim(l.name)), lower(r.name)) OR contains(lower(r.name), lower(trim(l.name)))) x WHERE k = 1)"""
 

@@ -45,6 +45,12 @@ FROM (SELECT vec_id, label, ion_idx,
 WHERE intensity >= 150
 """
 
+# Measured m/z, between 0.7 and 1.7 apart in their order of numbers, in other places in each spectrum; all ions.
+SPECTRA_FINE = """
+SELECT vec_id AS spec_id, label, ion_idx, CAST(40000 + ion_idx * 700 + (vec_id * 37 + ion_idx * 11) % 970 AS DOUBLE) / 1000 AS mz,
+       CAST(floor(abs(x) / max(abs(x)) OVER (PARTITION BY vec_id) * 999) AS INT) AS intensity FROM ({unpack}) e
+"""
+
 LIBRARY = """
 SELECT p_partkey AS lib_id, p_partkey AS load_seq, p_name AS name,
        CASE WHEN p_size % 5 = 0 THEN NULL
@@ -74,7 +80,7 @@ FROM part WHERE p_partkey % 25 = 0
 """
 
 TEXTS = {
-    "peaks": PEAKS, "tic": TIC, "tic_gaps": TIC_GAPS, "spectra": SPECTRA, "library_rows": LIBRARY, "ri_ref": RI_REF, "rt_library": RT_LIBRARY,
+    "peaks": PEAKS, "tic": TIC, "tic_gaps": TIC_GAPS, "spectra": SPECTRA, "spectra_fine": SPECTRA_FINE, "library_rows": LIBRARY, "ri_ref": RI_REF, "rt_library": RT_LIBRARY,
 }
 
 
@@ -106,21 +112,17 @@ def tic_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(view(spark, sf_dir, "tic_gaps"))
 
 
-def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "spectra")
-
-
-def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+def library(spark: SparkSession, sf_dir: str, ions: str = "spectra") -> DataFrame:
     """Even spectra as library entries."""
-    ions = spectra(spark, sf_dir).filter(F.col("spec_id") % 2 == 0)
+    ions = view(spark, sf_dir, ions).filter(F.col("spec_id") % 2 == 0)
     packed = collect_spectra(ions, "spec_id").withColumnRenamed("spec_id", "lib_id")
     # a library is a stored table; here it is derived, so it is stored once per query
     return cut_lineage(view(spark, sf_dir, "library_rows").join(packed, "lib_id"))
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def queries(spark: SparkSession, sf_dir: str, ions: str = "spectra") -> DataFrame:
     """Odd spectra as queries, two in three with a measured index."""
-    ions = spectra(spark, sf_dir).filter(F.col("spec_id") % 2 == 1)
+    ions = view(spark, sf_dir, ions).filter(F.col("spec_id") % 2 == 1)
     ri = F.when(F.col("query_id") % 3 != 0, (F.lit(401) + F.col("query_id") * 97 % 3500).cast("double"))
     packed = collect_spectra(ions, "spec_id").withColumnRenamed("spec_id", "query_id")
     return cut_lineage(packed.withColumns({"ri_expected": ri, "ri_measured": ri}))
