@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Page markers, cell and registry-number patterns of the index pages, and the accepted index range.
 PAGE_MARKERS = ["Gas Chromatography", "Kovats"]
@@ -91,9 +94,61 @@ def upsert(new: DataFrame, old: DataFrame, key: str = "name") -> DataFrame:
     return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
-def save_table(table: DataFrame, path: str) -> None:
-    """K5: write to a fresh folder; a reader switches to it once it is complete."""
-    table.write.mode("errorifexists").parquet(path)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table, from one listing of its folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(folder)]
+    return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
+
+
+def save_table(table: DataFrame, path: str) -> int:
+    """K5: a new version of a stored table, visible as a whole or not at all; its number.
+
+    Rows are written to a folder of their own, which then gets the next number by one rename. A rename to a name that
+    exists fails, so of two writers one takes the next number. Readers that began with an older version keep it until it
+    is removed. The file system must rename folders atomically, as local ones and HDFS do.
+    """
+    spark = table.sparkSession
+    staged = f"{path.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    table.write.parquet(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source = hadoop.Path(staged)
+    context = hadoop.FileContext.getFileContext(source.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    while True:
+        number = max(_versions(spark, path), default=0) + 1
+        try:
+            context.rename(source, hadoop.Path(f"{path.rstrip('/')}/version-{number}"), options)
+            return number
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception):
+                raise
+
+
+def load_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest complete version of a stored table, or one by its number."""
+    number = version or max(_versions(spark, path), default=None)
+    if number is None:
+        raise ValueError(f"no version of a table in {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/version-{number}")
+
+
+def upsert_table(new: DataFrame, path: str, key: str = "name") -> int:
+    """K5: replace the rows of a stored table that have a key of ``new``, as a new version; its number."""
+    spark = new.sparkSession
+    return save_table(upsert(new, load_table(spark, path), key) if _versions(spark, path) else new, path)
+
+
+def remove_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Remove all but the newest versions; the numbers that went."""
+    gone = _versions(spark, path)[:-keep] if keep else _versions(spark, path)
+    for number in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version-{number}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
 
 
 def progress(work: DataFrame, results: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from peakloom.session import cut_lineage
 from peakloom.sources.reports import number
 
 _PEAKS = "array<struct<mz:double,intensity:int>>"
@@ -33,11 +34,33 @@ def _int(text: Column) -> Column:
     return number(text).cast("int")
 
 
+def _place(file_split: Column, part: Column | None = None) -> Column:
+    """Where a record stands in its file: the start of the split it was read with, its row there, its part of the row.
+
+    Rows of a split are read in order by one task, so the running number of a task orders them; as it depends on how files
+    are dealt to tasks, a table with places is written once before they are used.
+    """
+    row = F.monotonically_increasing_id()
+    return F.struct(file_split.alias("split"), row.alias("row"), (F.lit(0) if part is None else part).alias("part"))
+
+
+def _file_columns() -> list[Column]:
+    """Name of the file that a row comes from, and the place of the row in it."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    return [name.alias("source_file"), _place(F.col("_metadata.file_block_start")).alias("place")]
+
+
 def msp_records(blocks: DataFrame, text: str = "value") -> DataFrame:
     """One row per record: blocks are cut again at blank lines and at every NAME line."""
     clean = F.replace(F.col(text), F.lit("\r"), F.lit(""))
     parts = F.flatten(F.transform(F.split(clean, r"\n[ \t]*\n"), lambda b: F.split(b, r"(?im)(?=^[ \t]*NAME[ \t]*:)")))
-    return blocks.withColumn("record", F.explode(parts)).filter(F.col("record").rlike(r"(?i)^\s*NAME[ \t]*:"))
+    if "place" in blocks.columns:
+        numbered = blocks.select("*", F.posexplode(parts).alias("_part", "record"))
+        place = F.struct("place.split", "place.row", F.col("_part").alias("part"))
+        cut = numbered.withColumn("place", place).drop("_part")
+    else:
+        cut = blocks.withColumn("record", F.explode(parts))
+    return cut.filter(F.col("record").rlike(r"(?i)^\s*NAME[ \t]*:"))
 
 
 def parse_msp(records: DataFrame) -> DataFrame:
@@ -82,9 +105,12 @@ def read_msp(spark: SparkSession, paths: str | Sequence[str], line_end: str = "\
 
     For files with CRLF pass ``line_end='\\r\\n'``; otherwise the result is the same but such a file is one read unit.
     """
+    return _msp_with_places(spark, paths, line_end, source).drop("place")
+
+
+def _msp_with_places(spark: SparkSession, paths: str | Sequence[str], line_end: str = "\n", source: str = "msp_file") -> DataFrame:
     blocks = spark.read.option("lineSep", line_end * 2).text(list(paths) if not isinstance(paths, str) else paths)
-    blocks = blocks.select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source_file"))
-    return parse_msp(msp_records(blocks)).withColumn("source", F.lit(source))
+    return parse_msp(msp_records(blocks.select("value", *_file_columns()))).withColumn("source", F.lit(source))
 
 
 def _token_pairs(text: Column) -> Column:
@@ -99,6 +125,10 @@ def _token_pairs(text: Column) -> Column:
 
 def read_library_json(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """A list of entries or a single one, with alternative key names; entries without a name or ions are left out."""
+    return _json_with_places(spark, paths).drop("place")
+
+
+def _json_with_places(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     keys = [
         "compound", "name", "cas", "casNumber", "formula", "molecularFormula", "id", "inchi", "inchikey", "precursorMZ",
         "precursor", "instrument", "collisionEnergy", "ionizationMode", "ionMode", "spectrum",
@@ -106,9 +136,10 @@ def read_library_json(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     raw = (
         spark.read.option("multiLine", "true").schema(", ".join(f"`{k}` string" for k in keys))
         .json(list(paths) if not isinstance(paths, str) else paths)
-        .select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source_file"))
+        .select("*", *_file_columns())
     )
     out = raw.select(
+        "place",
         F.lower(F.trim(F.coalesce("compound", "name"))).alias("name"),
         F.nullif(F.coalesce("cas", "casNumber"), F.lit("")).alias("cas"),
         F.nullif(F.coalesce("formula", "molecularFormula"), F.lit("")).alias("formula"),
@@ -128,9 +159,18 @@ FORMULA_HEADERS = ("formula", "molecular formula", "mol formula")
 WIDE_IONS = [("mz{}", "int{}"), ("m/z{}", "intensity{}"), ("peak{}_mz", "peak{}_int")]
 
 
-def read_library_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A table with one spectrum column or wide ion pairs, as many as the header has; entries need 3 ions. One header per call."""
-    raw = spark.read.option("header", "true").option("encoding", encoding).option("mode", "DROPMALFORMED").csv(path)
+def read_library_csv(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
+    """A table with one spectrum column or wide ion pairs, as many as the header has; entries need 3 ions. The files of a
+    call have one header."""
+    return _csv_with_places(spark, path, encoding).drop("place")
+
+
+def _csv_reader(spark: SparkSession, encoding: str):  # noqa: ANN202
+    return spark.read.option("header", "true").option("encoding", encoding).option("mode", "DROPMALFORMED")
+
+
+def _csv_with_places(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
+    raw = _csv_reader(spark, encoding).csv(path if isinstance(path, str) else list(path))
     titles = {c.lower().strip(): c for c in raw.columns}
 
     def pick(options: Sequence[str]) -> Column:
@@ -158,29 +198,44 @@ def read_library_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
         F.nullif(pick(CAS_HEADERS), F.lit("")).alias("cas"),
         F.nullif(pick(FORMULA_HEADERS), F.lit("")).alias("formula"),
         F.lit("nist_webbook_csv").alias("source"),
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source_file"),
+        *_file_columns(),
         F.when(F.size(listed) > 0, listed).otherwise(wide).cast(_PEAKS).alias("peaks"),
     )
     return out.filter((F.length("name") > 0) & (F.col("name") != "nan") & (F.size("peaks") >= 3)).withColumn("num_peaks", F.size("peaks"))
 
 
-def load_libraries(spark: SparkSession, folder: str, csv_files: Sequence[str] = (), builtin: DataFrame | None = None) -> DataFrame:
-    """All MSP and JSON files of a folder, the named CSV files and optional built-in entries, as one table.
+def library_files(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """Files directly in a folder by lower-cased suffix, in name order. The listing is the one that any reader makes; names
+    that begin with a dot or an underscore are hidden to it."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path")
+    out: dict[str, list[str]] = {}
+    for path in sorted(r["path"] for r in listing.collect()):
+        out.setdefault(path.rsplit(".", 1)[-1].lower(), []).append(path)
+    return out
 
-    CSV files are named because each may have its own header. ``load_seq`` does not depend on how files were split;
-    ``lib_id`` equals it.
-    """
-    def glob(pattern: str) -> list[str]:
-        listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-        return [r["path"] for r in listing.filter(~F.col("path").rlike(r"/\.[^/]*$")).collect()]
 
+def load_libraries(
+    spark: SparkSession, folder: str, csv_files: Sequence[str] | None = None, builtin: DataFrame | None = None, encoding: str = "UTF-8"
+) -> DataFrame:
+    """All MSP, JSON and CSV files of a folder, whatever the case of their suffix, and optional built-in entries, as
+    one table in load order. ``csv_files`` restricts the CSV files to some names.
+
+    CSV files with the same header are read together. MSP files are split whichever line end they have.
+    """
+    files = library_files(spark, folder)
     parts = [] if builtin is None else [builtin.withColumn("source", F.lit("builtin_msp"))]
-    msp, json = glob("*.msp"), glob("*.json")
-    if msp:
-        parts.append(read_msp(spark, msp))
-    if json:
-        parts.append(read_library_json(spark, json))
-    parts += [read_library_csv(spark, f"{folder.rstrip('/')}/{name}") for name in csv_files]
+    ends: dict[str, list[str]] = {}
+    for path in files.get("msp", []):
+        first = spark.read.option("lineSep", "\n").text(path).first()
+        ends.setdefault("\r\n" if first and first["value"].endswith("\r") else "\n", []).append(path)
+    parts += [_msp_with_places(spark, paths, end) for end, paths in ends.items()]
+    if files.get("json"):
+        parts.append(_json_with_places(spark, files["json"]))
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for path in files.get("csv", []):
+        if csv_files is None or path.rsplit("/", 1)[-1] in csv_files:
+            headers.setdefault(tuple(_csv_reader(spark, encoding).csv(path).columns), []).append(path)
+    parts += [_csv_with_places(spark, paths, encoding) for paths in headers.values()]
     if not parts:
         raise ValueError(f"no library files in {folder}")
     out = parts[0]
@@ -190,15 +245,29 @@ def load_libraries(spark: SparkSession, folder: str, csv_files: Sequence[str] =
 
 
 def with_load_order(library: DataFrame) -> DataFrame:
-    """Number entries by a hash of file and content, built-in ones first: the same under any partitioning.
+    """Number entries from 0 as ``load_seq`` and ``lib_id``: built-in ones first, then by file name and place in the file.
 
-    An entry repeated word for word in one file is one entry.
+    Repeated records stay, each with its own number. Numbers are made in two levels: a record's place within its split, and
+    the records of all splits before, one row per split. A table without places keeps the order of its partitions. The
+    table is written once, as places depend on how files were dealt to tasks.
     """
     if "source_file" not in library.columns:
         library = library.withColumn("source_file", F.lit(None).cast("string"))
-    key = F.pmod(F.xxhash64("source_file", "name", "cas", F.to_json("peaks")), F.lit(1 << 61))
-    place = F.when(F.col("source") == "builtin_msp", F.lit(0).cast("long")).otherwise(F.lit(1 << 61))
-    return library.withColumn("load_seq", place + key).withColumn("lib_id", F.col("load_seq")).dropDuplicates(["lib_id"])
+    anywhere = _place(F.shiftright(F.monotonically_increasing_id(), 33))
+    place = F.coalesce(F.col("place"), anywhere) if "place" in library.columns else anywhere
+    group = F.struct(
+        F.when(F.col("source") == "builtin_msp", 0).otherwise(1).alias("later"), F.coalesce("source_file", F.lit("")).alias("file"),
+    )
+    names = [c for c in library.columns if c not in ("place", "load_seq", "lib_id")]
+    placed = cut_lineage(library.select(*[F.col(f"`{c}`") for c in names], group.alias("_group"), place.alias("_place")))
+    split = ["_group", F.col("_place.split").alias("_split")]
+    sizes = placed.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_group", "_split").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_group", "_split", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_group", "_split").orderBy("_place")) - 1
+    numbered = placed.withColumn("_split", F.col("_place.split")).withColumn("_in", inside).join(offsets, ["_group", "_split"])
+    seq = (F.col("_before") + F.col("_in")).cast("long")
+    return numbered.select(*[F.col(f"`{c}`") for c in names], seq.alias("load_seq"), seq.alias("lib_id"))
 
 
 def parse_ri_table(texts: DataFrame) -> DataFrame:

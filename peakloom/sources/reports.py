@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F
 
 from peakloom.sources.runs import RUN_FILE
 
@@ -19,11 +19,24 @@ def _run_columns(path: Column) -> list[Column]:
     ]
 
 
+def plain_path() -> Column:
+    """Path of the file that a row comes from as a listing spells it: signs written as codes are themselves again."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def number(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
-def read_report_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-16LE", max_name: int | None = None) -> DataFrame:
+def _found_below(reader: DataFrameReader, name_glob: str | None) -> DataFrameReader:
+    """With a pattern of file names, all files below the given folders that fit it, at any depth."""
+    return reader if name_glob is None else reader.option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob)
+
+
+def read_report_csv(
+    spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-16LE", max_name: int | None = None, name_glob: str | None = None
+) -> DataFrame:
     """S3: quantitation reports without header; columns 0-4 and 7 are rt, type, area, amount, conc, name.
 
     A row with fewer than 8 fields, a number that does not parse, or a name that is empty or too long is left out. A byte
@@ -31,9 +44,9 @@ def read_report_csv(spark: SparkSession, paths: str | Sequence[str], encoding: s
     """
     schema = ", ".join(f"c{i} string" for i in range(8))
     raw = (
-        spark.read.schema(schema).option("encoding", encoding).option("multiLine", "true")
+        _found_below(spark.read, name_glob).schema(schema).option("encoding", encoding).option("multiLine", "true")
         .option("quote", '"').option("escape", '"').csv(list(paths) if not isinstance(paths, str) else paths)
-        .select("*", F.col("_metadata.file_path").alias("_path"))
+        .select("*", plain_path().alias("_path"))
     )
     name = F.lower(F.btrim(F.trim("c7"), F.lit('"')))
     return (
@@ -51,9 +64,9 @@ def read_report_csv(spark: SparkSession, paths: str | Sequence[str], encoding: s
     )
 
 
-def read_texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_texts(spark: SparkSession, paths: str | Sequence[str], name_glob: str | None = None) -> DataFrame:
     """path and text of whole files: UTF-16 with a mark or zero bytes, else UTF-8, else Latin-1. Line ends become \\n."""
-    files = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths)
+    files = _found_below(spark.read.format("binaryFile"), name_glob).load(list(paths) if not isinstance(paths, str) else paths)
     mark, second = F.hex(F.substring("content", 1, 2)), F.hex(F.substring("content", 2, 1))
     plain = F.col("content").cast("string")
     text = (
@@ -185,8 +198,8 @@ def parse_report_texts(texts: DataFrame) -> DataFrame:
     )
 
 
-def read_report_txt(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    return parse_report_texts(read_texts(spark, paths))
+def read_report_txt(spark: SparkSession, paths: str | Sequence[str], name_glob: str | None = None) -> DataFrame:
+    return parse_report_texts(read_texts(spark, paths, name_glob))
 
 
 # Header spellings of the vendor hit table.
