@@ -9,9 +9,16 @@ Points without an intensity are left out; their neighbours become adjacent and k
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from functools import partial
+from itertools import chain
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from peakloom.scale import islands, ordered_totals, small_side
 from peakloom.session import cut_lineage
@@ -85,91 +92,181 @@ def _maxima(points: DataFrame, chunk: int) -> DataFrame:
     )
 
 
-def _walk(y: np.ndarray, start: int, step: int, level: float, above: bool) -> tuple[int, float]:
-    """First position from ``start`` on whose value is above (or not above) the level, -1 if none, and the lowest passed."""
-    path = y[start::step] if step > 0 else y[start::-1]
-    stop = path > level if above else path <= level
-    at = int(np.argmax(stop)) if stop.any() else -1
-    passed = path if at < 0 else path[:at]
-    return (-1 if at < 0 else start + step * at), (float(passed.min()) if len(passed) else np.inf)
+def _lows(y: list[float], tops: list[int]) -> tuple[list[float], list[bool]]:
+    """For rising positions ``tops``: the lowest value on the way left to the first one above, and whether there is one.
+
+    A stack holds the values that no later one has reached, each with the lowest value since the one below it.
+    """
+    values, since, lows, bounded = [], [], [], []
+    ahead = iter(tops)
+    top = next(ahead, -1)
+    for i, value in enumerate(y):
+        low = value
+        while values and values[-1] <= value:
+            values.pop()
+            low = min(low, since.pop())
+        if i == top:
+            lows.append(low)
+            bounded.append(bool(values))
+            top = next(ahead, -1)
+        values.append(value)
+        since.append(low)
+    return lows, bounded
+
+
+def _falls(y: list[float], tops: list[int], levels: list[float]) -> list[int]:
+    """For rising positions ``tops``: the nearest position to the left whose value is not above the level, -1 if none.
+
+    A stack holds the positions that are lower than all after them; their values rise, so the answer is found by halving.
+    """
+    places, values, out = [], [], []
+    ahead = iter(zip(tops, levels))
+    top, level = next(ahead, (-1, 0.0))
+    for i, value in enumerate(y):
+        while values and values[-1] >= value:
+            values.pop()
+            places.pop()
+        values.append(value)
+        places.append(i)
+        while i == top:
+            at = bisect_right(values, level) - 1
+            out.append(places[at] if at >= 0 else -1)
+            top, level = next(ahead, (-1, 0.0))
+    return out
 
 
 def _crossing(x: float, y: float, inner_x: float, inner_y: float, level: float) -> float:
-    """Place between a point not above the level and its neighbour towards the peak where the level is met."""
-    return x + (inner_x - x) * ((level - y) / (inner_y - y)) if y < level else float(x)
+    """Place between a point below the level and its neighbour towards the peak where the level is met."""
+    return x + (inner_x - x) * ((level - y) / (inner_y - y))
+
+
+def _half_places(x: list[int], y: list[float], tops: list[int], levels: list[float]) -> tuple[list[float | None], list[float | None]]:
+    """Where the trace falls to the level on both sides of each top; none if not within these points."""
+    last = len(y) - 1
+    order = range(len(tops))[::-1]
+    left = _falls(y, tops, levels)
+    right = [last - p if p >= 0 else -1 for p in _falls(y[::-1], [last - tops[i] for i in order], [levels[i] for i in order])][::-1]
 
+    def place(p: int, inner: int, level: float) -> float | None:
+        if p < 0:
+            return None
+        return _crossing(x[p], y[p], x[inner], y[inner], level) if y[p] < level else float(x[p])
 
-def _measure_chunk(tops: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+    return [place(p, p + 1, v) for p, v in zip(left, levels)], [place(p, p - 1, v) for p, v in zip(right, levels)]
+
+
+def _measure_chunk(tops: dict[str, list], x: np.ndarray, y: np.ndarray) -> dict[str, list]:
     """Saddle and half-height places of the peaks of one chunk; a side that leaves the chunk stays open."""
-    points = points.sort_values("idx")
-    x, y = points["idx"].to_numpy(), points["y"].to_numpy()
-    rows = []
-    for top in tops.itertuples(index=False):
-        at, height = int(np.searchsorted(x, top.peak_idx)), top.height
-        left, low_l = _walk(y, at, -1, height, True)
-        right, low_r = _walk(y, at, 1, height, True)
-        open_l, open_r = left < 0 and not top.is_first, right < 0 and not top.is_last
-        ips = (None, None)
-        if not (open_l or open_r):
-            level = height - (height - max(low_l, low_r)) * 0.5
-            l, _ = _walk(y, at, -1, level, False)
-            r, _ = _walk(y, at, 1, level, False)
-            ips = (_crossing(x[l], y[l], x[l + 1], y[l + 1], level), _crossing(x[r], y[r], x[r - 1], y[r - 1], level))
-        rows.append((top.sample, top.chunk, top.peak_idx, height, low_l, low_r, open_l, open_r, *ips))
-    names = ["sample", "chunk", "peak_idx", "height", "low_l", "low_r", "open_l", "open_r", "left_ip", "right_ip"]
-    return pd.DataFrame(rows, columns=names).astype({"left_ip": float, "right_ip": float})
+    order = np.argsort(tops["peak_idx"])
+    tops = {k: [v[i] for i in order] for k, v in tops.items()}
+    places, line = np.searchsorted(x, tops["peak_idx"]).tolist(), y.tolist()
+    last = len(line) - 1
+    low_l, higher_l = _lows(line, places)
+    low_r, higher_r = (v[::-1] for v in _lows(line[::-1], [last - p for p in places[::-1]]))
+    open_l = [not (h or first) for h, first in zip(higher_l, tops["is_first"])]
+    open_r = [not (h or end) for h, end in zip(higher_r, tops["is_last"])]
+    # peaks with an open side get a level that no point meets
+    levels = [
+        -np.inf if a or b else height - (height - max(l, r)) * 0.5
+        for height, l, r, a, b in zip(tops["height"], low_l, low_r, open_l, open_r)
+    ]
+    left_ip, right_ip = _half_places(x.tolist(), line, places, levels)
+    return {
+        "peak_idx": tops["peak_idx"], "height": tops["height"], "low_l": low_l, "low_r": low_r, "open_l": open_l, "open_r": open_r,
+        "left_ip": left_ip, "right_ip": right_ip,
+    }
 
 
 _MEASURED = (
     "sample string, chunk long, peak_idx long, height double, low_l double, low_r double, open_l boolean, open_r boolean, "
     "left_ip double, right_ip double"
 )
-_SCANNED = "sample string, peak_idx long, side int, place double, low double"
-
-
-def _scan_chunk(requests: pd.DataFrame, points: pd.DataFrame, above: bool) -> pd.DataFrame:
-    """Answer walks that enter a chunk at its edge (``from_edge``) or start at a peak inside it."""
-    points = points.sort_values("idx")
-    x, y = points["idx"].to_numpy(), points["y"].to_numpy()
-    rows = []
-    for r in requests.itertuples(index=False):
-        step = int(r.side)
-        start = (len(y) - 1 if step < 0 else 0) if r.from_edge else int(np.searchsorted(x, r.peak_idx))
-        at, low = _walk(y, start, step, r.level, above)
-        place = np.nan
-        if at >= 0 and not above:
-            inner = (r.edge_x, r.edge_y) if at == start else (x[at - step], y[at - step])
-            place = _crossing(x[at], y[at], *inner, r.level)
-        rows.append((r.sample, r.peak_idx, step, place, low))
-    return pd.DataFrame(rows, columns=["sample", "peak_idx", "side", "place", "low"])
-
-
-def _cogroup(requests: DataFrame, points: DataFrame, run, schema: str) -> DataFrame:
-    need = requests.select("sample", "chunk").distinct()
-    # both sides stem from the same trace; renamed columns keep them apart
-    points = points.select(*[F.col(c).alias(c) for c in ("sample", "chunk", "idx", "y")])
-    points = points.join(small_side(need), ["sample", "chunk"], "left_semi")
-    return _side_by_side(requests, points, run, schema)
-
-
-def _side_by_side(left: DataFrame, points: DataFrame, run, schema: str) -> DataFrame:
-    """Cogroup per chunk. The number of partitions is stated: Python work per row is large for its size, by which adaptive
-    execution would merge partitions."""
-    spark = left.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+_SCANNED = "sample string, chunk long, peak_idx long, side int, place double, low double"
+
+
+def _enter_chunk(requests: dict[str, list], x: np.ndarray, y: np.ndarray, above: bool) -> dict[str, list]:
+    """Walks that enter a chunk at its edge: the running extreme from the edge says where they end."""
+    out: dict[str, list] = {c: [] for c in ("peak_idx", "side", "place", "low")}
+    prepared = {}
+    for side in set(requests["side"]):
+        path, at = (y, x) if side > 0 else (y[::-1], x[::-1])
+        low = np.minimum.accumulate(path)
+        # rises for both: the highest value so far, or how low the lowest value so far is
+        prepared[side] = (path, at, low, np.maximum.accumulate(path) if above else -low)
+    for peak, side, level, edge_x, edge_y in zip(*[requests[c] for c in ("peak_idx", "side", "level", "edge_x", "edge_y")]):
+        path, at, low, extreme = prepared[side]
+        stop = int(np.searchsorted(extreme, level, "right") if above else np.searchsorted(extreme, -level, "left"))
+        place = None
+        if stop < len(path) and not above:
+            inner = (edge_x, edge_y) if stop == 0 else (at[stop - 1], path[stop - 1])
+            place = float(_crossing(at[stop], path[stop], *inner, level) if path[stop] < level else at[stop])
+        for c, v in zip(out, (peak, side, place, float(low[stop - 1]) if stop else np.inf)):
+            out[c].append(v)
+    return out
+
+
+def _leave_tops(requests: dict[str, list], x: np.ndarray, y: np.ndarray) -> dict[str, list]:
+    """Where a trace falls to the levels of its tops inside their own chunk, both sides of each."""
+    order = np.argsort(requests["peak_idx"])
+    peaks, levels = ([requests[c][i] for i in order] for c in ("peak_idx", "level"))
+    left, right = _half_places(x.tolist(), y.tolist(), np.searchsorted(x, peaks).tolist(), levels)
+    n = len(peaks)
+    return {"peak_idx": peaks * 2, "side": [-1] * n + [1] * n, "place": left + right, "low": [None] * 2 * n}
+
+
+def _by_chunk(requests: DataFrame, points: DataFrame, answer, schema: str) -> DataFrame:
+    """``answer`` of the requests of each chunk and its points (numbers and intensities, in order).
+
+    Requests and points of a chunk travel as one sorted stream, requests first, so a task handles its chunks one after the
+    other without a table per chunk.
+    """
     key = ["sample", "chunk"]
-    return (
-        left.repartition(parts, *key).groupBy(*key)
-        .cogroup(points.repartition(parts, *key).groupBy(*key))
-        .applyInPandas(run, schema)
-    )
-
-
-def _scan(requests: DataFrame, points: DataFrame, above: bool) -> DataFrame:
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _scan_chunk(left, right, above)
-
-    return _cogroup(requests, points, run, _SCANNED)
+    # both sides stem from the same trace; renamed columns keep them apart
+    line = points.select(*[F.col(c).alias(c) for c in (*key, "idx", "y")])
+    stream = requests.withColumn("_point", F.lit(False)).unionByName(line.withColumn("_point", F.lit(True)), allowMissingColumns=True)
+    names = [c for c in requests.columns if c not in key]
+    shape = T._parse_datatype_string(schema)
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in shape])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+            elif not held:
+                return
+            table = pa.Table.from_batches(held).combine_chunks()
+            sample, chunk, point = (table.column(c).combine_chunks() for c in (*key, "_point"))
+            new = pc.or_(pc.not_equal(sample[1:], sample[:-1]), pc.not_equal(chunk[1:], chunk[:-1])).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            if batch is None:
+                starts.append(table.num_rows)
+            is_point = point.to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(is_point)])
+            idx, y = (table.column(c).to_numpy() for c in ("idx", "y"))
+            columns: list[list] = [[] for _ in kinds]
+            for a, b in zip(starts, starts[1:]):
+                first = b - int(before[b] - before[a])
+                if a < first < b:
+                    asked = {c: table.column(c)[a:first].to_pylist() for c in names}
+                    found = answer(asked, idx[first:b].astype(np.int64), y[first:b])
+                    n = len(found["peak_idx"])
+                    found |= {"sample": [sample[a].as_py()] * n, "chunk": [chunk[a].as_py()] * n}
+                    for c, name in zip(columns, kinds.names):
+                        c.extend(found[name])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+            held = table.slice(starts[-1]).to_batches()
+
+    return stream.repartition(*key).sortWithinPartitions(*key, "_point", "idx").mapInArrow(run, shape)
+
+
+def _scan(requests: DataFrame, points: DataFrame, answer) -> DataFrame:
+    """``answer`` from the chunks that are asked for alone."""
+    need = requests.select("sample", "chunk").distinct()
+    wanted = points.select(*[F.col(c).alias(c) for c in ("sample", "chunk", "idx", "y")]).join(need, ["sample", "chunk"], "left_semi")
+    return _by_chunk(requests, wanted, answer, _SCANNED).drop("chunk")
 
 
 def _aim(sides: DataFrame, table: DataFrame, above: bool) -> DataFrame:
@@ -220,9 +317,9 @@ def _settle(open_: DataFrame, points: DataFrame, chunks: DataFrame) -> DataFrame
     )
     aimed = cut_lineage(_aim(sides.filter("open"), table, above=True))
     there = aimed.filter(F.col("target").isNotNull()).select(
-        "sample", F.col("target").alias("chunk"), "peak_idx", "level", "side", F.lit(True).alias("from_edge"), "edge_x", "edge_y"
+        "sample", F.col("target").alias("chunk"), "peak_idx", "level", "side", "edge_x", "edge_y"
     )
-    far = _scan(there, points, above=True).select(*key, F.col("low").alias("low_far"))
+    far = _scan(there, points, partial(_enter_chunk, above=True)).select(*key, F.col("low").alias("low_far"))
     saddles = (
         sides.join(aimed.select(*key, "low_crossed"), key, "left").join(far, key, "left")
         .groupBy("sample", "chunk", "peak_idx", "height")
@@ -230,15 +327,13 @@ def _settle(open_: DataFrame, points: DataFrame, chunks: DataFrame) -> DataFrame
     )
     levels = cut_lineage(saddles.withColumn("level", F.col("height") - (F.col("height") - F.col("saddle")) * 0.5))
     walks = levels.select("sample", "chunk", "peak_idx", "level", both)
-    start = walks.withColumns(
-        {"from_edge": F.lit(False), "edge_x": F.lit(None).cast("long"), "edge_y": F.lit(None).cast("double")}
-    )
-    near = cut_lineage(_scan(start, points, above=False).withColumn("place", F.nanvl("place", F.lit(None).cast("double"))))
+    near = cut_lineage(_scan(levels.select("sample", "chunk", "peak_idx", "level"), points, _leave_tops))
     beyond = _aim(walks.join(near.filter(F.col("place").isNull()).select(*key), key), table, above=False)
     there = beyond.select(
-        "sample", F.col("target").alias("chunk"), "peak_idx", "level", "side", F.lit(True).alias("from_edge"), "edge_x", "edge_y"
+        "sample", F.col("target").alias("chunk"), "peak_idx", "level", "side", "edge_x", "edge_y"
     )
-    places = near.filter(F.col("place").isNotNull()).select(*key, "place").unionByName(_scan(there, points, above=False).select(*key, "place"))
+    entered = _scan(there, points, partial(_enter_chunk, above=False))
+    places = near.filter(F.col("place").isNotNull()).select(*key, "place").unionByName(entered.select(*key, "place"))
     ips = places.groupBy("sample", "peak_idx").agg(
         F.max(F.when(is_left, F.col("place"))).alias("left_ip"), F.max(F.when(~is_left, F.col("place"))).alias("right_ip")
     )
@@ -262,7 +357,7 @@ def find_peaks(
     chunks = _chunk_table(points)
     tops = _maxima(_with_neighbours(points, chunks), chunk).filter(F.col("height") >= min_height)
     ends = chunks.select("sample", "chunk", F.col("before").isNull().alias("is_first"), F.col("after").isNull().alias("is_last"))
-    local = cut_lineage(_cogroup_all(tops.join(ends, ["sample", "chunk"]), points))
+    local = cut_lineage(_by_chunk(tops.join(ends, ["sample", "chunk"]), points, _measure_chunk, _MEASURED))
     settled = local.filter(F.col("left_ip").isNotNull()).select(
         "sample", "peak_idx", "height", F.greatest("low_l", "low_r").alias("saddle"), "left_ip", "right_ip"
     )
@@ -283,11 +378,6 @@ def find_peaks(
     )
 
 
-def _cogroup_all(tops: DataFrame, points: DataFrame) -> DataFrame:
-    points = points.select(*[F.col(c).alias(c) for c in ("sample", "chunk", "idx", "y")])
-    return _side_by_side(tops, points, _measure_chunk, _MEASURED)
-
-
 def integrate_peaks(tic: DataFrame, peaks: DataFrame, min_area: float = 10000, margin: int = 5, chunk: int = CHUNK) -> DataFrame:
     """Area above the lowest value of the window around each peak, by the trapezoid rule, and its share of the sample.
 
