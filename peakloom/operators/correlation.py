@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from peakloom.operators.stats import sample_means
 from peakloom.scale import ordered_totals, small_side
+from peakloom.session import cut_lineage
 
 BLOCK = 128
 SAMPLES_PER_TASK = 16384
+#: Cells of one block where ranks are taken per pair, and the samples beyond which no task holds a pair.
+RANK_CELLS = 2_000_000
+MOST_SAMPLES = 2_000_000
 
 _PAIR_SCHEMA = "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double"
 
@@ -53,16 +57,10 @@ def _pair_correlation(cells: DataFrame) -> DataFrame:
     size = cells.agg(F.count_distinct("compound").alias("c"), F.count_distinct("sample").alias("s")).first()
     n_blocks, n_slices = math.ceil(max(size["c"], 1) / BLOCK), math.ceil(max(size["s"], 1) / SAMPLES_PER_TASK)
     centre = small_side(cells.groupBy("compound").agg(F.avg("x").alias("mean")), proof=cells.select("compound").distinct())
-    block = F.pmod(F.xxhash64("compound"), F.lit(n_blocks)).cast("int")
-    laid_out = (
-        cells.join(centre, "compound")
-        .select(
-            "sample", "compound", (F.col("x") - F.col("mean")).alias("x"), block.alias("block"),
-            F.pmod(F.xxhash64("sample"), F.lit(n_slices)).cast("int").alias("slice"),
-        )
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")})
+    centred = cells.join(centre, "compound").select(
+        "sample", "compound", (F.col("x") - F.col("mean")).alias("x"), F.pmod(F.xxhash64("sample"), F.lit(n_slices)).cast("int").alias("slice"),
     )
+    laid_out = _dealt_blocks(centred, n_blocks)
     sums = laid_out.groupBy("block_a", "block_b", "slice").applyInPandas(_pair_sums, _PAIR_SCHEMA)
     total = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
@@ -88,8 +86,9 @@ def spearman(peaks: DataFrame) -> DataFrame:
     """A11 on average ranks.
 
     Without missing cells the ranks of a compound are the same in all its pairs, and the blocks of ``pearson`` do the rest.
-    With missing cells the ranks are taken among the common samples of each pair, which needs a row per pair and common
-    sample; equal values are counted and ordered by ``ordered_totals``, so no pair has to fit one task.
+    With missing cells the ranks are taken among the common samples of each pair, by tasks that hold two blocks of
+    compounds. Beyond ``MOST_SAMPLES`` samples no task could hold a pair, and a row per pair and common sample takes its
+    place, ordered by ``ordered_totals``; the result is the same.
     """
     cells = sample_means(peaks, ["sample"])
     size = cells.agg(
@@ -98,6 +97,83 @@ def spearman(peaks: DataFrame) -> DataFrame:
     if size["n"] == size["c"] * size["s"]:
         ranks = _ranks(cells, ["compound"], "conc", "x")
         return _pair_correlation(cells.join(ranks, ["compound", "conc"]).select("sample", "compound", "x"))
+    if size["s"] > MOST_SAMPLES:
+        return _spearman_of_rows(cells)
+    width = int(min(max(RANK_CELLS // size["s"], 1), BLOCK // 2))
+    dealt = _dealt_blocks(cells.select("sample", "compound", F.col("conc").alias("x")), math.ceil(size["c"] / width))
+    return dealt.groupBy("block_a", "block_b").applyInPandas(_rank_pairs, "a string, b string, n long, r double")
+
+
+def _dealt_blocks(cells: DataFrame, n_blocks: int) -> DataFrame:
+    """Cells of every pair of blocks of compounds."""
+    block = F.pmod(F.xxhash64("compound"), F.lit(n_blocks)).cast("int")
+    return (
+        cells.withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        .withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")})
+    )
+
+
+class _Ordered:
+    """Values of several compounds over the same samples, sorted once: order, presence and groups of equal values."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.has = ~np.isnan(values)
+        self.order = np.argsort(values, axis=1, kind="stable")  # missing values come last
+        ordered = np.take_along_axis(values, self.order, 1)
+        self.present = ~np.isnan(ordered)
+        new = np.ones(values.shape, bool)
+        new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        self.starts = np.flatnonzero(new)
+        self.group = (np.cumsum(new) - 1).reshape(values.shape)
+        self.row = self.starts // values.shape[1]
+
+    def ranks(self, common: np.ndarray) -> np.ndarray:
+        """Average rank of every value of every compound among the common samples, 0 elsewhere."""
+        taken = common[self.order] & self.present
+        counts = np.add.reduceat(taken.ravel(), self.starts, dtype=np.float64)
+        upto = np.cumsum(counts)
+        row_start = np.searchsorted(self.row, np.arange(len(self.has)))
+        before = upto - counts - (upto - counts)[row_start][self.row]
+        rank = (before + (counts + 1) / 2)[self.group] * taken
+        out = np.zeros(rank.shape)
+        np.put_along_axis(out, self.order, rank, 1)
+        return out
+
+    def ranks_of(self, k: int, common: np.ndarray) -> np.ndarray:
+        """Average rank of the values of one compound among each of several sets of common samples."""
+        order, present = self.order[k], self.present[k]
+        starts = self.starts[self.row == k] - k * len(order)
+        taken = common[:, order] & present
+        counts = np.add.reduceat(taken, starts, axis=1, dtype=np.float64)
+        rank = np.cumsum(counts, axis=1) - counts + (counts + 1) / 2
+        out = np.zeros(common.shape)
+        out[:, order] = rank[:, self.group[k] - self.group[k, 0]] * taken
+        return out
+
+
+def _rank_pairs(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    """Rank correlation of every compound pair of two blocks over the samples that have both."""
+    table = cells.pivot(index="compound", columns="sample", values="x")
+    blocks = cells.drop_duplicates("compound").set_index("compound")["block"]
+    left, right = ([c for c in table.index if blocks[c] == key[i]] for i in (0, 1))
+    rows = []
+    if left and right:
+        one, two = _Ordered(table.loc[left].to_numpy(float)), _Ordered(table.loc[right].to_numpy(float))
+        for i, name in enumerate(left):
+            mine, theirs = one.ranks_of(i, two.has), two.ranks(one.has[i])
+            n = (one.has[i] & two.has).sum(axis=1)
+            centre = n * ((n + 1) / 2) ** 2
+            spread = np.sqrt(((mine * mine).sum(axis=1) - centre) * ((theirs * theirs).sum(axis=1) - centre))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r = ((mine * theirs).sum(axis=1) - centre) / spread
+            for j, other in enumerate(right):
+                if n[j] and (key[0] != key[1] or name < other):
+                    rows.append((min(name, other), max(name, other), int(n[j]), float(r[j]) if spread[j] > 0 else None))
+    return pd.DataFrame(rows, columns=["a", "b", "n", "r"]).astype({"n": "int64", "r": "float64"})
+
+
+def _spearman_of_rows(cells: DataFrame) -> DataFrame:
     left = cells.select("sample", F.col("compound").alias("a"), F.col("conc").alias("xa"))
     right = cells.select("sample", F.col("compound").alias("b"), F.col("conc").alias("xb"))
     pairs = left.join(right, "sample").filter(F.col("a") < F.col("b"))
@@ -120,43 +196,162 @@ def strong_pairs(correlations: DataFrame, threshold: float = 0.5, k: int | None
     return out.orderBy(F.desc(F.abs("r")), "a", "b").limit(k) if k else out
 
 
-def principal_components(peaks: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame, list[float]]:
+def _small_products(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[np.ndarray]:
+    """Sum over all rows of the outer products of pairs of array columns. Tasks add up their own rows; what reaches the
+    driver are the sums, whose size follows the lengths of the arrays."""
+    names = sorted({c for pair in pairs for c in pair})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                blocks = {c: _matrix(batch.column(c)) for c in names}
+                part = [blocks[a].T @ blocks[b] for a, b in pairs]
+                total = part if total is None else [x + y for x, y in zip(total, part)]
+        if total is not None:
+            flat = np.concatenate([x.ravel() for x in total])
+            shapes = [n for x in total for n in x.shape]
+            yield pa.RecordBatch.from_arrays([pa.array([shapes], pa.list_(pa.int64())), pa.array([flat], pa.list_(pa.float64()))], ["shapes", "flat"])
+
+    parts = rows.select(*names).mapInArrow(run, "shapes array<long>, flat array<double>")
+    cells = parts.select("shapes", F.posexplode("flat").alias("pos", "x")).groupBy("shapes", "pos").agg(F.sum("x").alias("x")).collect()
+    flat = np.zeros(len(cells))
+    flat[[c["pos"] for c in cells]] = [c["x"] for c in cells]
+    out, at = [], 0
+    shapes = cells[0]["shapes"]
+    for a, b in zip(shapes[::2], shapes[1::2]):
+        out.append(flat[at : at + a * b].reshape(a, b))
+        at += a * b
+    return out
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _row_products(rows: DataFrame, **out: Sequence[tuple[str, np.ndarray]]) -> DataFrame:
+    """compound and, for each name, the sum of array columns times small matrices, row by row."""
+    used = sorted({c for parts in out.values() for c, _ in parts})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                arrays = [batch.column("compound")]
+                for parts in out.values():
+                    total = sum(_matrix(batch.column(c)) @ m for c, m in parts)
+                    arrays.append(pa.FixedSizeListArray.from_arrays(total.ravel(), total.shape[1]).cast(pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays(arrays, ["compound", *out])
+
+    return rows.select("compound", *used).mapInArrow(run, "compound string, " + ", ".join(f"{c} array<double>" for c in out))
+
+
+def _per_sample(cells: DataFrame, columns: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """Standardised table times vectors (compound, v): grp, sample, u0, u1, ... Missing cells are 0 before centring, so a
+    sample's sum over its own cells lacks one constant."""
+    weighted = vectors.join(columns, "compound").select("compound", "mean", *[(F.get("v", F.lit(i)) * F.col("weight")).alias(f"w{i}") for i in range(width)])
+    offsets = weighted.agg(F.array(*[F.coalesce(F.sum(F.col("mean") * F.col(f"w{i}")), F.lit(0.0)) for i in range(width)]).alias("o")).scalar()
+    sums = cells.join(weighted.drop("mean"), "compound").groupBy("grp", "sample").agg(*[F.sum(F.col("conc") * F.col(f"w{i}")).alias(f"u{i}") for i in range(width)])
+    return sums.withColumn("o", offsets).select("grp", "sample", *[(F.col(f"u{i}") - F.get("o", F.lit(i))).alias(f"u{i}") for i in range(width)])
+
+
+def _covariance_times(cells: DataFrame, columns: DataFrame, vectors: DataFrame, width: int, n: int) -> DataFrame:
+    """Covariance of the standardised columns times vectors, without the covariance: (compound, w)."""
+    scores = _per_sample(cells, columns, vectors, width)
+    # scores of a centred table sum to 0, so missing cells add nothing
+    sums = cells.join(scores, ["grp", "sample"]).groupBy("compound").agg(*[F.sum(F.col("conc") * F.col(f"u{i}")).alias(f"s{i}") for i in range(width)])
+    return sums.join(columns, "compound").select(
+        "compound", F.array(*[F.col(f"s{i}") * F.col("weight") / n for i in range(width)]).alias("w")
+    )
+
+
+def _turned(gram: np.ndarray, room: int) -> np.ndarray | None:
+    """What makes vectors with these products orthonormal, at most ``room`` of them; none if they vanish."""
+    sizes, axes = np.linalg.eigh(gram)
+    keep = (sizes > max(sizes.max(), 0) * 1e-12) & (np.arange(len(sizes)) >= len(sizes) - room)
+    return axes[:, keep] / np.sqrt(sizes[keep]) if keep.any() and sizes.max() > 1e-18 else None
+
+
+def principal_components(
+    peaks: DataFrame, k: int = 3, extra: int = 29, rounds: int = 40, tolerance: float = 1e-10
+) -> tuple[DataFrame, DataFrame, list[float]]:
     """Scores per sample, loadings per compound and the explained shares.
 
-    Missing cells are 0; columns are standardised with the population deviation. The largest loading of a component is
-    positive. The covariance is compounds x compounds, so its size follows the compound table and not the samples.
+    Missing cells are 0; columns are standardised with the population deviation, and a constant column is 0. The largest
+    loading of a component is positive.
+
+    Block Lanczos with ``k + extra`` vectors, in tables by compound: each round multiplies the newest block by the
+    covariance through the cells, makes it orthogonal to all blocks before, and solves the small eigenproblem in their
+    span, until the components satisfy the eigen equation to ``tolerance`` or the blocks span everything. The driver holds
+    matrices of the size of the span (at most ``rounds`` blocks), never a list of compounds or their covariance.
     """
-    cells = sample_means(peaks)
-    names = [r["compound"] for r in cells.select("compound").distinct().orderBy("compound").collect()]
-    spark = peaks.sparkSession
-    numbered = spark.createDataFrame(list(enumerate(names)), "pos int, compound string")
-    rows = (
-        cells.join(small_side(numbered), "compound")
-        .groupBy("grp", "sample")
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "conc"))).alias("m"))
-        .select(
-            "grp", "sample",
-            array_to_vector(
-                F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-            ).alias("x"),
-        )
-    )
-    n = rows.count()
-    k = min(k, n, len(names))
-    scaled = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True).fit(rows).transform(rows)
-    model = PCA(k=k, inputCol="z", outputCol="p").fit(scaled)
-    axes = model.pc.toArray()
-    signs = np.sign(axes[np.abs(axes).argmax(axis=0), range(k)])
-    to_population = math.sqrt(n / (n - 1)) if n > 1 else 1.0
-    projected = model.transform(scaled).withColumn("p", vector_to_array("p"))
-    scores = projected.select(
-        "grp", "sample", *[(F.get("p", F.lit(i)) * float(signs[i] * to_population)).alias(f"pc{i + 1}") for i in range(k)]
-    )
-    loadings = spark.createDataFrame(
-        [(name, *[float(v) for v in axes[i] * signs]) for i, name in enumerate(names)],
-        "compound string, " + ", ".join(f"pc{i + 1} double" for i in range(k)),
+    cells = cut_lineage(sample_means(peaks))
+    n = cells.select("grp", "sample").distinct().count()
+    present = cells.groupBy("compound").agg(F.count(F.lit(1)).alias("m"), F.avg("conc").alias("a"), F.var_pop("conc").alias("v"))
+    mean = F.col("a") * F.col("m") / n
+    spread = (F.col("m") * F.col("v") + F.col("m") * (F.col("a") - mean) * (F.col("a") - mean) + (n - F.col("m")) * mean * mean) / n
+    # rounding leaves a trace of variance in a constant column
+    weight = F.when(spread > mean * mean * 1e-24, F.lit(1.0) / F.sqrt(spread)).otherwise(F.lit(0.0))
+    columns = cut_lineage(present.select("compound", mean.alias("mean"), weight.alias("weight")))
+    size = columns.agg(F.count(F.lit(1)).alias("all"), F.coalesce(F.count_if(F.col("weight") > 0), F.lit(0)).alias("varied")).first()
+    k, varied = min(k, n, size["all"]), size["varied"]
+    width = k + extra
+
+    # the first block: numbers that depend on the compound alone
+    digit = lambda i: F.pmod(F.xxhash64("compound", F.lit(i)), F.lit(2_000_003)) / F.lit(1_000_001.0) - 1
+    block = cut_lineage(columns.filter("weight > 0").select("compound", F.array(*[digit(i) for i in range(width)]).alias("w")))
+    basis, span = None, 0
+    values, small = np.zeros(0), np.zeros((0, 0))
+    for _ in range(rounds if varied else 0):
+        # orthogonal to the basis, twice for accuracy, then among themselves; directions that vanish are left out
+        if basis is not None:
+            joined = basis.select("compound", "q").join(block, "compound")
+            (along,) = _small_products(joined, [("q", "w")])
+            once = _row_products(joined, q=[("q", np.eye(span))], w=[("w", np.eye(along.shape[1])), ("q", -along)])
+            again, gram = _small_products(once, [("q", "w"), ("w", "w")])
+            turned = _turned(gram - again.T @ again, varied - span)
+            block = _row_products(once, w=[("w", turned), ("q", -again @ turned)]) if turned is not None else None
+        else:
+            turned = _turned(_small_products(block, [("w", "w")])[0], varied)
+            block = _row_products(block, w=[("w", turned)])
+        if turned is None:
+            break
+        (gram,) = _small_products(block, [("w", "w")])
+        sizes, axes = np.linalg.eigh(gram)
+        newest = cut_lineage(_row_products(block, v=[("w", axes / np.sqrt(sizes))]))
+        added = len(sizes)
+        block = cut_lineage(_covariance_times(cells, columns, newest, added, n))
+        grown = newest.join(block, "compound")
+        if basis is not None:
+            grown = basis.join(grown, "compound").select("compound", F.concat("q", "v").alias("q"), F.concat("cq", "w").alias("cq"))
+        else:
+            grown = grown.select("compound", F.col("v").alias("q"), F.col("w").alias("cq"))
+        basis, span = cut_lineage(grown), span + added
+        (inner,) = _small_products(basis, [("q", "cq")])
+        found, axes = np.linalg.eigh((inner + inner.T) / 2)
+        order = np.argsort(found)[::-1][:k]
+        values, small = found[order], axes[:, order]
+        if span >= varied:
+            break
+        if len(values) == k:
+            (left,) = _small_products(_row_products(basis, r=[("cq", small), ("q", -small * values)]), [("r", "r")])
+            if (np.sqrt(np.diag(left)) <= tolerance * values[0]).all():
+                break
+    names = [f"pc{i + 1}" for i in range(k)]
+    if basis is None:
+        vectors = columns.select("compound", F.array(*[F.lit(0.0)] * k).alias("v"))
+        values = np.zeros(k)
+    else:
+        if len(values) < k:
+            small, values = np.pad(small, ((0, 0), (0, k - len(values)))), np.pad(values, (0, k - len(values)))
+        vectors = cut_lineage(_row_products(basis, v=[("q", small)]))
+        top = vectors.agg(*[F.max_by(F.get("v", F.lit(i)), F.struct(F.round(F.abs(F.get("v", F.lit(i))), 9), "compound")).alias(names[i]) for i in range(k)]).first()
+        signs = np.where(np.array(top) < 0, -1.0, 1.0)
+        vectors = cut_lineage(vectors.select("compound", F.array(*[F.get("v", F.lit(i)) * float(signs[i]) for i in range(k)]).alias("v")))
+    scores = _per_sample(cells, columns, vectors, k).select("grp", "sample", *[F.col(f"u{i}").alias(names[i]) for i in range(k)])
+    loadings = columns.select("compound").join(vectors, "compound", "left").select(
+        "compound", *[F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)).alias(names[i]) for i in range(k)]
     )
-    return scores, loadings, [float(v) for v in model.explainedVariance]
+    return scores, loadings, [float(v) / varied if varied else 0.0 for v in values]
 
 
 def confidence_ellipses(scores: DataFrame) -> DataFrame:

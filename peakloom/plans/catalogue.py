@@ -423,19 +423,52 @@ def _strong(spark, sf_dir):
     return correlation.strong_pairs(correlation.pearson(v.peaks(spark, sf_dir)))
 
 
-@query("pca_scores")
+def _component(i: int, matrix: str) -> str:
+    """The leading eigenvector of a symmetric matrix (a list of rows) by squaring, its largest value positive, and the matrix
+    without it."""
+    return f"""
+p{i} AS (SELECT 0 AS step, rows AS b FROM {matrix} UNION ALL
+  SELECT step + 1, list_transform(b, lambda r: list_transform(b, lambda c: list_dot_product(r, c) / t))
+  FROM (SELECT *, list_sum(list_transform(b, lambda d: list_dot_product(d, d))) AS t FROM p{i} WHERE step < 18) x),
+r{i} AS (SELECT arg_max(r, list_dot_product(r, r)) AS r FROM (SELECT unnest(b) AS r FROM p{i} WHERE step = 18) x),
+u{i} AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS r FROM r{i}),
+w{i} AS (SELECT list_transform(rows, lambda c: list_dot_product(c, r)) AS r FROM u{i}, {matrix}),
+a{i} AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS r FROM w{i}),
+v{i} AS (SELECT CASE WHEN list_max(r) >= -list_min(r) THEN r ELSE list_transform(r, lambda x: -x) END AS r FROM a{i}),
+e{i} AS (SELECT list_dot_product(r, list_transform(rows, lambda c: list_dot_product(c, r))) AS x FROM v{i}, {matrix}),
+m{i} AS (SELECT list_transform(rows, lambda c, k: list_transform(c, lambda y, l: y - x * r[k] * r[l])) AS rows FROM v{i}, e{i}, {matrix})"""
+
+
+# The table is standardised as a whole, its covariance formed, and one component after the other taken off it.
+_PCA = """WITH RECURSIVE c AS (SELECT grp, sample, compound, avg(conc) AS x FROM peaks WHERE compound IS NOT NULL GROUP BY ALL),
+rw AS (SELECT DISTINCT grp, sample FROM c),
+cn AS (SELECT compound, row_number() OVER (ORDER BY compound) AS j FROM (SELECT DISTINCT compound FROM c) x),
+f AS (SELECT rw.grp, rw.sample, cn.compound, cn.j, coalesce(c.x, 0) AS x FROM rw CROSS JOIN cn LEFT JOIN c ON c.grp = rw.grp AND c.sample = rw.sample AND c.compound = cn.compound),
+z AS (SELECT grp, sample, compound, j, coalesce((x - avg(x) OVER k) / nullif(stddev_pop(x) OVER k, 0), 0) AS z FROM f WINDOW k AS (PARTITION BY j)),
+cv AS (SELECT a.j AS ja, b.j AS jb, sum(a.z * b.z) / (SELECT count(*) FROM rw) AS x FROM z a JOIN z b ON a.grp = b.grp AND a.sample = b.sample GROUP BY 1, 2),
+m0 AS (SELECT list(r ORDER BY ja) AS rows FROM (SELECT ja, list(x ORDER BY jb) AS r FROM cv GROUP BY ja) y),""" + ",".join(
+    _component(i, f"m{i - 1}") for i in (1, 2, 3)
+) + """,
+ld AS (SELECT compound, j, v1.r[j] AS pc1, v2.r[j] AS pc2, v3.r[j] AS pc3 FROM cn, v1, v2, v3),
+sc AS (SELECT grp, sample, sum(z * pc1) AS pc1, sum(z * pc2) AS pc2, sum(z * pc3) AS pc3 FROM z JOIN ld USING (j) GROUP BY grp, sample)"""
+
+
+@query("pca_scores", _PCA + " SELECT grp, sample, round(pc1, 6) AS pc1, round(pc2, 6) AS pc2, round(pc3, 6) AS pc3 FROM sc")
 def _pca(spark, sf_dir):
     return rounded(correlation.principal_components(v.peaks(spark, sf_dir))[0])
 
 
-@query("pca_loadings")
+@query("pca_loadings", _PCA + " SELECT compound, round(pc1, 6) AS pc1, round(pc2, 6) AS pc2, round(pc3, 6) AS pc3 FROM ld")
 def _pca_loadings(spark, sf_dir):
     return rounded(correlation.principal_components(v.peaks(spark, sf_dir))[1])
 
 
-@query("pca_ellipses")
+@query("pca_ellipses", _PCA + """,
+g AS (SELECT grp, count(*) AS n, avg(pc1) AS cx, avg(pc2) AS cy, var_samp(pc1) AS a, var_samp(pc2) AS b, covar_samp(pc1, pc2) AS c FROM sc GROUP BY grp HAVING count(*) >= 3)
+SELECT grp, n, round(cx, 5) AS centre_x, round(cy, 5) AS centre_y, round(2 * sqrt(5.991 * ((a + b) / 2 - sqrt((a - b) ** 2 / 4 + c * c))), 5) AS width,
+       round(2 * sqrt(5.991 * ((a + b) / 2 + sqrt((a - b) ** 2 / 4 + c * c))), 5) AS height, round(degrees(atan2(2 * c, a - b)) / 2 + 90, 5) AS angle FROM g""")
 def _pca_ellipses(spark, sf_dir):
-    return rounded(correlation.confidence_ellipses(correlation.principal_components(v.peaks(spark, sf_dir))[0]))
+    return rounded(correlation.confidence_ellipses(correlation.principal_components(v.peaks(spark, sf_dir))[0]), 5)
 
 
 # ---------------------------------------------------------------- filters and samples
