@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from peakloom.llm.bpe import Codec
-from peakloom.llm.common import row_key, whole_text
+from peakloom.llm.common import whole_text
 from peakloom.session import cut_lineage
 
 CAPACITY = 2048
@@ -133,95 +135,137 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 
 def ranks_of(tokenizer: dict) -> list[bytes]:
-    """Tokens of a byte-level tokenizer file by id, special ones left out. Its characters stand for bytes: printable ones
+    """Tokens of a byte-level tokenizer file by id, added ones left out. Its characters stand for bytes: printable ones
     for themselves, the rest for code points from 256 on, in order."""
     itself = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in itself]
     byte = {chr(b): b for b in itself} | {chr(256 + i): b for i, b in enumerate(others)}
-    special = {t["id"] for t in tokenizer.get("added_tokens", [])}
-    vocabulary = sorted((i, t) for t, i in tokenizer["model"]["vocab"].items() if i not in special)
+    added = {t["id"] for t in tokenizer.get("added_tokens", [])}
+    vocabulary = sorted((i, t) for t, i in tokenizer["model"]["vocab"].items() if i not in added)
     return [bytes(byte[c] for c in t) for _, t in vocabulary]
 
 
-def tokenised(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of every row: doc_id, _key, piece, start, length, ids_crc32, ids. A row's ids end with ``end_id``.
+def added_tokens(tokenizer: dict) -> dict[str, int]:
+    """Tokens that the file's library takes out of a text before anything else, with their ids."""
+    found = tokenizer.get("added_tokens", [])
+    if any(t.get(flag) for t in found for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what stands beside them are not supported")
+    return {t["content"]: t["id"] for t in found}
+
+
+class Tokenizer:
+    """The encoder of one task: ids as the library of the tokenizer file gives them."""
+
+    def __init__(self, tokens: list[bytes], pattern: str, added: dict[str, int]) -> None:
+        import tiktoken
+
+        ranks = {t: i for i, t in enumerate(tokens)}
+        self.tokens, self.pattern, self.added = tokens, pattern, added
+        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.long_run = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}").search
+        self.careful: Codec | None = None
+        longest_first = sorted(added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if added else lambda text: [text]
+
+    def encode(self, text: str) -> list[int]:
+        parts = self.cut(text)
+        if len(parts) == 1:
+            return self.encode_plain(text)
+        return [i for n, part in enumerate(parts) for i in ([self.added[part]] if n % 2 else self.encode_plain(part))]
+
+    def encode_plain(self, text: str) -> list[int]:
+        if not self.long_run(text):
+            return self.fast.encode_ordinary(text)
+        self.careful = self.careful or Codec(self.tokens, self.pattern)
+        return self.careful.encode(text)
+
+
+_PIECE = ["piece", "start", "length", "ids_crc32", "ids"]
+
+
+def tokenised(
+    df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY, added_as_text: bool = False
+) -> DataFrame:
+    """Pieces of every row: doc_id, piece, start, length, ids_crc32, ids, and (block, row), which no other piece has. A
+    row's ids end with ``end_id``.
 
     The vocabulary comes from the tokenizer file, the merging from tiktoken: the ids are those of the file's own library
-    (tests compare them), which takes five times as long.
+    (tests compare them), which takes five times as long. Added tokens of the file that are written out in a text are these
+    tokens, unless ``added_as_text``. The block is a number drawn by the task, so the table must be written before it is
+    used twice.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
-        shared = df.sparkSession.sparkContext.broadcast(ranks_of(json.load(file)))
+        described = json.load(file)
+    added = {} if added_as_text else added_tokens(described)
+    shared = df.sparkSession.sparkContext.broadcast((ranks_of(described), added))
+    id_type = to_arrow_type(df.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        tokens = shared.value
-        fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
-        long_run, careful = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}"), None
+        tokens, special = shared.value
+        tokenizer, block, row = Tokenizer(tokens, pattern, special), uuid.uuid4().bytes, 0
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            keys, ids = batch.column("_key").to_pylist(), batch.column("doc_id").to_pylist()
-            for row, text in enumerate(batch.column("text")):
-                text = text.as_py()
-                if long_run.search(text):
-                    careful = careful or Codec(tokens, pattern)
-                    ids_here = careful.encode(text)
-                else:
-                    ids_here = fast.encode_ordinary(text)
-                raw = np.array([*ids_here, end_id], "<u4").tobytes()
+            columns: list[list] = [[] for _ in range(6)]
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                raw = np.array([*tokenizer.encode(text.as_py()), end_id], "<u4").tobytes()
                 n = len(raw) // 4
                 first = n if n <= capacity else n % capacity or capacity
                 start = 0
                 for number, stop in enumerate(range(first, n + 1, capacity)):
-                    for c, v in zip(columns, (
-                        ids[row], keys[row], number, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop]), np.frombuffer(raw, "<i4")[start:stop]
-                    )):
+                    ids = raw[4 * start : 4 * stop]
+                    for c, v in zip(columns, (doc_id, number, start, stop - start, zlib.crc32(ids), np.frombuffer(ids, "<i4"))):
                         c.append(v)
                     start = stop
-            types = [batch.schema.field("doc_id").type, pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            made = len(columns[0])
+            types = [id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "_key", "piece", "start", "length", "ids_crc32", "ids"]
+                [pa.array(c, t) for c, t in zip(columns, types)] + [pa.array([block] * made, pa.binary()), pa.array(range(row, row + made), pa.int64())],
+                ["doc_id", *_PIECE, "block", "row"],
             )
+            row += made
 
     shape = T.StructType([
-        df.schema["doc_id"], T.StructField("_key", T.BinaryType()), T.StructField("piece", T.IntegerType()),
-        *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")],
-        T.StructField("ids", T.ArrayType(T.IntegerType())),
+        df.schema["doc_id"], T.StructField("piece", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")],
+        T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("block", T.BinaryType()), T.StructField("row", T.LongType()),
     ])
-    return df.select("doc_id", row_key().alias("_key"), whole_text().alias("text")).mapInArrow(run, shape)
+    return df.select("doc_id", whole_text().alias("text")).mapInArrow(run, shape)
 
 
 def numbered(pieces: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Adds ``rank``, a number from 0 within the pieces of a length. A frequent length is numbered in many groups, whose
-    sizes are added up."""
+    """Adds ``rank``, a number from 0 within the pieces of a length, to (block, row, length). A frequent length is numbered in
+    many groups, whose sizes are added up."""
     groups = np.maximum(-(-counts // GROUP), 1)
     array = F.array(*[F.lit(int(g)) for g in groups])
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_key", "piece"), F.get(array, F.col("length").cast("int"))))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("block", "row"), F.get(array, F.col("length").cast("int"))))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("size"))
     before = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("length", "_salt", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("length", "_salt").orderBy("_key", "piece", "start")
+    inside = W.partitionBy("length", "_salt").orderBy("block", "row")
     ranked = salted.withColumn("_in", F.row_number().over(inside) - 1)
     return ranked.join(offsets, ["length", "_salt"]).withColumn("rank", F.col("_before") + F.col("_in")).drop("_salt", "_in", "_before")
 
 
-def pack(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pack(
+    df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, capacity: int = CAPACITY, added_as_text: bool = False
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, ids (its token ids), sequence_id, offset.
 
     Only documents longer than ``capacity`` are cut; all pieces but the first have full length. Null text counts as empty
     and has the end id alone. Equal rows are packed as often as they occur; an empty table gives no rows; other columns
-    are ignored. Special tokens written out in a text are ordinary text.
+    are ignored. Added tokens of the tokenizer file are taken as by its library.
+
+    A full piece is a sequence by itself, with a negative number, and goes nowhere. The others find their place by their
+    length and number alone; these narrow rows are shuffled and sorted, the ids are moved once and not sorted.
     """
-    pieces = cut_lineage(tokenised(df, tokenizer_path, pattern, end_id, capacity))
+    pieces = cut_lineage(tokenised(df, tokenizer_path, pattern, end_id, capacity, added_as_text))
+    part = F.col("length") < capacity
     counts = np.zeros(capacity + 1, np.int64)
-    for length, n in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+    for length, n in pieces.filter(part).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[length] = n
     slots = plan(counts, capacity)
     # a long key makes one search of all slots: length and rank together
     width = np.int64(max(int(counts.max()), 1))
     starts = slots[:, 0] * width + slots[:, 1]
     shared = df.sparkSession.sparkContext.broadcast((slots, starts))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, first = shared.value
@@ -230,7 +274,13 @@ def pack(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, capa
             slot = table[np.searchsorted(first, length * width + rank, "right") - 1]
             inside = rank - slot[:, 1]
             sequence, offset = slot[:, 4] + inside % slot[:, 2], slot[:, 3] + inside // slot[:, 2] * length
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names[:6]] + [pa.array(sequence), pa.array(offset)], names)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("row"), pa.array(sequence), pa.array(offset)], ["block", "row", "sequence_id", "offset"])
 
-    shape = T.StructType([pieces.schema[n] for n in names[:6]] + [T.StructField(n, T.LongType()) for n in names[6:]])
-    return numbered(pieces, counts).select(*names[:6], "rank").mapInArrow(place, shape)
+    names = ["doc_id", *_PIECE, "sequence_id", "offset"]
+    narrow = numbered(pieces.filter(part).select("block", "row", "length"), counts).select("block", "row", "length", "rank")
+    placed = narrow.mapInArrow(place, "block binary, row long, sequence_id long, offset long")
+    short = pieces.filter(part).join(placed.hint("shuffle_hash"), ["block", "row"]).select(*names)
+    full = pieces.filter(~part).select(
+        "doc_id", *_PIECE, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    return short.unionByName(full)

@@ -129,7 +129,6 @@ def test_packing(docs, empty):
 
     path, pattern = queries.vocabulary("byte_bpe_50k.json"), queries.token_pattern()
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     pieces = packing.pack(docs, path, pattern).toPandas()
     text = {r[0]: r[1] or "" for r in ROWS}
     for i in (1, 4, 7, 9):
