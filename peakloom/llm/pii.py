@@ -29,7 +29,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+_TRIGGER = re.compile(r"[0-9@]|[\[({<]at[\])}>]|(?<=\x20)at\x20(?=[A-Za-z0-9-]+\x20dot\x20)", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -188,7 +188,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, tags: np.ndarray) -> tupl
     return float((total - gold).mean()), g
 
 
-def train(windows: np.ndarray, tags: np.ndarray, steps: int = 260, batch: int = 48, seed: int = 5) -> dict[str, np.ndarray]:
+def train(windows: np.ndarray, tags: np.ndarray, steps: int = 500, batch: int = 64, seed: int = 5) -> dict[str, np.ndarray]:
     """Adam on random batches of labelled windows."""
     rng, p = np.random.default_rng(seed), initial()
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
@@ -204,20 +204,53 @@ def train(windows: np.ndarray, tags: np.ndarray, steps: int = 260, batch: int =
     return p
 
 
-def respelled(kind: int, text: str, rng: np.random.Generator) -> str:
-    """The same data in a form that the patterns do not take."""
+def _email_forms(text: str) -> list[str]:
+    user, _, host = text.partition("@")
+    user, dotted, spelled = user.strip("."), host.replace(".", "[dot]"), host.replace(".", " dot ")
+    return [
+        f"{user}(at){host}", f"{user}[at]{host}", f"{user} (at) {host}", f"{user} [at] {host}", f"{user} at {spelled}", f"{user}[at]{dotted}",
+        f"{user}(at){host.replace('.', '(dot)')}", f"{user} @ {host}", f"{user} [at] {host.replace('.', ' [dot] ')}", f"{user.replace('.', ' dot ')} at {spelled}",
+        f"{user}{{at}}{host}", f"{user} AT {host.replace('.', ' DOT ')}", f"{user} <at> {host}",
+    ]
+
+
+def _ip_forms(text: str) -> list[str]:
+    return [text.replace(".", sign) for sign in ("[.]", "(.)", " . ", "[dot]", " dot ", "{.}")]
+
+
+def _card_forms(text: str) -> list[str]:
     digits = _digits(text)
-    if kind == 0:
-        user, _, host = text.partition("@")
-        mark = ["(at)", "[at]", " (at) ", " [at] "][rng.integers(4)]
-        return f"{user.strip('.')}{mark}{host}"
-    if kind == 2:
-        sign = [".", "_", "/"][rng.integers(3)]
-        return sign.join(digits[i : i + 4] for i in range(0, len(digits), 4))
-    if kind == 3:
-        d = digits[-10:].rjust(10, "5")
-        return [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"00{digits[:-10] or 1} {d[:3]} {d[3:6]} {d[6:]}"][rng.integers(4)]
-    return text
+    fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+    other = [digits[:4], digits[4:10], digits[10:]] if len(digits) == 15 else fours
+    return [sign.join(fours) for sign in (".", "_", "/", "  ")] + [sign.join(other) for sign in (".", "_", " - ", " . ")]
+
+
+def _phone_forms(text: str) -> list[str]:
+    digits = _digits(text)
+    d, code = digits[-10:].rjust(10, "5"), digits[:-10].lstrip("0") or "1"
+    return [
+        f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"00{code} {d[:3]} {d[3:6]} {d[6:]}",
+        f"0{d[:2]} {d[2:9]}", f"0{d[:3]} {d[3:6]} {d[6:]}", f"({code}) {d[:3]}-{d[3:6]}-{d[6:]}", f"{code}-{d[:3]}-{d[3:6]}-{d[6:]}", f"0{d[:3]}-{d[3:]}",
+        f"00{code}.{d[:3]}.{d[3:6]}.{d[6:]}", f"({d[:3]}){d[3:6]}-{d[6:]}", f"0{d[:3]}/{d[3:]}", f"{d[:3]} {d[3:6]} {d[6:]}",
+    ]
+
+
+#: The same data in forms that the patterns do not take, by kind.
+FORMS = [_email_forms, _ip_forms, _card_forms, _phone_forms]
+
+
+def _look_alike(rng: np.random.Generator) -> str:
+    """Numbers and signs that are no personal data: versions, dates, times, prices, keys, book numbers, series."""
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    year, month, day = f"20{number(2)}", f"{rng.integers(1, 13):02d}", f"{rng.integers(1, 29):02d}"
+    return [
+        f"version {number(1)}.{number(1)}", f"{number(1)}.{number(2)}.{number(1)}", f"{year}-{month}-{day}", f"{day}.{month}.{year}", f"{month}/{day}/{year}",
+        f"{year}-{month}-{day} {number(2)}:{number(2)}:{number(2)}", f"${number(3)}.{number(2)}", number(int(rng.integers(1, 14))), f"{number(2)}:{number(2)}",
+        "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, 40)), f"CC BY {number(1)}.0", f"@{chr(97 + int(rng.integers(26)))}home",
+        f"AKIA{number(12)}", f"{number(3)},{number(3)}", f"978-{number(1)}-{number(2)}-{number(6)}-{number(1)}", f"pp. {number(3)}-{number(3)}",
+        f"{number(4)} {number(4)} {number(4)}", f"looked at {number(2)} dots", f"no. {number(6)}-{number(3)}", f"{number(1)}.{number(8)}",
+        f"{number(4)}-{number(4)}-{number(4)}", f"met at noon", f"{number(2)} {number(2)} {number(2)} {number(2)}", f"{number(3)}.{number(3)}.{number(3)}",
+    ][rng.integers(24)]
 
 
 def _made_up(kind: int, rng: np.random.Generator) -> str:
@@ -233,9 +266,11 @@ def _made_up(kind: int, rng: np.random.Generator) -> str:
     return f"+{rng.integers(1, 99)} ({number(3)}) {number(3)}-{number(4)}"
 
 
-def labelled_windows(texts: list[str], windows: int = 3000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags: spans of the sample as they stand or respelled, made-up ones in between, and windows of other
-    numbers (versions, dates, keys) without a span."""
+def labelled_windows(
+    texts: list[str], windows: int = 4000, seed: int = 7, left_out: frozenset[tuple[int, int]] = frozenset()
+) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and tags: spans of the sample as they stand or respelled, made-up ones in between, and windows of look-alikes
+    without a span. ``left_out``: (kind, form) pairs that are not shown, to measure how the tagger does on unseen forms."""
     rng = np.random.default_rng(seed)
     spans = [(k, t[a:b]) for t in texts for a, k, b in pattern_spans(t)]
     plain = [t for t in texts if len(t) > 40] or ["the text around a number is made of words, as here and there in any other document"]
@@ -243,21 +278,17 @@ def labelled_windows(texts: list[str], windows: int = 3000, seed: int = 7) -> tu
     for row in range(windows):
         text = plain[rng.integers(len(plain))]
         at = int(rng.integers(0, max(1, len(text) - WINDOW)))
-        around = re.sub(r"[0-9@+]", "", text[at : at + 2 * WINDOW]).ljust(2 * WINDOW, " ")
+        around = re.sub(r"[0-9@+]", "", text[at : at + 2 * WINDOW]).replace("\n", " ").ljust(2 * WINDOW, " ")
         cut = int(rng.integers(0, WINDOW - 10))
         choice = rng.random()
         kind = -1
-        if choice < 0.75:
+        if choice < 0.65:
             kind, value = spans[rng.integers(len(spans))] if spans and rng.random() < 0.5 else (k := int(rng.integers(4)), _made_up(k, rng))
-            if rng.random() < 0.5:
-                value = respelled(kind, value, rng)
+            if rng.random() < 0.7:
+                shown = [f for n, f in enumerate(FORMS[kind](value)) if (kind, n) not in left_out]
+                value = shown[rng.integers(len(shown))]
         elif choice < 0.95:
-            number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-            value = [
-                f"version {number(1)}.{number(1)}", f"20{number(2)}-0{number(1)}-1{number(1)}", f"${number(3)}.{number(2)}", number(int(rng.integers(1, 8))),
-                "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, 40)), f"{number(2)}:{number(2)}", f"CC BY {number(1)}.0", f"@{chr(97 + int(rng.integers(26)))}home",
-                f"AKIA{number(12)}", f"{number(3)},{number(3)}",
-            ][rng.integers(10)]
+            value = _look_alike(rng)
         else:
             value = ""
         gap = " " if rng.random() < 0.9 else ""
@@ -304,20 +335,55 @@ def decode(p: dict[str, np.ndarray], stretches: list[np.ndarray]) -> list[np.nda
 
 
 _EDGE = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float64)
-_FORM = [
-    re.compile(r"[A-Za-z0-9._%+-]+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-    re.compile(r"[0-9]{4}(?:[._/][0-9]{4}){3}"),
-    re.compile(r"(?:00[0-9]{1,3}\x20)?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}"),
-]
+# What a span of a kind must be, in whatever form: an address has its two marks, numbers the digits of their kind.
+_ADDRESS = re.compile(
+    r"[A-Za-z0-9._%+-]+(?:\x20dot\x20[A-Za-z0-9]+)*\x20?(?:@|[\[({<]at[\])}>]|(?<=\x20)at(?=\x20))\x20?"
+    r"[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({]dot[\])}]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+",
+    re.IGNORECASE,
+)
+_QUAD = re.compile(r"([0-9]{1,3})(\x20?(?:[\[({](?:\.|dot)[\])}]|\.|dot)\x20?)([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})")
+_GROUPS = re.compile(r"[0-9]+(?:[\x20._/-]{1,3}[0-9]+)+")
+_CALL = re.compile(r"(?:\([0-9]{1,4}\)|[0-9]{1,5})(?:[\x20./-]{0,2}(?:\([0-9]{1,4}\)|[0-9]+))+")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}.*|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}.*|97[89][-\x20].*")
 
 
 def _valid(kind: int, text: str, start: int, stop: int) -> bool:
-    """A tagged span counts only as a whole token of the form of its kind: the tagger decides among look-alikes."""
+    """Whether a tagged span can be of its kind and ends where its token does; among look-alikes the tagger decides."""
     value = text[start:stop]
-    if not _FORM[kind].fullmatch(value) or start and (text[start - 1].isalnum() or text[start - 1] == "+") or text[stop : stop + 1].isalnum():
+    before, after = text[max(start - 2, 0) : start], text[stop : stop + 2]
+    if before[-1:].isalnum() or before.endswith("+") or after[:1].isalnum():
+        return False
+    # a number that goes on behind a sign is longer than the span
+    if kind and (re.fullmatch(r"[0-9][-./_]", before) or re.fullmatch(r"[-./_][0-9]", after)):
         return False
-    return kind != 2 or luhn(_digits(value))
+    if kind == 0:
+        return _ADDRESS.fullmatch(value) is not None
+    if kind == 1:
+        quad = _QUAD.fullmatch(value)
+        return quad is not None and quad.group(2) != "." and all(int(quad.group(n)) <= 255 for n in (1, 3, 4, 5))
+    digits = _digits(value)
+    if kind == 2:
+        return 14 <= len(digits) <= 19 and _GROUPS.fullmatch(value) is not None and luhn(digits)
+    groups = re.findall(r"[0-9]+", value)
+    # without a trunk or country zero or an area in brackets, groups as in numbers of ten digits
+    dialled = value[0] in "0(" or (len(digits) - 10 in range(4) and [len(g) for g in groups][-3:] == [3, 3, 4])
+    return 9 <= len(digits) <= 15 and len(groups) > 1 and dialled and _CALL.fullmatch(value) is not None and _DATE.fullmatch(value) is None
+
+
+_FORM = [_ADDRESS, _QUAD, _GROUPS, _CALL]
+#: Characters on both sides of a tagged stretch in which its token may begin and end.
+REACH = 48
+
+
+def _token(kind: int, text: str, start: int, stop: int) -> tuple[int, int] | None:
+    """The token of the kind's form that a tagged stretch marks by half or more: the tagger says where and what, the form
+    where it begins and ends."""
+    low = max(start - REACH, 0)
+    for m in _FORM[kind].finditer(text, low, min(stop + REACH, len(text))):
+        a, b = m.span()
+        if 2 * (min(b, stop) - max(a, start)) >= b - a and _valid(kind, text, a, b):
+            return a, b
+    return None
 
 
 def tagged_spans(p: dict[str, np.ndarray], texts: list[str]) -> list[list[Span]]:
@@ -358,17 +424,35 @@ def tagged_spans(p: dict[str, np.ndarray], texts: list[str]) -> list[list[Span]]
             while b < len(tags) and tags[b] == tags[a] + 1:
                 b += 1
             kind = int(tags[a]) // 2
-            if _valid(kind, texts[n], start + a, start + b):
-                found[n].append((start + a, kind, start + b))
+            token = _token(kind, texts[n], start + a, start + b)
+            if token and not any(token[0] < s[2] and s[0] < token[1] for s in found[n]):
+                found[n].append((token[0], kind, token[1]))
     return found
 
 
-def find(df: DataFrame, max_texts: int = 400) -> DataFrame:
+#: Pieces that a text gives to the training, and their length.
+MOST_PIECES, PIECE = 8, 4 * WINDOW
+
+
+def _training_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few pieces of each text around its pattern spans, evenly chosen, or its beginning."""
+    for batch in batches:
+        hashes, out = [], []
+        for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+            spans = pattern_spans(text)
+            picked = spans[:: -(-len(spans) // MOST_PIECES)] if spans else [(PIECE // 2, 0, 0)]
+            for start, _, _ in picked:
+                hashes.append(h)
+                out.append(text[max(start - PIECE // 2, 0) : start + PIECE // 2])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(out, pa.string())], ["h", "piece"])
+
+
+def find(df: DataFrame, max_texts: int = 400, steps: int = 500) -> DataFrame:
     """One row per input row: doc_id, base and spans, arrays of (start, kind, stop) sorted by start and kind.
 
     ``base`` are the spans of the patterns, ``spans`` all of them; a tagged span that overlaps a pattern's is dropped.
     Positions are code points, ends exclusive. The tagger is trained on at most ``max_texts`` texts with a digit or an
-    at-sign, chosen by hash. Null text counts as empty and has no spans. Equal texts get equal results; an empty table
+    at-sign, chosen by hash, in ``steps`` batches. Null text counts as empty and has no spans. Equal texts get equal results; an empty table
     gives no rows; other columns are ignored.
     """
     rows = df.select("doc_id", whole_text().alias("text"))
@@ -376,8 +460,10 @@ def find(df: DataFrame, max_texts: int = 400) -> DataFrame:
     # numbers are ordered, not texts; then each chosen text comes once, however many copies it has
     chosen = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(max_texts).collect()]
     few = hashed.filter(F.col("h") <= max(chosen)) if chosen else hashed.limit(0)
-    texts = [r.text for r in few.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").collect()]
-    shared = df.sparkSession.sparkContext.broadcast(train(*labelled_windows(texts)))
+    # a text gives a bounded number of short pieces, however long it is
+    pieces = few.groupBy("h").agg(F.first("text").alias("text")).mapInArrow(_training_pieces, "h long, piece string")
+    texts = [r.piece for r in pieces.orderBy("h", "piece").collect()]
+    shared = df.sparkSession.sparkContext.broadcast(train(*labelled_windows(texts), steps=steps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
