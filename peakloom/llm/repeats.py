@@ -122,10 +122,10 @@ def _count(pos):  # noqa: ANN001, ANN202
 
 
 _CUT = pa.schema([
-    ("anchor", pa.int64()), ("slice", pa.int32()), ("stretch", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("offset", pa.int32()),
+    ("anchor", pa.int64()), ("slice", pa.int32()), ("stretch", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()),
     ("suffixes", pa.int32()), ("before", pa.int32()), ("copies", pa.int64()), ("bytes", pa.binary()),
 ])
-_CUT_SQL = "anchor long, slice int, stretch long, key binary, start long, offset int, suffixes int, before int, copies long, bytes binary"
+_CUT_SQL = "anchor long, slice int, stretch long, key long, start long, offset int, suffixes int, before int, copies long, bytes binary"
 
 
 def _slices_of(place: int, count: int, slices: int) -> Iterator[tuple[int, int, int]]:
@@ -253,12 +253,13 @@ def _solved(block: pa.Table, every: bool) -> pa.RecordBatch:
     hit = hit[copies[owner[hit]] == 1]
     start = block.column("start").to_numpy()[owner[hit]] + offset[hit]
     return pa.RecordBatch.from_arrays(
-        [block.column("key").take(pa.array(owner[hit])).combine_chunks(), pa.array(start), pa.array(start + length[hit])], schema=_SPAN
+        [block.column("key").take(pa.array(owner[hit])).combine_chunks(), pa.array(start << 10 | length[hit])], schema=_SPAN
     )
 
 
 _MEMBER = pa.schema([("group", pa.binary()), ("length", pa.int64()), ("anchor", pa.int64()), ("stretch", pa.int64()), ("offset", pa.int32())])
-_SPAN = pa.schema([("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
+#: ``span`` holds the start and, in the last ten bits, the length: no span is longer than a stretch.
+_SPAN = pa.schema([("key", pa.int64()), ("span", pa.int64())])
 
 
 def _repeat_rows(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
@@ -365,13 +366,13 @@ def _span_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of sorted suffixes that share 200 bytes or more with the one before or after, in stretches that occur once."""
     stream, held = _Stream(), None
     for batch in chain(batches, [None]):
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], []]
         rows = [(None, 0, b"", 0, 1)] if batch is None else zip(*[batch.column(c).to_pylist() for c in ("key", "start", "bytes", "before", "copies")])
         for key, start, data, before, copies in rows:
             shared = stream.add(data, before)
             if held is not None and held[2] == 1 and max(held[3], shared):
-                for c, v in zip(out, (held[0], held[1], held[1] + max(held[3], shared))):
-                    c.append(v)
+                out[0].append(held[0])
+                out[1].append(held[1] << 10 | max(held[3], shared))
             held = (key, start, copies, shared)
         stream.found.clear()
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SPAN)], schema=_SPAN)
@@ -381,8 +382,12 @@ class _Corpus:
     """Written tables: anchored stretches of all texts whose anchor occurs again, and what is known about them."""
 
     def __init__(self, df: DataFrame) -> None:
-        docs = _keyed(df)
-        found = docs.select("key", "text").mapInArrow(_anchor_rows, "anchor long, stretch long, key binary, pos long")
+        # texts get numbers, which need less room than digests in the many rows below; equal rows have one text
+        distinct = _keyed(df).groupBy("row_key").agg(F.count(F.lit(1)).alias("times"), F.first("text").alias("text"))
+        self.texts = cut_lineage(distinct.withColumn("key", F.monotonically_increasing_id()))
+        # that a text occurs twice is all that matters
+        each = self.texts.select("key", "text", F.explode(F.array_repeat(F.lit(0), F.least("times", F.lit(2)).cast("int"))))
+        found = each.select("key", "text").mapInArrow(_anchor_rows, "anchor long, stretch long, key long, pos long")
         again = cut_lineage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
         #: one row per stretch of each text
         self.rows = cut_lineage(found.join(again, "anchor", "left_semi"))
@@ -394,9 +399,6 @@ class _Corpus:
         self.unclear = cut_lineage(self.stretches.groupBy("anchor").agg(
             F.count(F.lit(1)).alias("distinct"), F.min("copies").alias("least")
         ).filter("distinct > 1"))
-        keys = cut_lineage(self.rows.select("key").distinct())
-        # equal rows have one key: their text is taken once
-        self.texts = cut_lineage(docs.select("key", "text").join(keys, "key").groupBy("key").agg(F.first("text").alias("text")))
 
     def copied(self) -> DataFrame:
         """Rows of stretches that occur several times. A stretch that very many rows share is looked up by several tasks."""
@@ -426,16 +428,16 @@ class _Corpus:
 
 def _keyed(df: DataFrame) -> DataFrame:
     # equal rows share a key and its results
-    return df.select("doc_id", row_key().alias("key"), whole_text().alias("text"))
+    return df.select("doc_id", row_key().alias("row_key"), whole_text().alias("text"))
 
 
 def _spans(corpus: _Corpus) -> DataFrame:
-    """(key, start, stop) that together cover every byte of a repeated 200-byte string."""
-    stop = _first(F.col("pos")) + _count(F.col("pos")) + (LENGTH - 1)
-    by_copies = corpus.copied().select("key", _first(F.col("pos")).alias("start"), stop.alias("stop"))
+    """(key, span) that together cover every byte of a repeated 200-byte string."""
+    length = _count(F.col("pos")) + (LENGTH - 1)
+    by_copies = corpus.copied().select("key", F.shiftleft(_first(F.col("pos")), 10).bitwiseOR(length).alias("span"))
     # where every stretch of an anchor occurs several times, nothing is left to find out
-    by_suffixes = corpus.in_memory("least = 1", False, "key binary, start long, stop long")
-    by_sort = corpus.sorted_suffixes("least = 1").mapInArrow(_span_sorted, "key binary, start long, stop long")
+    by_suffixes = corpus.in_memory("least = 1", False, "key long, span long")
+    by_sort = corpus.sorted_suffixes("least = 1").mapInArrow(_span_sorted, "key long, span long")
     return by_copies.unionByName(by_suffixes).unionByName(by_sort)
 
 
@@ -469,16 +471,18 @@ def repeat_groups(df: DataFrame) -> DataFrame:
     placed = corpus.rows.withColumn("_salt", salt).join(salted, ["anchor", "stretch", "_salt"]).select(
         "group", "length", "key", (_first(F.col("pos")) + F.col("offset")).alias("start")
     ).distinct()
-    return placed.join(_keyed(df).select("key", "doc_id"), "key").select("group", "length", "doc_id", "start")
+    rows = placed.join(corpus.texts.select("key", "row_key"), "key")
+    return rows.join(_keyed(df).select("row_key", "doc_id"), "row_key").select("group", "length", "doc_id", "start")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in range(4)]
-        for text, key, spans in zip(batch.column("text"), batch.column("key").to_pylist(), batch.column("spans")):
+        for text, key, spans in zip(batch.column("text"), batch.column("row_key").to_pylist(), batch.column("spans")):
             data = text.as_buffer().to_pybytes()
-            values = spans.values
-            start, stop = values.field("start").to_numpy(), values.field("stop").to_numpy()
+            packed = spans.values.to_numpy()
+            start = packed >> 10
+            stop = start + (packed & 1023)
             order = np.argsort(start, kind="stable")
             start, reach = start[order], np.maximum.accumulate(stop[order])
             new = np.append(True, start[1:] > reach[:-1])
@@ -488,7 +492,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c.append(v)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.binary()))],
-            ["key", "n_removed", "n_spans", "kept"],
+            ["row_key", "n_removed", "n_spans", "kept"],
         )
 
 
@@ -501,13 +505,13 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     other. An empty table gives no rows; other columns are ignored.
     """
     corpus = _Corpus(df)
-    spans = _spans(corpus).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    removed = corpus.texts.join(spans, "key").select("key", "text", "spans").mapInArrow(
-        _remove, "key binary, n_removed long, n_spans long, kept binary"
+    spans = _spans(corpus).groupBy("key").agg(F.collect_list("span").alias("spans"))
+    removed = corpus.texts.join(spans, "key").select("row_key", "text", "spans").mapInArrow(
+        _remove, "row_key binary, n_removed long, n_spans long, kept binary"
     )
-    plain = _keyed(df).select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("whole"))
+    plain = _keyed(df).select("doc_id", "row_key", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("whole"))
     zero = F.lit(0).cast("long")
-    return plain.join(removed, "key", "left").select(
+    return plain.join(removed, "row_key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("kept", "whole").alias("kept"),
     )
