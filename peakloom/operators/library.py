@@ -7,6 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from peakloom.operators.kovats import name_parts
+from peakloom.session import cut_lineage
+
 # Which source wins when two entries share a CAS number.
 SOURCE_PRIORITY = {"builtin_msp": 3, "mona_json": 2, "msp_file": 2, "nist_webbook_csv": 1}
 
@@ -173,7 +176,7 @@ def class_shares(classified: DataFrame) -> DataFrame:
 
 
 # Default rules: category names in order of precedence with a few keywords each. They are a short form; names that only a
-# longer table knows come out differently. The full table is a parameter (``read_category_rules``).
+# longer table knows come out differently. A table of any length is a parameter, as data (``rules_table``, ``categorized``).
 CATEGORY_RULES = [
     ("ester", ["ester", "lactone", "acetate", "butyrate", "phthalate", "benzoate"]),
     ("solvent/VOC", ["solvent", "methanol", "ethanol", "acetone", "benzene", "toluene", "xylene", "hexane", "decane"]),
@@ -220,3 +223,35 @@ def category(name: Column, rules: Sequence[tuple[str, Sequence[str]]] = CATEGORY
 
 def category_counts(library: DataFrame, rules: Sequence[tuple[str, Sequence[str]]] = CATEGORY_RULES) -> DataFrame:
     return library.groupBy(category(F.col("name"), rules).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rules_table(spark, path: str) -> DataFrame:  # noqa: ANN001
+    """Rules from a JSON-lines file with ``category`` and ``keywords``, as (priority, category, keyword); line order is
+    precedence. The priority orders the lines whatever their number and however the file was split."""
+    rows = spark.read.schema("category string, keywords array<string>").json(path, lineSep="\n")
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return cut_lineage(rows.select(place.alias("priority"), "category", F.explode("keywords").alias("keyword")))
+
+
+def categorized(names: DataFrame, rules: DataFrame) -> DataFrame:
+    """M21 by an index over the keywords: (name, category) of each distinct name, other/niche without a keyword.
+
+    ``rules``: priority, category, keyword. The substrings of a name that have the length of some keyword meet the keywords
+    by equality, and the smallest priority wins, so the work follows the names and not names times keywords.
+    """
+    words = rules.select("priority", "category", F.lower("keyword").alias("keyword")).filter(F.col("keyword") != "")
+    first = words.groupBy("keyword").agg(F.min(F.struct("priority", "category")).alias("rule"))
+    distinct = names.select("name").distinct()
+    lowered = distinct.select(F.lower("name").alias("text")).distinct()
+    lengths = words.agg(F.collect_set(F.length("keyword")).alias("l")).scalar()
+    parts = name_parts(lowered, "text", F.coalesce(lengths, F.array().cast("array<int>")), "keyword")
+    best = parts.join(first, "keyword").groupBy("text").agg(F.min("rule").alias("rule"))
+    found = distinct.join(best, F.lower("name") == F.col("text"), "left")
+    return found.select("name", F.coalesce("rule.category", F.lit("other/niche")).alias("category"))
+
+
+def counts_by_rules(library: DataFrame, rules: DataFrame) -> DataFrame:
+    """Entries per category of ``categorized``."""
+    counts = library.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    named = categorized(library, rules)
+    return counts.join(named, counts["name"].eqNullSafe(named["name"])).groupBy("category").agg(F.sum("n").alias("n"))

@@ -134,15 +134,45 @@ c AS (SELECT compound, n_a, n_b, mean_a, mean_b, mean_a / mean_b AS fold_change,
        CASE WHEN fdr < 0.001 THEN '***' WHEN fdr < 0.01 THEN '**' WHEN fdr < 0.05 THEN '*' ELSE 'ns' END AS significant FROM q)"""
 
 
-def _comparison(spark, sf_dir):
-    return compare.compare_groups(v.peaks(spark, sf_dir), "G0", "G1", rank_test=False)
+def _comparison(spark, sf_dir, rank_test=False):
+    return compare.compare_groups(v.peaks(spark, sf_dir), "G0", "G1", rank_test=rank_test)
+
+
+# Mann-Whitney: ranks with ties; the exact tail counts orders of m and n values one value at a time, the normal one is a
+# power series of erf.
+_RANKS = """
+rk AS (SELECT compound, grp, conc, rank() OVER (PARTITION BY compound ORDER BY conc) + (count(*) OVER (PARTITION BY compound, conc) - 1) / 2.0 AS r
+       FROM peaks WHERE grp IN ('G0', 'G1') AND conc IS NOT NULL),
+tt AS (SELECT compound, sum(t * t * t - t) AS tie FROM (SELECT compound, conc, CAST(count(*) AS DOUBLE) AS t FROM rk GROUP BY 1, 2) x GROUP BY 1),
+us AS (SELECT compound, count(*) FILTER (WHERE grp = 'G0') AS a, count(*) FILTER (WHERE grp = 'G1') AS b, sum(r) FILTER (WHERE grp = 'G0') AS s FROM rk GROUP BY 1),
+uv AS (SELECT compound, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, s - a * (a + 1) / 2.0 AS u, tie FROM us JOIN tt USING (compound) WHERE a >= 2 AND b >= 2),
+ut AS (SELECT *, greatest(u, a * b - u) AS top, tie = 0 AND least(a, b) <= 8 AND a * b <= 4000000 AS exact FROM uv),
+lim AS (SELECT coalesce(max(least(a, b)), 0) AS most_m, coalesce(max(greatest(a, b)), 0) AS most_n FROM ut WHERE exact),
+seq AS (SELECT 0 AS level, 0 AS m, 0 AS n, 0 AS u, CAST(1 AS DOUBLE) AS c UNION ALL
+        SELECT level + 1, m, n, u, sum(c) FROM (
+          SELECT level, m + 1 AS m, n, u + n AS u, c FROM seq, lim WHERE m < most_m
+          UNION ALL SELECT level, m, n + 1, u, c FROM seq, lim WHERE n < most_n) x GROUP BY ALL),
+ex AS (SELECT compound, least(1.0, 2 * sum(c) FILTER (WHERE seq.u >= top) / sum(c)) AS p FROM ut JOIN seq ON exact AND seq.m = least(a, b) AND seq.n = greatest(a, b) GROUP BY compound),
+nz AS (SELECT compound, (top - a * b / 2 - 0.5) / sqrt(a * b / 12 * ((a + b + 1) - tie / ((a + b) * (a + b - 1)))) / sqrt(2) AS z FROM ut
+       WHERE NOT exact AND (a + b + 1) - tie / ((a + b) * (a + b - 1)) > 0),
+no AS (SELECT compound, CASE WHEN z > 5 THEN 0.0 WHEN z <= 0 THEN 1.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(120),
+         lambda i: (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * i + 1) * ln(z) - lgamma(i + 1)) / (2 * i + 1))) END AS p FROM nz),
+mw AS (SELECT compound, p FROM ex UNION ALL SELECT compound, p FROM no)"""
+
+
+@query("compare_groups", "WITH RECURSIVE " + _WELCH.removeprefix("WITH ") + "," + _RANKS + """
+SELECT c.compound, n_a, n_b, round(mean_a, 8) AS mean_a, round(mean_b, 8) AS mean_b, round(fold_change, 6) AS fold_change,
+       round(log2_fc, 6) AS log2_fc, round(cohens_d, 6) AS cohens_d, effect_size, round(t_statistic, 6) AS t_statistic,
+       round(p_value_t, 6) AS p_value_t, round(p_value_fdr, 6) AS p_value_fdr, significant, round(mw.p, 6) AS p_value_mwu FROM c LEFT JOIN mw ON mw.compound = c.compound""")
+def _compare_groups(spark, sf_dir):
+    return rounded(_comparison(spark, sf_dir, rank_test=True), 6, mean_a=8, mean_b=8)
 
 
-@query("compare_groups", _WELCH + """
+@query("compare_groups_welch", _WELCH + """
 SELECT compound, n_a, n_b, round(mean_a, 8) AS mean_a, round(mean_b, 8) AS mean_b, round(fold_change, 6) AS fold_change,
        round(log2_fc, 6) AS log2_fc, round(cohens_d, 6) AS cohens_d, effect_size, round(t_statistic, 6) AS t_statistic,
        round(p_value_t, 6) AS p_value_t, round(p_value_fdr, 6) AS p_value_fdr, significant FROM c""")
-def _compare_groups(spark, sf_dir):
+def _compare_groups_welch(spark, sf_dir):
     return rounded(_comparison(spark, sf_dir), 6, mean_a=8, mean_b=8)
 
 
@@ -198,9 +228,10 @@ def _rank_sums(spark, sf_dir):
     return compare.rank_sums(v.peaks(spark, sf_dir), "G0", "G1")
 
 
-@query("mann_whitney")
+@query("mann_whitney", "WITH RECURSIVE " + _RANKS.strip() + """
+SELECT uv.compound, u, tie AS tie_term, CAST(a AS BIGINT) AS n_a, CAST(b AS BIGINT) AS n_b, round(p, 6) AS p_value FROM uv LEFT JOIN mw USING (compound)""")
 def _mann_whitney(spark, sf_dir):
-    return compare.mann_whitney(v.peaks(spark, sf_dir), "G0", "G1")
+    return rounded(compare.mann_whitney(v.peaks(spark, sf_dir), "G0", "G1"))
 
 
 @query("result_diff", """
@@ -888,49 +919,49 @@ def _combine_sources(spark, sf_dir):
 # ---------------------------------------------------------------- library
 
 @query("library_dedup", """
-WITH n AS (SELECT spec_id, count(*) AS n_peaks FROM spectra GROUP BY spec_id),
+WITH n AS (SELECT spec_id, count(*) AS n_peaks FROM spectra_all GROUP BY spec_id),
 k AS (SELECT lib_id, CASE WHEN cas IS NULL THEN concat('name:', name) ELSE concat('cas:', cas) END AS key, load_seq,
        CASE WHEN cas IS NULL THEN 0 WHEN source = 'builtin_msp' THEN 3 WHEN source = 'msp_file' THEN 2 ELSE 1 END AS pr,
-       CASE WHEN cas IS NULL THEN 0 ELSE n_peaks END AS sz, name, cas, source, n_peaks FROM library_rows JOIN n ON spec_id = lib_id WHERE n_peaks >= 3)
+       CASE WHEN cas IS NULL THEN 0 ELSE n_peaks END AS sz, name, cas, source, n_peaks FROM library_all JOIN n ON spec_id = lib_id WHERE n_peaks >= 3)
 SELECT lib_id, name, cas, source, CAST(n_peaks AS INT) AS n_peaks FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pr DESC, sz DESC, load_seq) AS r FROM k) x WHERE r = 1""",
-    ("spectra", "library_rows"))
+    ("spectra_all", "library_all"))
 def _dedup(spark, sf_dir):
-    return lib_ops.deduplicate(v.library(spark, sf_dir)).select("lib_id", "name", "cas", "source", F.size("peaks").alias("n_peaks"))
+    return lib_ops.deduplicate(v.whole_library(spark, sf_dir)).select("lib_id", "name", "cas", "source", F.size("peaks").alias("n_peaks"))
 
 
-@query("library_summary", "SELECT count(*) AS total_entries, count(DISTINCT cas) AS total_unique_cas FROM library_rows", ("library_rows",))
+@query("library_summary", "SELECT count(*) AS total_entries, count(DISTINCT cas) AS total_unique_cas FROM library_all", ("library_all",))
 def _library_summary(spark, sf_dir):
-    return lib_ops.summary(v.library(spark, sf_dir))
+    return lib_ops.summary(v.whole_library(spark, sf_dir))
 
 
-@query("library_sources", "SELECT source, count(*) AS n FROM library_rows GROUP BY source", ("library_rows",))
+@query("library_sources", "SELECT source, count(*) AS n FROM library_all GROUP BY source", ("library_all",))
 def _library_sources(spark, sf_dir):
-    return lib_ops.entries_by_source(v.library(spark, sf_dir))
+    return lib_ops.entries_by_source(v.whole_library(spark, sf_dir))
 
 
 @query("search_by_name", """
-SELECT lib_id, name, cas, formula, source, CAST(n AS INT) AS n_peaks FROM library_rows JOIN (SELECT spec_id, count(*) AS n FROM spectra GROUP BY spec_id) ON spec_id = lib_id
-WHERE contains(name, 'red') ORDER BY name <> 'red', n DESC, lib_id LIMIT 20""", ("spectra", "library_rows"))
+SELECT lib_id, name, cas, formula, source, CAST(coalesce(n, 0) AS INT) AS n_peaks FROM library_all LEFT JOIN (SELECT spec_id, count(*) AS n FROM spectra_all GROUP BY spec_id) ON spec_id = lib_id
+WHERE contains(name, 'red') ORDER BY name <> 'red', coalesce(n, 0) DESC, lib_id LIMIT 20""", ("spectra_all", "library_all"))
 def _by_name(spark, sf_dir):
-    return lib_ops.search_by_name(v.library(spark, sf_dir), " Red ")
+    return lib_ops.search_by_name(v.whole_library(spark, sf_dir), " Red ")
 
 
 @query("search_by_cas", """
-SELECT name, cas, formula, source, CAST(n AS INT) AS n_peaks FROM library_rows JOIN (SELECT spec_id, count(*) AS n FROM spectra GROUP BY spec_id) ON spec_id = lib_id
-WHERE cas = '110-00-8'""", ("spectra", "library_rows"))
+SELECT name, cas, formula, source, CAST(coalesce(n, 0) AS INT) AS n_peaks FROM library_all LEFT JOIN (SELECT spec_id, count(*) AS n FROM spectra_all GROUP BY spec_id) ON spec_id = lib_id
+WHERE cas = '110-00-8'""", ("spectra_all", "library_all"))
 def _by_cas(spark, sf_dir):
-    return lib_ops.search_by_cas(v.library(spark, sf_dir), "110-00-8").drop("peaks")
+    return lib_ops.search_by_cas(v.whole_library(spark, sf_dir), "110-00-8").drop("peaks")
 
 
 @query("filter_library", """
-SELECT lib_id, compound_class, class_confidence FROM library_rows WHERE compound_class IN ('food_flavor', 'natural_product', 'other') AND class_confidence >= 0.3""", ("library_rows",))
+SELECT lib_id, compound_class, class_confidence FROM library_all WHERE compound_class IN ('food_flavor', 'natural_product', 'other') AND class_confidence >= 0.3""", ("library_all",))
 def _filter_library(spark, sf_dir):
-    return filters.filter_library(v.library(spark, sf_dir)).select("lib_id", "compound_class", "class_confidence")
+    return filters.filter_library(v.whole_library(spark, sf_dir)).select("lib_id", "compound_class", "class_confidence")
 
 
-@query("usable_entries", "SELECT spec_id AS lib_id, CAST(count(*) AS INT) AS n_peaks FROM spectra WHERE spec_id % 2 = 0 GROUP BY spec_id HAVING count(*) >= 45", ("spectra",))
+@query("usable_entries", "SELECT spec_id AS lib_id, CAST(count(*) AS INT) AS n_peaks FROM spectra_all GROUP BY spec_id HAVING count(*) >= 45", ("spectra_all",))
 def _usable(spark, sf_dir):
-    return filters.usable_entries(v.library(spark, sf_dir), 45).select("lib_id", F.size("peaks").alias("n_peaks"))
+    return filters.usable_entries(v.whole_library(spark, sf_dir), 45).select("lib_id", F.size("peaks").alias("n_peaks"))
 
 
 def _part_sql(parts, at_end, inside):
@@ -943,8 +974,8 @@ def _part_sql(parts, at_end, inside):
     return "CAST(" + " + ".join(terms) + " AS DOUBLE)"
 
 
-_CLASSIFY = f"""WITH a AS (SELECT lib_id, lower(trim(name)) AS nm, upper(coalesce(formula, '')) AS fm, n_peaks FROM library_rows
-   JOIN (SELECT spec_id, count(*) AS n_peaks FROM spectra GROUP BY spec_id) ON spec_id = lib_id),
+_CLASSIFY = f"""WITH a AS (SELECT lib_id, lower(trim(name)) AS nm, upper(coalesce(formula, '')) AS fm, coalesce(n_peaks, 0) AS n_peaks FROM library_all
+   LEFT JOIN (SELECT spec_id, count(*) AS n_peaks FROM spectra_all GROUP BY spec_id) ON spec_id = lib_id),
 b AS (SELECT *, {_part_sql(lib_ops.FLAVOR_PARTS, 1.5, 0.5)} AS f0, {_part_sql(lib_ops.PHARMA_PARTS, 2, 1)} AS p0, {_part_sql(lib_ops.INDUSTRIAL_PARTS, 2, 2)} AS i0,
    {_part_sql(lib_ops.NATURAL_PARTS, 1, 1)} AS t0, length(fm) - length(replace(fm, 'N', '')) AS cn, length(fm) - length(replace(fm, 'S', '')) AS cs FROM a),
 c AS (SELECT *, p0 + CASE WHEN cn >= 2 THEN cn - 1 ELSE 0 END + CASE WHEN contains(fm, 'P') OR contains(fm, 'CL') OR contains(fm, 'BR') THEN 1 ELSE 0 END AS p1,
@@ -955,14 +986,14 @@ e AS (SELECT lib_id, CASE WHEN s[1] <= 0.5 THEN 'other' WHEN f1 = s[1] THEN 'foo
    round(least(1.0, (s[1] - s[2]) / 3.0 + 0.3), 6) AS class_confidence FROM d)"""
 
 
-@query("classify", _CLASSIFY + " SELECT * FROM e", ("spectra", "library_rows"))
+@query("classify", _CLASSIFY + " SELECT * FROM e", ("spectra_all", "library_all"))
 def _classify(spark, sf_dir):
-    return rounded(lib_ops.classify(v.library(spark, sf_dir)).select("lib_id", "compound_class", "class_confidence"))
+    return rounded(lib_ops.classify(v.whole_library(spark, sf_dir)).select("lib_id", "compound_class", "class_confidence"))
 
 
-@query("class_shares", _CLASSIFY + " SELECT compound_class, count(*) AS n, round(count(*) / (SELECT count(*) FROM e) * 100, 1) AS pct FROM e GROUP BY compound_class", ("spectra", "library_rows"))
+@query("class_shares", _CLASSIFY + " SELECT compound_class, count(*) AS n, round(count(*) / (SELECT count(*) FROM e) * 100, 1) AS pct FROM e GROUP BY compound_class", ("spectra_all", "library_all"))
 def _class_shares(spark, sf_dir):
-    return lib_ops.class_shares(lib_ops.classify(v.library(spark, sf_dir)))
+    return lib_ops.class_shares(lib_ops.classify(v.whole_library(spark, sf_dir)))
 
 
 _RULES = [("metal", ["bolt", "gear", "ring"]), ("colour", ["red", "blue"]), ("size", ["small", "large"])]
@@ -970,9 +1001,30 @@ _RULES = [("metal", ["bolt", "gear", "ring"]), ("colour", ["red", "blue"]), ("si
 
 @query("categorize", """
 SELECT CASE WHEN regexp_matches(lower(name), 'bolt|gear|ring') THEN 'metal' WHEN regexp_matches(lower(name), 'red|blue') THEN 'colour'
-            WHEN regexp_matches(lower(name), 'small|large') THEN 'size' ELSE 'other/niche' END AS category, count(*) AS n FROM library_rows GROUP BY 1""", ("library_rows",))
+            WHEN regexp_matches(lower(name), 'small|large') THEN 'size' ELSE 'other/niche' END AS category, count(*) AS n FROM library_all GROUP BY 1""", ("library_all",))
 def _categorize(spark, sf_dir):
-    return lib_ops.category_counts(v.library(spark, sf_dir), _RULES)
+    return lib_ops.category_counts(v.whole_library(spark, sf_dir), _RULES)
+
+
+# Keywords cut out of all names, by the hundred, in 25 categories; a keyword of several rules counts for the first.
+_EXTRA["keyword_rules"] = """
+SELECT CAST(p_partkey AS BIGINT) AS priority, concat('class ', CAST(p_partkey % 25 AS STRING)) AS category,
+       substr(p_name, 1 + p_partkey % 5, 3 + p_partkey % 4) AS keyword FROM part"""
+
+
+@query("categorized_names", """
+SELECT o.name, coalesce(arg_min(r.category, r.priority), 'other/niche') AS category FROM odd_names o
+LEFT JOIN keyword_rules r ON contains(lower(o.name), lower(r.keyword)) AND r.keyword <> '' GROUP BY o.name""", ("odd_names", "keyword_rules"))
+def _categorized(spark, sf_dir):
+    return lib_ops.categorized(extra(spark, sf_dir, "odd_names"), extra(spark, sf_dir, "keyword_rules"))
+
+
+@query("category_table", """
+WITH c AS (SELECT l.lib_id, coalesce(arg_min(r.category, r.priority), 'other/niche') AS category FROM library_all l
+  LEFT JOIN keyword_rules r ON contains(lower(l.name), lower(r.keyword)) AND r.keyword <> '' GROUP BY l.lib_id)
+SELECT category, count(*) AS n FROM c GROUP BY category""", ("library_all", "keyword_rules"))
+def _category_table(spark, sf_dir):
+    return lib_ops.counts_by_rules(v.view(spark, sf_dir, "library_all"), extra(spark, sf_dir, "keyword_rules"))
 
 
 # ---------------------------------------------------------------- retention index
@@ -988,15 +1040,20 @@ def _named_anchors(spark, sf_dir):
     return kovats.named_anchors(extra(spark, sf_dir, "standards"))
 
 
+# A standard run with well separated peaks: one per size of a part, in the order of the sizes, and small ones in between.
+_EXTRA["ladder"] = """
+SELECT 'Ladder.D' AS sample, concat('RT_', CAST(p_size AS STRING)) AS compound, CAST(900 + count(*) * 5 AS DOUBLE) AS area,
+       2 + CAST(p_size * 610 + (p_size * p_size * 7) % 190 AS DOUBLE) / 1000 AS rt FROM part GROUP BY p_size"""
+
+
 @query("spaced_anchors", """
-WITH RECURSIVE f AS (SELECT DISTINCT rt FROM peaks WHERE area >= 90000 AND sample = (SELECT min(sample) FROM peaks WHERE area >= 90000)),
+WITH RECURSIVE f AS (SELECT DISTINCT rt FROM ladder WHERE area >= 1000),
 s AS (SELECT median(d) * 0.6 AS step FROM (SELECT rt - lag(rt) OVER (ORDER BY rt) AS d FROM f) g WHERE d > 0.5),
 w AS (SELECT 8 AS carbon, min(rt) AS rt FROM f UNION ALL
       SELECT carbon + 1, (SELECT min(f.rt) FROM f, s WHERE f.rt - w.rt > step) FROM w WHERE carbon < 30 AND w.rt IS NOT NULL)
-SELECT carbon, rt FROM w WHERE rt IS NOT NULL""")
+SELECT carbon, rt FROM w WHERE rt IS NOT NULL""", ("ladder",))
 def _spaced_anchors(spark, sf_dir):
-    # strong peaks only: a standard run has well separated peaks
-    return kovats.spaced_anchors(filters.min_area(v.peaks(spark, sf_dir), 90000))
+    return kovats.spaced_anchors(extra(spark, sf_dir, "ladder"))
 
 
 @query("kovats_ri", _ANCHORS + """,
@@ -1055,39 +1112,39 @@ def _response_ids(spark, sf_dir):
 
 
 @query("enrichment_worklist", """
-SELECT lib_id, name FROM library_rows l WHERE cas IS NULL AND length(trim(name)) BETWEEN 3 AND 100
-AND lower(trim(name)) NOT IN (SELECT lower(name) FROM ri_ref WHERE ri > 2500) AND lower(trim(name)) NOT IN (SELECT lower(name) FROM ri_ref WHERE ri < 1000)""", ("library_rows", "ri_ref"))
+SELECT lib_id, name FROM library_all l WHERE cas IS NULL AND length(trim(name)) BETWEEN 3 AND 100
+AND lower(trim(name)) NOT IN (SELECT lower(name) FROM ri_ref WHERE ri > 2500) AND lower(trim(name)) NOT IN (SELECT lower(name) FROM ri_ref WHERE ri < 1000)""", ("library_all", "ri_ref"))
 def _worklist(spark, sf_dir):
     refs = v.ri_ref(spark, sf_dir)
     return enrichment.worklist(
-        v.library(spark, sf_dir), refs.filter("ri > 2500"), refs.filter("ri < 1000"), missing="cas"
+        v.whole_library(spark, sf_dir), refs.filter("ri > 2500"), refs.filter("ri < 1000"), missing="cas"
     ).select("lib_id", "name")
 
 
 @query("ri_upsert", """
-WITH n AS (SELECT name, max(ri_exp) AS ri FROM library_rows WHERE ri_exp IS NOT NULL GROUP BY name)
-SELECT name, ri FROM n UNION ALL SELECT name, ri FROM ri_ref WHERE name NOT IN (SELECT name FROM n)""", ("library_rows", "ri_ref"))
+WITH n AS (SELECT name, max(ri_exp) AS ri FROM library_all WHERE ri_exp IS NOT NULL GROUP BY name)
+SELECT name, ri FROM n UNION ALL SELECT name, ri FROM ri_ref WHERE name NOT IN (SELECT name FROM n)""", ("library_all", "ri_ref"))
 def _upsert(spark, sf_dir):
-    new = v.library(spark, sf_dir).filter("ri_exp IS NOT NULL").groupBy("name").agg(F.max("ri_exp").alias("ri"))
+    new = v.whole_library(spark, sf_dir).filter("ri_exp IS NOT NULL").groupBy("name").agg(F.max("ri_exp").alias("ri"))
     return enrichment.upsert(new, v.ri_ref(spark, sf_dir).select("name", "ri"))
 
 
 @query("enrichment_progress", """
-WITH w AS (SELECT DISTINCT name FROM library_rows), r AS (SELECT name, n >= 32 AS found FROM ri_ref WHERE ri > 2000)
+WITH w AS (SELECT DISTINCT name FROM library_all), r AS (SELECT name, n >= 32 AS found FROM ri_ref WHERE ri > 2000)
 SELECT count(*) AS checked, count(*) FILTER (WHERE found) AS found, round(count(*) FILTER (WHERE found) * 100.0 / count(*), 1)::DOUBLE AS hit_rate_pct,
-       (SELECT count(*) FROM w WHERE name NOT IN (SELECT name FROM r)) AS remaining FROM r""", ("library_rows", "ri_ref"))
+       (SELECT count(*) FROM w WHERE name NOT IN (SELECT name FROM r)) AS remaining FROM r""", ("library_all", "ri_ref"))
 def _progress(spark, sf_dir):
     results = v.ri_ref(spark, sf_dir).filter("ri > 2000").select("name", (F.col("n") >= 32).alias("found"))
-    return enrichment.progress(v.library(spark, sf_dir).select("name").distinct(), results)
+    return enrichment.progress(v.whole_library(spark, sf_dir).select("name").distinct(), results)
 
 
 @query("msp_roundtrip", """
-SELECT l.name, l.cas, l.formula, l.ri_exp, l.compound_class, CAST(count(*) AS INT) AS n_peaks, CAST(sum(mz * intensity) AS BIGINT) AS checksum
-FROM library_rows l JOIN spectra s ON s.spec_id = l.lib_id GROUP BY l.lib_id, l.name, l.cas, l.formula, l.ri_exp, l.compound_class""", ("spectra", "library_rows"))
+SELECT l.name, l.cas, l.formula, l.ri_exp, l.compound_class, CAST(count(s.spec_id) AS INT) AS n_peaks, CAST(coalesce(sum(mz * intensity), 0) AS BIGINT) AS checksum
+FROM library_all l LEFT JOIN spectra_all s ON s.spec_id = l.lib_id GROUP BY l.lib_id, l.name, l.cas, l.formula, l.ri_exp, l.compound_class""", ("spectra_all", "library_all"))
 def _msp_roundtrip(spark, sf_dir):
     from peakloom.sources import libraries, sinks
 
-    text = sinks.msp_text(v.library(spark, sf_dir))
+    text = sinks.msp_text(v.whole_library(spark, sf_dir))
     back = libraries.parse_msp(libraries.msp_records(text))
     return back.select(
         "name", "cas", "formula", "ri_exp", "compound_class", F.size("peaks").alias("n_peaks"),

@@ -19,7 +19,6 @@ SELECT concat('G', l_suppkey % 3) AS grp,
        l_quantity * (100 + 10 * (l_suppkey % 3)) / 1000 AS conc,
        CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(50 + l_quantity AS INT) END AS match_factor
 FROM lineitem JOIN part ON p_partkey = l_partkey
-WHERE (l_suppkey + CAST(substr(p_brand, 7) AS INT)) % 11 <> 0
 """
 
 TIC = """
@@ -45,6 +44,9 @@ FROM (SELECT vec_id, label, ion_idx,
 WHERE intensity >= 150
 """
 
+# All ions of all spectra.
+SPECTRA_ALL = SPECTRA.replace("WHERE intensity >= 150\n", "")
+
 # Measured m/z, between 0.7 and 1.7 apart in their order of numbers, in other places in each spectrum; all ions.
 SPECTRA_FINE = """
 SELECT vec_id AS spec_id, label, ion_idx, CAST(40000 + ion_idx * 700 + (vec_id * 37 + ion_idx * 11) % 970 AS DOUBLE) / 1000 AS mz,
@@ -67,6 +69,9 @@ SELECT p_partkey AS lib_id, p_partkey AS load_seq, p_name AS name,
 FROM part WHERE p_partkey % 2 = 0 AND p_partkey IN (SELECT vec_id FROM embeddings)
 """
 
+# Every part is an entry; those without a vector have no ions.
+LIBRARY_ALL = LIBRARY.replace("FROM part WHERE p_partkey % 2 = 0 AND p_partkey IN (SELECT vec_id FROM embeddings)", "FROM part")
+
 RI_REF = """
 SELECT CAST(min(p_partkey) AS INT) AS ord, p_name AS name,
        CAST(401 + min(p_partkey) * 97 % 3500 AS DOUBLE) AS ri, CAST(count(*) AS INT) AS n
@@ -76,11 +81,12 @@ FROM part GROUP BY p_name
 RT_LIBRARY = """
 SELECT CAST(p_partkey AS INT) AS ord, p_name AS name, lower(p_type) AS cat,
        2 + CAST((p_partkey * p_partkey * 31 + p_partkey * 17) % 30011 AS DOUBLE) / 1000 + CAST(p_size AS DOUBLE) / 200 AS rt_est
-FROM part WHERE p_partkey % 25 = 0
+FROM part
 """
 
 TEXTS = {
-    "peaks": PEAKS, "tic": TIC, "tic_gaps": TIC_GAPS, "spectra": SPECTRA, "spectra_fine": SPECTRA_FINE, "library_rows": LIBRARY, "ri_ref": RI_REF, "rt_library": RT_LIBRARY,
+    "peaks": PEAKS, "tic": TIC, "tic_gaps": TIC_GAPS, "spectra": SPECTRA, "spectra_all": SPECTRA_ALL, "spectra_fine": SPECTRA_FINE,
+    "library_all": LIBRARY_ALL, "library_rows": LIBRARY, "ri_ref": RI_REF, "rt_library": RT_LIBRARY,
 }
 
 
@@ -120,6 +126,13 @@ def library(spark: SparkSession, sf_dir: str, ions: str = "spectra") -> DataFram
     return cut_lineage(view(spark, sf_dir, "library_rows").join(packed, "lib_id"))
 
 
+def whole_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries with all their ions."""
+    packed = collect_spectra(view(spark, sf_dir, "spectra_all"), "spec_id").withColumnRenamed("spec_id", "lib_id")
+    rows = view(spark, sf_dir, "library_all").join(packed, "lib_id", "left")
+    return cut_lineage(rows.withColumn("peaks", F.coalesce("peaks", F.array().cast("array<struct<mz:double,intensity:int>>"))))
+
+
 def queries(spark: SparkSession, sf_dir: str, ions: str = "spectra") -> DataFrame:
     """Odd spectra as queries, two in three with a measured index."""
     ions = view(spark, sf_dir, ions).filter(F.col("spec_id") % 2 == 1)

@@ -24,6 +24,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
+#: Scratch folders of local sessions by application: Spark takes the setting at its start only.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -35,8 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"master {master} needs a shared folder: set spark.checkpoint.dir")
-        folder = tempfile.mkdtemp(prefix="peakloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="peakloom-checkpoint-")
+        folder = _LOCAL_FOLDERS[application]
     return folder.rstrip("/")
 
 
