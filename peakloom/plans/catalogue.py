@@ -107,10 +107,10 @@ def integers(df: DataFrame, *columns: str) -> DataFrame:
 def _student_tail(source: str) -> str:
     """Two-sided p of (compound, t, df) rows by Simpson's rule on the angle form of the t density."""
     return f"""(SELECT compound,
-  2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * max((pi() / 2 - atan(abs(t) / sqrt(df))) / 2000) / 3 *
-  sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) *
-      pow(greatest(0, cos(atan(abs(t) / sqrt(df)) + i * (pi() / 2 - atan(abs(t) / sqrt(df))) / 2000)), df - 1)) AS p
-  FROM {source}, generate_series(0, 2000) g(i) GROUP BY compound, t, df)"""
+  2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * max((pi() / 2 - atan(abs(t) / sqrt(df))) / 20000) / 3 *
+  sum((CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) *
+      pow(greatest(0, cos(atan(abs(t) / sqrt(df)) + i * (pi() / 2 - atan(abs(t) / sqrt(df))) / 20000)), df - 1)) AS p
+  FROM {source}, generate_series(0, 20000) g(i) GROUP BY compound, t, df)"""
 
 
 _MOMENTS = """WITH m AS (
