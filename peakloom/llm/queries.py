@@ -161,6 +161,106 @@ QUERIES = {
 WS = r"[\x20\x09-\x0D]"
 
 CHECKS = {
+    "op2_near_dedup": rf"""
+        with recursive d as (
+            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '') as w, row_number() over () as rid from documents
+        ), n as (
+            select *, array_to_string(w, ' ') as body, len(w) as size from d
+        ), t as (
+            select body, any_value(w) as w, any_value(size) as size, min(rid) as node from n where size > 0 group by body
+        ), s as (
+            select node, unnest(case when size < 5 then [body]
+                else list_transform(range(size - 4), lambda i: array_to_string(list_slice(w, i + 1, i + 5), ' ')) end) as shingle from t
+        ), c as (
+            -- a shingle that occurs k times is k cells
+            select node, shingle, row_number() over (partition by node, shingle) as k from s
+        ), z as (
+            select node, count(*) as size from c group by node
+        ), l as (
+            select a.node as a, b.node as b from c a join c b on a.shingle = b.shingle and a.k = b.k and a.node < b.node
+            join z x on x.node = a.node join z y on y.node = b.node
+            where 10 * x.size >= 8 * y.size and 10 * y.size >= 8 * x.size
+            group by a.node, b.node, x.size, y.size having 10 * count(*) >= 8 * (x.size + y.size - count(*))
+        ), e as (
+            select a, b from l union all select b, a from l
+        ), r(node, root) as (
+            select node, node from t union select e.b, r.root from r join e on e.a = r.node
+        ), m as (
+            select node, min(root) as comp from r group by node
+        ), f as (
+            select doc_id, coalesce('c' || comp, 'd' || doc_id) as comp from n left join t on t.body = n.body and n.size > 0 left join m on m.node = t.node
+        )
+        select doc_id, min(doc_id) over (partition by comp) as class_id, count(*) over (partition by comp) as class_size from f
+    """,
+    "op8_line_rules": rf"""
+        with d as (
+            select row_number() over () as rid, doc_id, coalesce(source, '') as host, coalesce(text, '') as t,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '') as w from documents
+        ), b as (
+            select *, len(w) as n_words, length(regexp_replace(t, '{WS}', '', 'g')) as word_chars,
+                length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols from d
+        ), p as (
+            select rid, doc_id, host, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as pos from d
+        ), q as (
+            select *, trim(regexp_replace(line, '{WS}+', ' ', 'g')) as norm,
+                len(list_filter(regexp_split_to_array(line, '{WS}+'), lambda w: w <> '')) as words from p
+        ), u as (
+            select rid, count(*) - count(distinct line) as n_dup_lines from q where words > 0 group by rid
+        ), h as (
+            select host, greatest(20, count(distinct doc_id) * 0.01) as most from d group by host
+        ), k as (
+            select q.host, norm from q join h on h.host = q.host where words > 0 group by q.host, norm, most having count(distinct doc_id) > most
+        ), g as (
+            select q.*, k.norm is not null as gone from q left join k on k.host = q.host and k.norm = q.norm and q.words > 0
+        ), a as (
+            select rid, coalesce(sum(words) filter (where gone), 0) as removed, coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text from g group by rid
+        ), x as (
+            select rid, unnest(range(len(w) - 7)) as i, w from d where len(w) > 7
+        ), y as (
+            select rid, i, md5(array_to_string(list_slice(w, i + 1, i + 8), ' ')) as gram from x
+        ), v as (
+            select rid, i from y qualify count(*) over (partition by rid, gram) > 1
+        ), o as (
+            select rid, sum(least(8, coalesce(nxt - i, 8))) as n_repeat_words from (select *, lead(i) over (partition by rid order by i) as nxt from v) j group by rid
+        ), f as (
+            select b.*, coalesce(n_dup_lines, 0) as dup, coalesce(n_repeat_words, 0) as rep, removed, text from b
+            left join u using (rid) left join o using (rid) left join a using (rid)
+        ), j as (
+            select *, n_words < 20 or 100 * rep > 30 * n_words as failed, removed > 0 and n_words - removed < n_words * 0.3 as empty from f
+        )
+        select doc_id, n_words, word_chars, n_symbols, dup as n_dup_lines, rep::bigint as n_repeat_words, failed as base_failed,
+            removed::bigint as n_removed_words, empty as depleted, not failed and not empty as kept, sha256(text) as kept_sha256 from j
+    """,
+    "op9_repeats": """
+        with d as (
+            select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
+        ), p as (
+            select rid, h, unnest(range(n - 199)) as i from d where n >= 200
+        ), s as (
+            select rid, i, md5(substr(h, 2 * i + 1, 400)) as string from p
+        ), r as (
+            select rid, i from s qualify count(*) over (partition by string) > 1
+        ), o as (
+            select *, coalesce(i - lag(i) over (partition by rid order by i) > 200, true) as new from r
+        ), k as (
+            select *, sum(new::int) over (partition by rid order by i) as span from o
+        ), g as (
+            select rid, span, min(i) as start, max(i) + 200 as stop from k group by rid, span
+        ), c as (
+            -- what lies before each span, and what is left after the last one
+            select rid, start, substr(h, 2 * coalesce(lag(stop) over (partition by rid order by start), 0) + 1,
+                2 * (start - coalesce(lag(stop) over (partition by rid order by start), 0))) as piece from g join d using (rid)
+            union all
+            select rid, max(stop), substr(any_value(h), 2 * max(stop) + 1) from g join d using (rid) group by rid
+        ), t as (
+            select rid, string_agg(piece, '' order by start) as kept from c group by rid
+        ), x as (
+            select rid, sum(stop - start) as n_removed, count(*) as n_spans from g group by rid
+        )
+        select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+            sha256(unhex(coalesce(kept, h))) as kept_sha256
+        from d left join x using (rid) left join t using (rid)
+    """,
     "op6_exact_dedup": rf"""
         with d as (
             select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '{WS}', '', 'g') as body from documents
