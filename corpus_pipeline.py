@@ -51,7 +51,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No stage but line removal can be written in SQL; the operators have their own tests, the pipeline as a whole has none.
+#: No stage but line removal can be written in SQL; tests/llm/test_pipeline.py follows rows through all stages in plain Python.
 ORACLE_SQL = None
 
 

@@ -60,7 +60,7 @@ def remove_spread_lines(df: DataFrame, site: str = "source", min_sites: int = 10
         F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(lost)), lambda i: F.get(F.col(all_lines), i)
     )
     names = [c for c in df.columns if c not in ("n_lines", "n_removed_lines")]
-    joined = df.select(*names, row_key().alias(key)).join(removed, key, "left").withColumn(all_lines, F.split(whole_text(), "\n"))
+    joined = df.select(*[F.col(f"`{c}`") for c in names], row_key().alias(key)).join(removed, key, "left").withColumn(all_lines, F.split(whole_text(), "\n"))
     text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
     return joined.select(
         *[text if c == "text" else F.col(f"`{c}`") for c in names],

@@ -135,7 +135,9 @@ def training_rows(df: DataFrame, ratings: DataFrame, max_rows: int = 8000) -> tu
     (doc_id, grade); the bound keeps the driver's share the same for any corpus."""
     rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = F.broadcast(chosen).join(df.select("doc_id", "text"), "doc_id").select("doc_id", "grade", "text")
+    # of several rows with one doc_id, one is taken
+    found = F.broadcast(chosen).join(df.select("doc_id", "text"), "doc_id")
+    rows = found.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +166,7 @@ def classify(df: DataFrame, ratings: DataFrame, accept: float = 0.5, max_rows: i
     texts, buckets, grades = training_rows(df, ratings, max_rows)
     names = [c for c in df.columns if c.lower() not in ("expected_grade", "tail", "accepted")]
     (text,) = fresh(df, "_text")
-    base = df.select(*names)
+    base = df.select(*[F.col(f"`{c}`") for c in names])
     if not len(grades):
         return base.select(
             "*", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail"), F.lit(True).alias("accepted")
