@@ -12,13 +12,24 @@ from peakloom.operators import chrom, compare, correlation, filters, identify, k
 from peakloom.operators.samples import with_sample_columns
 from peakloom.scale import small_side
 from peakloom.session import cut_lineage
-from peakloom.sources.ingest import read_reports
+from peakloom.sources.ingest import read_reports, summary as ingest_summary
 from peakloom.sources.sinks import write_bundle, write_report, write_summary_csv
 
 
-def plot_tables(peaks: DataFrame) -> dict[str, DataFrame]:
-    """The numbers behind the bar, box, composition and dashboard plots."""
+def component_tables(peaks: DataFrame) -> dict[str, DataFrame]:
+    """The numbers behind the component plot: scores, loadings and the ellipses of groups."""
+    scores, loadings, _ = correlation.principal_components(peaks, k=2)
+    out = {"pca_scores": scores, "pca_loadings": loadings}
+    if "pc2" in scores.columns:
+        scores = cut_lineage(scores)
+        out |= {"pca_scores": scores, "pca_ellipses": correlation.confidence_ellipses(scores)}
+    return out
+
+
+def plot_tables(peaks: DataFrame, components: bool = True) -> dict[str, DataFrame]:
+    """The numbers behind the bar, box, composition, heat map, component and dashboard plots."""
     return {
+        **(component_tables(peaks) if components else {}),
         "bar": stats.bar_table(peaks),
         "box": stats.boxplot(peaks),
         "composition": stats.composition(peaks),
@@ -32,16 +43,25 @@ def plot_tables(peaks: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def batch_analysis(spark: SparkSession, data_dir: str, group_a: str | None = None, group_b: str | None = None) -> dict[str, DataFrame]:
-    """Report folders to statistics: raw peaks, group statistics, composition, plot tables and Student's test of two groups.
+def batch_analysis(
+    spark: SparkSession, data_dir: str, group_a: str | None = None, group_b: str | None = None, path: str | None = None, kind: str = "parquet"
+) -> dict[str, DataFrame]:
+    """Report folders to statistics: raw peaks with a summary of what was read, group statistics, composition, plot tables and
+    Student's test of two groups. With ``path`` all of it is written, next to the samples x compounds table.
 
     Without names the first two groups are compared.
     """
     peaks = cut_lineage(read_reports(spark, data_dir))
-    out = {"raw_data": peaks, "statistics": stats.group_stats(peaks), **plot_tables(peaks), "overview": stats.overview(peaks)}
+    out = {
+        "raw_data": peaks, "ingest": ingest_summary(spark, data_dir, peaks), "statistics": stats.group_stats(peaks), **plot_tables(peaks),
+        "overview": stats.overview(peaks),
+    }
     pair = [g for g in (group_a, group_b) if g] or first_groups(peaks)
     if len(pair) == 2:
         out["comparison"] = compare.student_test(peaks, *pair)
+    if path is not None:
+        write_summary_csv(peaks, f"{path}/summary")
+        write_bundle(out, f"{path}/bundle", kind)
     return out
 
 
@@ -54,7 +74,13 @@ def export(peaks: DataFrame, path: str, kind: str = "both") -> None:
     if kind in ("csv", "both"):
         write_summary_csv(peaks, f"{path}/summary")
     if kind in ("bundle", "both"):
-        write_bundle({"raw_data": peaks, "pivot_long": stats.sample_means(peaks)}, f"{path}/bundle")
+        pair = first_groups(peaks)
+        tables = {
+            "raw_data": peaks, "pivot_long": stats.sample_means(peaks), "statistics": stats.group_stats(peaks), "composition": stats.composition(peaks),
+        }
+        if len(pair) == 2:
+            tables["comparison"] = compare.student_test(peaks, *pair)
+        write_bundle(tables, f"{path}/bundle")
 
 
 def statistical_analysis(peaks: DataFrame, kind: str = "all") -> dict[str, DataFrame]:
@@ -166,6 +192,33 @@ def identify_with_ri(
     return identify.apply_spectral(peaks, chosen, method, "ms_ri"), matches
 
 
+def calibrate_ri(
+    peaks: DataFrame, ri_ref: DataFrame | None = None, alkane_sample: str | None = None, start: int = 8, end: int = 30, window: float = 50.0
+) -> dict[str, DataFrame]:
+    """Retention indices of all peaks from the alkanes of a standard run: ``peaks`` with ri, the ``anchors``, and with a
+    reference table the ``cross_reference`` of names by their index."""
+    # at most one anchor per carbon number
+    points = cut_lineage(kovats.anchors(peaks, alkane_sample, start, end))
+    out = {"peaks": kovats.calibrate(peaks, points), "anchors": points}
+    if ri_ref is not None:
+        out["cross_reference"] = kovats.cross_reference(out["peaks"], ri_ref, window)
+    return out
+
+
+def identify_or_hint(
+    peaks: DataFrame, scans: DataFrame, library: DataFrame, ri_ref: DataFrame, rt_library: DataFrame | None = None,
+    compound_name: str | None = None, spread: bool = False, k: int = 5,
+) -> dict[str, DataFrame]:
+    """``identify_with_ri``, and for the wanted peaks that nothing could be matched for, the library names that hold their
+    label: ``peaks``, ``matches``, ``hints``."""
+    named, matches = identify_with_ri(peaks, scans, library, ri_ref, rt_library, compound_name, spread)
+    label = F.lower("compound")
+    wanted = label.contains(compound_name.lower()) if compound_name else label.startswith("rt_")
+    key = F.concat_ws("|", "sample", F.col("rt").cast("string"))
+    without = peaks.filter(wanted).withColumn("query_id", key).join(matches.select("query_id").distinct(), "query_id", "left_anti")
+    return {"peaks": named, "matches": matches, "hints": name_hints(without, library, k)}
+
+
 def name_hints(peaks: DataFrame, library: DataFrame, k: int = 5) -> DataFrame:
     """Library names that contain the label of a peak, for peaks without ions; richest spectra first."""
     from pyspark.sql import Window as W
