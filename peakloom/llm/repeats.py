@@ -40,7 +40,7 @@ PER_SLICE = 150
 IN_MEMORY = PER_SLICE * WINDOW
 BLOCK = 1 << 20
 #: Tasks that share the rows of one stretch, and ranks of one class of suffixes that are listed together.
-SALTS = 8
+SALTS = 4
 RANKS = 1024
 
 _LOW = np.uint64((1 << 24) - 1)
@@ -122,10 +122,10 @@ def _count(pos):  # noqa: ANN001, ANN202
 
 
 _CUT = pa.schema([
-    ("anchor", pa.int64()), ("slice", pa.int32()), ("stretch", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()),
+    ("anchor", pa.int64()), ("slice", pa.int32()), ("stretch", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("offset", pa.int32()),
     ("suffixes", pa.int32()), ("before", pa.int32()), ("copies", pa.int64()), ("bytes", pa.binary()),
 ])
-_CUT_SQL = "anchor long, slice int, stretch long, key long, start long, offset int, suffixes int, before int, copies long, bytes binary"
+_CUT_SQL = "anchor long, slice int, stretch long, key binary, start long, offset int, suffixes int, before int, copies long, bytes binary"
 
 
 def _slices_of(place: int, count: int, slices: int) -> Iterator[tuple[int, int, int]]:
@@ -259,7 +259,7 @@ def _solved(block: pa.Table, every: bool) -> pa.RecordBatch:
 
 _MEMBER = pa.schema([("group", pa.binary()), ("length", pa.int64()), ("anchor", pa.int64()), ("stretch", pa.int64()), ("offset", pa.int32())])
 #: ``span`` holds the start and, in the last ten bits, the length: no span is longer than a stretch.
-_SPAN = pa.schema([("key", pa.int64()), ("span", pa.int64())])
+_SPAN = pa.schema([("key", pa.binary()), ("span", pa.int64())])
 
 
 def _repeat_rows(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
@@ -382,12 +382,8 @@ class _Corpus:
     """Written tables: anchored stretches of all texts whose anchor occurs again, and what is known about them."""
 
     def __init__(self, df: DataFrame) -> None:
-        # texts get numbers, which need less room than digests in the many rows below; equal rows have one text
-        distinct = _keyed(df).groupBy("row_key").agg(F.count(F.lit(1)).alias("times"), F.first("text").alias("text"))
-        self.texts = cut_lineage(distinct.withColumn("key", F.monotonically_increasing_id()))
-        # that a text occurs twice is all that matters
-        each = self.texts.select("key", "text", F.explode(F.array_repeat(F.lit(0), F.least("times", F.lit(2)).cast("int"))))
-        found = each.select("key", "text").mapInArrow(_anchor_rows, "anchor long, stretch long, key long, pos long")
+        self.docs = _keyed(df)
+        found = self.docs.select("key", "text").mapInArrow(_anchor_rows, "anchor long, stretch long, key binary, pos long")
         again = cut_lineage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
         #: one row per stretch of each text
         self.rows = cut_lineage(found.join(again, "anchor", "left_semi"))
@@ -413,7 +409,12 @@ class _Corpus:
         some = self.stretches.join(self.unclear.filter(condition).select("anchor", "distinct"), "anchor").groupBy("key").agg(
             F.collect_list(F.struct("anchor", "stretch", "pos", "copies", "distinct")).alias("wanted")
         )
-        return self.texts.join(some, "key").select("key", "text", "wanted").mapInArrow(partial(_stretch_rows, each=each), _CUT_SQL)
+        return self.texts_of(some, "wanted").mapInArrow(partial(_stretch_rows, each=each), _CUT_SQL)
+
+    def texts_of(self, rows: DataFrame, column: str) -> DataFrame:
+        """key, text and a column of one row per key. Equal rows have one key: their text is taken once."""
+        found = self.docs.select("key", "text").join(rows, "key")
+        return found.groupBy("key").agg(F.first("text").alias("text"), F.first(column).alias(column))
 
     def in_memory(self, condition: str, every: bool, schema: str) -> DataFrame:
         grouped = self.cut_out(f"distinct <= {IN_MEMORY} and {condition}").repartition("anchor", "slice").sortWithinPartitions("anchor", "slice")
@@ -428,7 +429,7 @@ class _Corpus:
 
 def _keyed(df: DataFrame) -> DataFrame:
     # equal rows share a key and its results
-    return df.select("doc_id", row_key().alias("row_key"), whole_text().alias("text"))
+    return df.select("doc_id", row_key().alias("key"), whole_text().alias("text"))
 
 
 def _spans(corpus: _Corpus) -> DataFrame:
@@ -436,9 +437,10 @@ def _spans(corpus: _Corpus) -> DataFrame:
     length = _count(F.col("pos")) + (LENGTH - 1)
     by_copies = corpus.copied().select("key", F.shiftleft(_first(F.col("pos")), 10).bitwiseOR(length).alias("span"))
     # where every stretch of an anchor occurs several times, nothing is left to find out
-    by_suffixes = corpus.in_memory("least = 1", False, "key long, span long")
-    by_sort = corpus.sorted_suffixes("least = 1").mapInArrow(_span_sorted, "key long, span long")
-    return by_copies.unionByName(by_suffixes).unionByName(by_sort)
+    found = by_copies.unionByName(corpus.in_memory("least = 1", False, "key binary, span long"))
+    if corpus.unclear.filter(f"distinct > {IN_MEMORY} and least = 1").isEmpty():
+        return found
+    return found.unionByName(corpus.sorted_suffixes("least = 1").mapInArrow(_span_sorted, "key binary, span long"))
 
 
 def repeat_groups(df: DataFrame) -> DataFrame:
@@ -461,7 +463,8 @@ def repeat_groups(df: DataFrame) -> DataFrame:
     members = scanned.filter("group is null").select("class", "rank", "anchor", "stretch", "offset", ranks("rank").alias("_ranks"))
     by_sort = members.join(blocks, ["class", "_ranks"]).filter("rank between _from and _to").select("group", "length", "anchor", "stretch", "offset")
     # a stretch with copies is a repeat as a whole
-    copies = corpus.stretches.filter("copies > 1").join(corpus.texts, "key")
+    places = corpus.stretches.filter("copies > 1").groupBy("key").agg(F.collect_list(F.struct("anchor", "stretch", "pos")).alias("places"))
+    copies = corpus.texts_of(places, "places").select("text", F.explode("places").alias("p")).select("text", "p.*")
     size = _count(F.col("pos")) + (LENGTH - 1)
     whole = F.substring(F.encode("text", "UTF-8"), _first(F.col("pos")).cast("int") + 1, size.cast("int"))
     by_copies = copies.select(F.unhex(F.md5(whole)).alias("group"), size.cast("long").alias("length"), "anchor", "stretch", F.lit(0).alias("offset"))
@@ -471,28 +474,29 @@ def repeat_groups(df: DataFrame) -> DataFrame:
     placed = corpus.rows.withColumn("_salt", salt).join(salted, ["anchor", "stretch", "_salt"]).select(
         "group", "length", "key", (_first(F.col("pos")) + F.col("offset")).alias("start")
     ).distinct()
-    rows = placed.join(corpus.texts.select("key", "row_key"), "key")
-    return rows.join(_keyed(df).select("row_key", "doc_id"), "row_key").select("group", "length", "doc_id", "start")
+    return placed.join(corpus.docs.select("key", "doc_id"), "key").select("group", "length", "doc_id", "start")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in range(4)]
-        for text, key, spans in zip(batch.column("text"), batch.column("row_key").to_pylist(), batch.column("spans")):
+        for text, spans in zip(batch.column("text"), batch.column("spans")):
             data = text.as_buffer().to_pybytes()
-            packed = spans.values.to_numpy()
-            start = packed >> 10
-            stop = start + (packed & 1023)
-            order = np.argsort(start, kind="stable")
-            start, reach = start[order], np.maximum.accumulate(stop[order])
-            new = np.append(True, start[1:] > reach[:-1])
-            first, last = start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
+            first = last = np.zeros(0, np.int64)
+            if spans.is_valid:
+                packed = spans.values.to_numpy()
+                start = packed >> 10
+                stop = start + (packed & 1023)
+                order = np.argsort(start, kind="stable")
+                start, reach = start[order], np.maximum.accumulate(stop[order])
+                new = np.append(True, start[1:] > reach[:-1])
+                first, last = start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
             kept = b"".join(data[a:b] for a, b in zip(np.append(0, last), np.append(first, len(data))))
-            for c, v in zip(out, (key, len(data) - len(kept), len(first), kept)):
+            for c, v in zip(out, (len(data), len(data) - len(kept), len(first), kept)):
                 c.append(v)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.binary()))],
-            ["row_key", "n_removed", "n_spans", "kept"],
+            [batch.column("doc_id")] + [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
 
@@ -506,12 +510,5 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     """
     corpus = _Corpus(df)
     spans = _spans(corpus).groupBy("key").agg(F.collect_list("span").alias("spans"))
-    removed = corpus.texts.join(spans, "key").select("row_key", "text", "spans").mapInArrow(
-        _remove, "row_key binary, n_removed long, n_spans long, kept binary"
-    )
-    plain = _keyed(df).select("doc_id", "row_key", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("whole"))
-    zero = F.lit(0).cast("long")
-    return plain.join(removed, "row_key", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
-        F.coalesce("kept", "whole").alias("kept"),
-    )
+    shape = T.StructType([df.schema["doc_id"]] + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())])
+    return corpus.docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_remove, shape)
