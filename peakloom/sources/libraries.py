@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from peakloom.session import cut_lineage
+from peakloom.sources import json_ranges
 from peakloom.sources.reports import number
 
 _PEAKS = "array<struct<mz:double,intensity:int>>"
@@ -123,21 +124,38 @@ def _token_pairs(text: Column) -> Column:
     return F.filter(ions, lambda p: p["mz"].isNotNull() & p["intensity"].isNotNull())
 
 
-def read_library_json(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_library_json(spark: SparkSession, paths: str | Sequence[str], block: int = json_ranges.BLOCK) -> DataFrame:
     """A list of entries or a single one, with alternative key names; entries without a name or ions are left out."""
-    return _json_with_places(spark, paths).drop("place")
-
-
-def _json_with_places(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    keys = [
-        "compound", "name", "cas", "casNumber", "formula", "molecularFormula", "id", "inchi", "inchikey", "precursorMZ",
-        "precursor", "instrument", "collisionEnergy", "ionizationMode", "ionMode", "spectrum",
-    ]
-    raw = (
-        spark.read.option("multiLine", "true").schema(", ".join(f"`{k}` string" for k in keys))
-        .json(list(paths) if not isinstance(paths, str) else paths)
-        .select("*", *_file_columns())
-    )
+    return _json_with_places(spark, paths, block).drop("place")
+
+
+_JSON_KEYS = [
+    "compound", "name", "cas", "casNumber", "formula", "molecularFormula", "id", "inchi", "inchikey", "precursorMZ",
+    "precursor", "instrument", "collisionEnergy", "ionizationMode", "ionMode", "spectrum",
+]
+
+
+def _json_with_places(spark: SparkSession, paths: str | Sequence[str], block: int = json_ranges.BLOCK) -> DataFrame:
+    """Lists are cut into blocks that many tasks read; a single object is one entry. Documents in a store that only Spark
+    opens are read as a whole, each by one task."""
+    schema = ", ".join(f"`{k}` string" for k in _JSON_KEYS)
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    cut = [r["path"] for r in files.filter(F.col("length") > block).collect() if json_ranges.reachable(r["path"])]
+    whole = [p for p in (r["path"] for r in files.collect()) if p not in cut]
+    parts = []
+    if whole:
+        reader = spark.read.option("multiLine", "true").schema(schema).json(whole)
+        parts.append(reader.select(*_JSON_KEYS, *_file_columns()))
+    if cut:
+        items = json_ranges.json_items(spark, cut, block)
+        place = F.struct("split", "row", F.lit(0).alias("part"))
+        entry = F.from_json("text", schema)
+        # members of an object are no entries; a file of that size that is one object has none
+        parts.append(items.filter(F.col("text").startswith("{")).select(entry.alias("e"), F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), place.alias("place")).select(
+            "e.*", "source_file", "place"
+        ))
+    raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     out = raw.select(
         "place",
         F.lower(F.trim(F.coalesce("compound", "name"))).alias("name"),
@@ -270,18 +288,30 @@ def with_load_order(library: DataFrame) -> DataFrame:
     return numbered.select(*[F.col(f"`{c}`") for c in names], seq.alias("load_seq"), seq.alias("lib_id"))
 
 
+_RI_ENTRY = "map<string, struct<ri:double,n:int,all_ri:array<double>,cas:string,inchikey:string>>"
+
+
 def parse_ri_table(texts: DataFrame) -> DataFrame:
     """A JSON map name -> {ri, n, all_ri, cas, inchikey}; indices outside 400..4000 are left out. ``texts``: text."""
-    entry = "struct<ri:double,n:int,all_ri:array<double>,cas:string,inchikey:string>"
-    entries = F.map_entries(F.from_json("text", f"map<string,{entry}>"))
+    entries = F.map_entries(F.from_json("text", _RI_ENTRY))
+    return _ri_rows(texts.select(F.posexplode(entries).alias("ord", "e")))
+
+
+def _ri_rows(entries: DataFrame) -> DataFrame:
     low, high = 400, 4000
     return (
-        texts.select(F.posexplode(entries).alias("ord", "e"))
-        .select("ord", F.lower("e.key").alias("name"), "e.value.*")
+        entries.select("ord", F.lower("e.key").alias("name"), "e.value.*")
         .filter((F.col("ri") > low) & (F.col("ri") < high))
         .withColumns({"n": F.coalesce("n", F.lit(1)), "all_ri": F.coalesce("all_ri", F.array("ri"))})
     )
 
 
-def read_ri_table(spark: SparkSession, path: str) -> DataFrame:
-    return parse_ri_table(spark.read.option("wholetext", "true").text(path).select(F.col("value").alias("text")))
+def read_ri_table(spark: SparkSession, path: str, block: int = json_ranges.BLOCK) -> DataFrame:
+    """S10 from files. A large table is cut into blocks; ``ord`` then orders its names but leaves gaps."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    if not any(r["length"] > block for r in files) or not all(json_ranges.reachable(r["path"]) for r in files):
+        return parse_ri_table(spark.read.option("wholetext", "true").text(path).select(F.col("value").alias("text")))
+    items = json_ranges.json_items(spark, path, block)
+    place = F.shiftleft((F.col("split") / block).cast("long"), 32).bitwiseOR(F.col("row"))
+    entry = F.map_entries(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), _RI_ENTRY))
+    return _ri_rows(items.select(place.alias("ord"), F.explode(entry).alias("e")))
