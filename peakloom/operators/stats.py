@@ -303,22 +303,25 @@ def anomaly_summary(found: DataFrame, k: int = 15) -> tuple[DataFrame, DataFrame
     return totals, top, found.select("sample").distinct()
 
 
-def key_findings(peaks: DataFrame, comparison: DataFrame | None = None) -> DataFrame:
-    """Largest means, largest CV% and, with a comparison, its significant compounds, one row per entry."""
+def key_findings(
+    peaks: DataFrame, comparison: DataFrame | None = None, abundant: int = 5, variable: int = 3, different: int = 8
+) -> DataFrame:
+    """The largest means, the largest CV% and, with a comparison, its most significant compounds, one row per entry; so
+    many of each as asked for."""
     means = (
         _named(peaks).groupBy("compound").agg(F.avg("conc").alias("mean"), F.stddev_samp("conc").alias("std"))
     )
-    by_mean = means.orderBy(F.desc("mean"), "compound").limit(5).select(
+    by_mean = means.orderBy(F.desc("mean"), "compound").limit(abundant).select(
         F.lit("most_abundant").alias("finding"), "compound", F.col("mean").alias("value")
     )
     cv = F.coalesce(F.try_divide("std", "mean") * 100, F.lit(0.0))
-    by_cv = means.select("compound", cv.alias("value")).orderBy(F.desc("value"), "compound").limit(3).select(
+    by_cv = means.select("compound", cv.alias("value")).orderBy(F.desc("value"), "compound").limit(variable).select(
         F.lit("most_variable").alias("finding"), "compound", "value"
     )
     out = by_mean.unionByName(by_cv)
     if comparison is not None:
         out = out.unionByName(
-            comparison.filter(F.col("significant") != "ns").orderBy("p_value_t", "compound").limit(8).select(
+            comparison.filter(F.col("significant") != "ns").orderBy("p_value_t", "compound").limit(different).select(
                 F.lit("group_difference").alias("finding"), "compound", F.col("cohens_d").alias("value")
             )
         )

@@ -83,7 +83,9 @@ def export(peaks: DataFrame, path: str, kind: str = "both") -> None:
         write_bundle(tables, f"{path}/bundle")
 
 
-def statistical_analysis(peaks: DataFrame, kind: str = "all") -> dict[str, DataFrame]:
+def statistical_analysis(peaks: DataFrame, kind: str = "all", pairs: int | None = 15) -> dict[str, DataFrame]:
+    """Descriptive statistics, the comparison of the first two groups and the strongest ``pairs`` of correlated compounds
+    (None: all above the threshold)."""
     out = {}
     if kind in ("descriptive", "all"):
         out["descriptive"] = stats.descriptive(peaks)
@@ -92,19 +94,21 @@ def statistical_analysis(peaks: DataFrame, kind: str = "all") -> dict[str, DataF
         if len(pair) == 2:
             out["comparison"] = compare.compare_groups(peaks, *pair)
     if kind in ("correlation", "all"):
-        out["correlation"] = correlation.strong_pairs(correlation.pearson(peaks), k=15)
+        out["correlation"] = correlation.strong_pairs(correlation.pearson(peaks), k=pairs)
     return out
 
 
-def comprehensive_report(peaks: DataFrame, group_a: str | None = None, group_b: str | None = None) -> dict[str, DataFrame]:
-    """Sections of the full report; write them with ``write_report``."""
+def comprehensive_report(
+    peaks: DataFrame, group_a: str | None = None, group_b: str | None = None, pairs: int | None = 15
+) -> dict[str, DataFrame]:
+    """Sections of the full report, with the strongest ``pairs`` of correlated compounds; write them with ``write_report``."""
     pair = [group_a, group_b] if group_a and group_b else first_groups(peaks)
     out = {
         "data_overview": stats.overview(peaks),
         "samples_per_group": stats.samples_per_group(peaks),
         "descriptive_statistics": stats.descriptive(peaks),
         "quality_assessment": stats.quality_score(peaks),
-        "correlations": correlation.strong_pairs(correlation.pearson(peaks), k=15),
+        "correlations": correlation.strong_pairs(correlation.pearson(peaks), k=pairs),
     }
     comparison = None
     if len(pair) == 2:

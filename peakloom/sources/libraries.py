@@ -64,11 +64,11 @@ def msp_records(blocks: DataFrame, text: str = "value") -> DataFrame:
     return cut.filter(F.col("record").rlike(r"(?i)^\s*NAME[ \t]*:"))
 
 
-def parse_msp(records: DataFrame) -> DataFrame:
+def parse_msp(records: DataFrame, low: float | None = 10, high: float | None = 2000) -> DataFrame:
     """Library rows from a ``record`` column, both peak layouts.
 
     Layout A has ``mz int; mz int; ...`` with both cut to integers. Layout B has one pair per line after the Num Peaks line;
-    a pair outside 10 < m/z < 2000 or without intensity is left out, the others stay.
+    a pair outside ``low`` < m/z < ``high`` (None: no bound) or without intensity is left out, the others stay.
     """
     known = "|".join([*TEXT_FIELDS.values(), *NUMBER_FIELDS.values(), *_OTHER_FIELDS])
     lines = F.transform(F.split("record", "\n"), lambda l, i: F.struct(i.alias("i"), F.trim(l).alias("line")))
@@ -89,7 +89,10 @@ def parse_msp(records: DataFrame) -> DataFrame:
         lambda x: pair(x["line"], False),
     )
     whole = F.filter(listed, lambda p: p["mz"].isNotNull() & p["intensity"].isNotNull())
-    in_range = F.filter(single, lambda p: (p["mz"] > 10) & (p["mz"] < 2000) & (p["intensity"] > 0))
+    def inside(p: Column) -> Column:
+        return (F.lit(True) if low is None else p["mz"] > low) & (F.lit(True) if high is None else p["mz"] < high)
+
+    in_range = F.filter(single, lambda p: p["mz"].isNotNull() & inside(p) & (p["intensity"] > 0))
     synonyms = F.transform(F.regexp_extract_all("record", F.lit(r"(?im)^[ \t]*SYNON[ \t]*:(.*)$"), F.lit(1)), lambda s: F.trim(s))
     return df.select(
         *[c for c in records.columns if c not in ("record", "value")],
