@@ -108,6 +108,12 @@ def _first(lines: Column, test) -> Column:
     return F.get(F.filter(lines, test), F.lit(0))["i"]
 
 
+def _after(lines: Column, head: Column, end: Column | None = None) -> Column:
+    """The lines behind a header and before ``end``; null without a header. Cut by place, as a test of each line would have the
+    optimizer look for header and end again at each line."""
+    return F.slice(lines, head + 2, F.size(lines) if end is None else end - head - 1)
+
+
 def parse_report_texts(texts: DataFrame) -> DataFrame:
     """The first of three layouts that yields rows wins, per file. ``texts``: path, text.
 
@@ -131,10 +137,10 @@ def parse_report_texts(texts: DataFrame) -> DataFrame:
         return _peak(part[2], part[3], part[5], number(part[6]), number(part[6]), part[8])
 
     table = F.filter(
-        F.transform(F.filter("lines", lambda x: (x["i"] > F.col("h1")) & x["line"].rlike(TABLE_ROW)), table_row),
+        F.transform(F.filter(_after(F.col("lines"), F.col("h1")), lambda x: x["line"].rlike(TABLE_ROW)), table_row),
         lambda p: _good(p) & ~p["compound"].startswith("-"),
     )
-    stop = _first(F.col("lines"), lambda x: (x["i"] > F.col("h2")) & x["line"].rlike(QUANT_STOP))
+    stop = _first(_after(F.col("lines"), F.col("h2")), lambda x: x["line"].rlike(QUANT_STOP))
     df = df.withColumn("stop2", F.coalesce(stop, F.size("lines")))
 
     def quant_row(x: Column) -> Column:
@@ -145,8 +151,8 @@ def parse_report_texts(texts: DataFrame) -> DataFrame:
     quant = F.filter(
         F.transform(
             F.filter(
-                "lines",
-                lambda x: (x["i"] > F.col("h2")) & (x["i"] < F.col("stop2")) & x["line"].rlike(QUANT_ROW) & ~x["line"].rlike("^(---|===)"),
+                _after(F.col("lines"), F.col("h2"), F.col("stop2")),
+                lambda x: x["line"].rlike(QUANT_ROW) & ~x["line"].rlike("^(---|===)"),
             ),
             quant_row,
         ),
@@ -185,7 +191,7 @@ def parse_report_texts(texts: DataFrame) -> DataFrame:
 
     tab = F.filter(
         F.transform(
-            F.filter("lines", lambda x: (x["i"] > F.col("h3")) & (x["line"] != "") & ~x["line"].startswith("---")),
+            F.filter(_after(F.col("lines"), F.col("h3")), lambda x: (x["line"] != "") & ~x["line"].startswith("---")),
             tab_row,
         ),
         _good,

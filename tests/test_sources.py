@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +178,15 @@ def test_scans(spark):
     df = spark.createDataFrame(rows, "sample string, scan_rt double, peaks array<struct<mz:double,intensity:double>>")
     got = traces.normalise_scans(df, seconds=True).collect()
     assert len(got) == 1 and got[0]["scan_rt"] == 1.5 and [tuple(p) for p in got[0]["peaks"]] == [(41.0, 249), (43.0, 999)]
+
+
+def test_long_quantitation_report_takes_time_in_proportion(spark):
+    # end and header of the table are found once per file, not once per line
+    head = "Compound      RT     Area    Amount    Conc."
+    rows = [f"name{i}   {i / 1000}  {i + 1}.5  0.25  0.5" for i in range(20_000)]
+    text = "\n".join([head, *rows, "Signal 2", "late   1.0  2.0  3.0  4.0"])
+    df = reports.parse_report_texts(spark.createDataFrame([("/d/G/S.D/Report.TXT", text)], "path string, text string"))
+    start = time.perf_counter()
+    n, last, late = df.agg(F.count("*"), F.max("area"), F.count_if(F.col("compound") == "late")).first()
+    assert (n, last, late) == (20_000, 20_000.5, 0)
+    assert time.perf_counter() - start < 20
