@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.operators import identify, spectra
+from peakloom.operators import identify, ionmatch, spectra
 
 Q = "query_id int, peaks array<struct<mz:double,intensity:int>>, ri_expected double"
 L = "lib_id long, name string, ri_exp double, source string, compound_class string, class_confidence double, peaks array<struct<mz:double,intensity:int>>"
@@ -157,3 +157,35 @@ def test_rt_gate(spark):
 def test_min_match_below_one_is_refused(data):
     with pytest.raises(ValueError):
         spectra.search(data[2], data[3], min_match=0)
+
+
+def _random_spectra(rng, n, whole, key):
+    out = []
+    for i in range(n):
+        mz = 40 + np.arange(30) + (0 if whole else rng.integers(-300, 300, 30) / 1000)
+        out.append({key: i, "peaks": [(float(m), int(x)) for m, x in zip(mz, rng.integers(0, 999, 30)) if x > 200]})
+    return out
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_first_hits_are_those_of_the_whole_ranking_and_few_pairs_leave_a_block(spark, whole):
+    rng = np.random.default_rng(5)
+    peaks = "peaks array<struct<mz:double,intensity:int>>"
+    lib = [
+        {**s, "name": f"n{s['lib_id']}", "ri_exp": None if s["lib_id"] % 3 else 800.0 + s["lib_id"], "compound_class": "food_flavor" if s["lib_id"] % 2 else "industrial",
+         "class_confidence": 0.5} for s in _random_spectra(rng, 150, whole, "lib_id")
+    ]
+    lib = spark.createDataFrame(lib, f"lib_id long, {peaks}, name string, ri_exp double, compound_class string, class_confidence double")
+    queries = [{**s, "ri_expected": 900.0 if s["query_id"] % 4 else None} for s in _random_spectra(rng, 25, whole, "query_id")]
+    queries = spark.createDataFrame(queries, f"query_id long, {peaks}, ri_expected double")
+    for boost in (False, True):
+        options = dict(min_match=400, category_boost=boost, block_ions=1_000)
+        everything = {tuple(r) for r in spectra.search(queries, lib, **options).filter("rank <= 2").collect()}
+        assert {tuple(r) for r in spectra.search(queries, lib, k=2, **options).collect()} == everything and everything
+    for both in (True, False):
+        options = dict(min_match=300, require_both=both, block_ions=1_000)
+        everything = {tuple(r) for r in spectra.search_manager(queries, lib, k=None, **options).filter("rank <= 2").collect()}
+        assert {tuple(r) for r in spectra.search_manager(queries, lib, k=2, **options).collect()} == everything and everything
+    block, entries = queries.toArrow(), spectra.prepare_library(lib).withColumn("factor", F.lit(1.0)).toArrow()
+    found = lambda leaders: sum(len(e) for _, e, _ in ionmatch.pairs(entries, block, "cosine", 300.0, 0.5, False, False, leaders))
+    assert found(ionmatch.Leaders(2, 300, by_index=True, backed=True)) < found(None) / 4
