@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom.operators.compare import adjust_fdr
-from peakloom.operators.rtmatch import nearest_scans
-from peakloom.scale import is_small, islands, near_join, order_bucket, ordered_totals, quantiles
+from peakloom.operators.rtmatch import match_rt_library, nearest_scans
+from peakloom.scale import is_small, islands, near_join, nearest_within, order_bucket, ordered_totals, quantiles
 
 
 def test_quantiles_match_numpy_with_a_hot_key(spark):
@@ -80,3 +80,28 @@ def test_nearest_scans_bridges_empty_cells(spark):
 
 def test_size_check(spark):
     assert is_small(spark.range(10), 10) and not is_small(spark.range(11), 10)
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_nearest_within_equals_brute_force_with_repeats_and_nulls(spark, strict):
+    rng = np.random.default_rng(8)
+    a = [(k, float(x)) for k in "pq" for x in np.unique(np.round(rng.uniform(-2, 5, 120), 2))] + [("p", None), (None, 1.0)]
+    b = [(k, float(x)) for k in "pq" for x in np.round(rng.uniform(-2, 5, 60), 2)] * 2 + [("q", None), (None, 1.0), ("p", float("nan"))]
+    left, right = spark.createDataFrame(a, "k string, x double"), spark.createDataFrame(b, "k string, y double")
+    got = {(r["k"], r["x"]): (r["_gap"], r["_below"], r["_above"]) for r in nearest_within(left, right, "x", "y", 0.05, ["k"], strict).collect()}
+    want = {}
+    for k, x in a:
+        near = [y for j, y in b if k and j == k and x is not None and y is not None and (abs(x - y) < 0.05 if strict else abs(x - y) <= 0.05)]
+        if near:
+            gap = min(abs(x - y) for y in near)
+            want[k, x] = gap, max((y for y in near if x - y == gap), default=None), min((y for y in near if y - x == gap), default=None)
+    assert got == want and want
+
+
+def test_a_dense_library_forms_no_pairs(spark):
+    # 3,000 times and 3,000 entries within the tolerance of one another: 9 million pairs
+    times = spark.range(3000).select((F.lit(5.0) + F.col("id") / 100_000).alias("rt"), F.lit("RT_x").alias("compound"))
+    library = spark.range(3000).select(F.col("id").cast("int").alias("ord"), F.col("id").cast("string").alias("name"), F.lit("c").alias("cat"), (F.lit(5.0) + F.col("id") / 100_000).alias("rt_est"))
+    matched = match_rt_library(times, library)
+    assert matched.filter("rt_diff = 0").count() == 3000
+    assert "rt_est >=" not in (plan := matched._jdf.queryExecution().optimizedPlan().toString()) and "<= 0.3" in plan and "explode(sequence" not in plan
