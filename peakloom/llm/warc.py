@@ -33,6 +33,8 @@ MIN_SHARED = 1000
 #: Bytes of records in one package, and in one range that is read at once; a longer record is a range of its own.
 PACKAGE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
+#: Bytes handed to a gzip opener at once: about a record.
+PIECE_BYTES = 4 << 10
 SALTS = 16
 DATE = "1970-01-01T00:00:00Z"
 MEMBER, INDEX = "archive/pages.warc.gz", "indexes/index.cdx"
@@ -192,11 +194,16 @@ def _cut(archive: str, member: Member, base: int, offsets: list[int], range_byte
 
 
 def _unpacked(data: bytes) -> Iterator[bytes]:
-    """Records of a range of gzip members."""
-    while data:
-        opener = zlib.decompressobj(31)
-        yield opener.decompress(data) + opener.flush()
-        data = opener.unused_data
+    """Records of a range of gzip members. An opener copies what lies behind its member, so it is given pieces."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        opener, parts = zlib.decompressobj(31), []
+        while at < len(view) and not opener.eof:
+            piece = view[at : at + PIECE_BYTES]
+            parts.append(opener.decompress(piece))
+            at += len(piece) - len(opener.unused_data)
+        parts.append(opener.flush())
+        yield b"".join(parts)
 
 
 def _headers(data: bytes, start: int = 0) -> tuple[dict[str, str], int]:

@@ -9,6 +9,7 @@ import io
 import os
 import struct
 import zipfile
+import zlib
 
 import pytest
 
@@ -143,3 +144,34 @@ def test_what_a_lost_attempt_left_is_not_read(spark, tmp_path):
     archives = warc.write_packages(spark.createDataFrame([(1, "u", "one", "a", "b")], PAGES), folder)
     assert warc.read_packages(archives).count() == 1
     assert zip_archives.open_store(archives.first()[0])[1].startswith(folder)
+
+
+def test_a_range_is_unpacked_in_time_linear_in_its_bytes(monkeypatch):
+    """What is handed to the openers grows with the range, not with its members times its bytes."""
+    records = [os.urandom(1500) for _ in range(300)] + [b"", os.urandom(50_000), b"a" * 500_000]
+    data = b"".join(gzip.compress(r) for r in records)
+    given, make = [], zlib.decompressobj
+
+    class Opener:
+        def __init__(self, *args):
+            self.inner = make(*args)
+
+        def decompress(self, piece):
+            given.append(len(piece))
+            return self.inner.decompress(piece)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    monkeypatch.setattr(zlib, "decompressobj", Opener)
+    assert list(warc._unpacked(data)) == records
+    assert sum(given) < len(data) + len(records) * 8192
+
+
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_members_end_anywhere_in_a_piece(monkeypatch, size):
+    monkeypatch.setattr(warc, "PIECE_BYTES", size)
+    records = [b"x" * n for n in (0, 1, 5, 300, 2)]
+    assert list(warc._unpacked(b"".join(gzip.compress(r) for r in records))) == records
+    # a member that is cut short gives what is there
+    assert list(warc._unpacked(gzip.compress(b"whole") + gzip.compress(os.urandom(900))[:500]))[0] == b"whole"
