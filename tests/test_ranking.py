@@ -85,3 +85,11 @@ def test_blocks_hold_all_rows_in_order_and_few_ions(tmp_path):
     assert [e for b in found for e in b.column("entry").to_pylist()] == list(range(len(sizes)))
     ions = [sum(len(p) for p in b.column("peaks").to_pylist()) for b in found]
     assert sum(ions) == sum(sizes) and sorted(ions)[-2] <= 62 and len(found) < 60
+
+
+def test_empty_sides_give_no_hits(spark):
+    some = _spectra(np.random.default_rng(2), 3)
+    queries, library = [(i, p, None) for i, p in enumerate(some)], [(i, i, f"c{i}", None, "x", None, None, p) for i, p in enumerate(some)]
+    for mine, entries in ((queries, []), ([], library), ([(1, [], None)], library)):
+        q, lib = _tables(spark, mine, entries)
+        assert not spectra.search(q, lib, min_match=1).collect() and not spectra.search_manager(q, lib, min_match=1).collect()
